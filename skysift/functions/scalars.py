@@ -62,11 +62,9 @@ def parse_sector_run(run: Column) -> Column:
     )
 
 
-def numbers_in_text(text: Column) -> Column:
-    """Numeric tokens of free text split at commas and white space, in order, as an array of doubles."""
-    numeric = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-    tokens = F.filter(F.split(text, fv.ID_SEPARATORS), lambda t: t.rlike(numeric))
-    return F.transform(tokens, lambda t: t.try_cast("double"))
+def number_token(token: Column) -> Column:
+    """A token of free text as double; null unless it is a plain number."""
+    return F.when(token.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), token.try_cast("double"))
 
 
 def pair_by_position(ids: Column, sectors: Column) -> Column:
@@ -76,6 +74,15 @@ def pair_by_position(ids: Column, sectors: Column) -> Column:
     return F.when(F.size(ids) == F.size(sectors), pairs)
 
 
+def with_column_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that later filters read instead of computing it again.
+
+    A filter on a plain column moves below the projection and takes a copy of the
+    expression along; a chain of regex steps would grow with every step.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 # --- scores and labels -------------------------------------------------------------------
 
 

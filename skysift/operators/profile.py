@@ -5,18 +5,27 @@ Each analysis is one aggregate over all columns, turned into one row per column
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed_values as fv
+from ..functions import scalars as S
 from . import quantiles
 
-# Aggregate expressions per pass, so that the generated code stays compiled.
-AGGS_PER_PASS = 200
+# Columns and column pairs per pass. Larger passes leave the size of code that is compiled to
+# machine code; each pass reads only its own columns.
+COLUMNS_PER_PASS = 10
+PAIRS_PER_PASS = 16
+# Up to this many columns, pairs are aggregated by Spark; beyond, by partial sums of all pairs at once.
+FEW_COLUMNS = 8
 
 
 def _c(name: str) -> Column:
@@ -68,20 +77,16 @@ def _to_rows(wide: DataFrame, names: Sequence[str], fields: Mapping[str, str]) -
 def schema_and_missing(df: DataFrame) -> DataFrame:
     """(column, dtype, null_count, null_pct) of every column; the share of an empty table is 0."""
     names = df.columns
-    nulls = [F.count_if(_c(n).isNull()).alias(f"null_count_{i}") for i, n in enumerate(names)]
-    rows = _to_rows(
-        df.agg(F.count("*").alias("total"), *nulls).select(
-            "*",
-            *[
-                F.when(F.col("total") > 0, F.col(f"null_count_{i}") / F.col("total")).otherwise(0.0).alias(f"null_pct_{i}")
-                for i in range(len(names))
-            ],
-            *[F.lit(f.dataType.simpleString()).alias(f"dtype_{i}") for i, f in enumerate(df.schema.fields)],
-        ),
-        names,
-        {"dtype": "string", "null_count": "bigint", "null_pct": "double"},
-    )
-    return rows
+    filled = df.agg(F.count("*").alias("total"), *[F.count(_c(n)).alias(f"filled_{i}") for i, n in enumerate(names)])
+    total = F.col("total")
+    columns = []
+    for i, f in enumerate(df.schema.fields):
+        nulls = total - F.col(f"filled_{i}")
+        share = F.when(total > 0, nulls / total).otherwise(0.0)
+        columns += [nulls.alias(f"null_count_{i}"), share.alias(f"null_pct_{i}")]
+        columns.append(F.lit(f.dataType.simpleString()).alias(f"dtype_{i}"))
+    fields = {"dtype": "string", "null_count": "bigint", "null_pct": "double"}
+    return _to_rows(filled.select(*columns), names, fields)
 
 
 _STATS = {"count": "bigint", "mean": "double", "std": "double", "min": "double", "max": "double"}
@@ -101,20 +106,28 @@ def _stat_aggs(names: Sequence[str]) -> list[Column]:
     return aggs
 
 
+def _statistics(df: DataFrame, names: Sequence[str]) -> dict[str, dict[str, float | None]]:
+    """The plain statistics of every column, on the driver."""
+    found = {}
+    for at in range(0, len(names), COLUMNS_PER_PASS):
+        part = names[at : at + COLUMNS_PER_PASS]
+        row = df.agg(*_stat_aggs(part)).first()
+        found.update({n: {k: row[f"{k}_{i}"] for k in _STATS} for i, n in enumerate(part)})
+    return found
+
+
 def numeric_distributions(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation, min, max and the profile quantiles of each numeric column."""
     names = list(columns) if columns is not None else numeric_columns(df)
     labels = [f"q{int(q * 100):02d}" for q in fv.PROFILE_QUANTILES]
-    spark = df.sparkSession
     schema = "column string, " + ", ".join(f"{k} {v}" for k, v in _STATS.items())
     schema += ", " + ", ".join(f"{q} double" for q in labels)
-    if not names:
-        return spark.createDataFrame([], schema)
-    row = df.agg(*_stat_aggs(names)).first()
-    counts = {n: row[f"count_{i}"] for i, n in enumerate(names)}
-    found = quantiles.exact_quantiles(df, names, fv.PROFILE_QUANTILES, counts)
-    rows = [(n, *[row[f"{k}_{i}"] for k in _STATS], *found[n]) for i, n in enumerate(names)]
-    return spark.createDataFrame(rows, schema)
+    stats = _statistics(df, names)
+    inner = [q for q in fv.PROFILE_QUANTILES if 0 < q < 1]
+    counts = {n: s["count"] for n, s in stats.items()}
+    found = quantiles.exact_quantiles(df, names, inner, counts)
+    rows = [(n, *stats[n].values(), stats[n]["min"], *found[n], stats[n]["max"]) for n in names]
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def iqr_bounds(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float | None, float | None]]:
@@ -142,7 +155,10 @@ def outliers_iqr(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     bounds = iqr_bounds(df, names)
     counts = df.agg(
         F.count("*").alias("total"),
-        *[F.count_if(is_outlier(_c(n).cast("double"), *bounds[n])).alias(f"outliers_{i}") for i, n in enumerate(names)],
+        *[
+            F.count(F.when(is_outlier(_c(n).cast("double"), *bounds[n]), 1)).alias(f"outliers_{i}")
+            for i, n in enumerate(names)
+        ],
     )
     wide = counts.select("*", *[c for i, n in enumerate(names) for c in _bound_columns(i, *bounds[n])])
     return _to_rows(wide, names, fields)
@@ -205,47 +221,60 @@ def class_imbalance(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     )
 
 
-def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def correlations(df: DataFrame, columns: Sequence[str] | None = None, few: int = FEW_COLUMNS) -> DataFrame:
     """(var1, var2, corr) for every column pair, upper triangle in table order, pairwise complete.
 
     The correlation of a column that is constant over the shared rows is null.
     """
     names = list(columns) if columns is not None else numeric_columns(df)
+    if len(names) < 2:
+        return df.sparkSession.createDataFrame([], "var1 string, var2 string, corr double")
+    shape = _column_shapes(df, names)
+    return _pairs_by_aggregate(df, names, shape) if len(names) <= few else _pairs_by_sums(df, names, shape)
+
+
+@dataclass(frozen=True)
+class _Shape:
+    complete: bool
+    varies: bool
+    mean: float
+
+
+def _column_shapes(df: DataFrame, names: Sequence[str]) -> dict[str, _Shape]:
+    """Whether each column is free of nulls and has more than one value, and its mean."""
+    shapes = {}
+    for at in range(0, len(names), COLUMNS_PER_PASS):
+        part = names[at : at + COLUMNS_PER_PASS]
+        aggs = [F.count("*").alias("total")]
+        for i, n in enumerate(part):
+            x = S.valid_double(_c(n))
+            aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"), F.avg(x).alias(f"m{i}")]
+        row = df.agg(*aggs).first()
+        for i, n in enumerate(part):
+            shapes[n] = _Shape(row[f"n{i}"] == row["total"], row[f"a{i}"] != row[f"b{i}"], row[f"m{i}"] or 0.0)
+    return shapes
+
+
+def _pairs_by_aggregate(df: DataFrame, names: Sequence[str], shape: Mapping[str, _Shape]) -> DataFrame:
     pairs = list(combinations(names, 2))
-    spark = df.sparkSession
-    schema = "var1 string, var2 string, corr double"
-    if not pairs:
-        return spark.createDataFrame([], schema)
-    complete, varies = _complete_and_varying(df, names)
     parts = []
-    for at in range(0, len(pairs), AGGS_PER_PASS):
-        part = pairs[at : at + AGGS_PER_PASS]
-        aggs = [a for i, (x, y) in enumerate(part) for a in _pair_aggs(i, x, y, complete, varies)]
-        values = [F.struct(F.lit(x).alias("var1"), F.lit(y).alias("var2"), _pair_corr(i, x, y, complete, varies).alias("corr"))
-                  for i, (x, y) in enumerate(part)]
+    for at in range(0, len(pairs), PAIRS_PER_PASS):
+        part = pairs[at : at + PAIRS_PER_PASS]
+        aggs = [a for i, (x, y) in enumerate(part) for a in _pair_aggs(i, x, y, shape)]
+        values = [
+            F.struct(F.lit(x).alias("var1"), F.lit(y).alias("var2"), _pair_corr(i, x, y, shape).alias("corr"))
+            for i, (x, y) in enumerate(part)
+        ]
         wide = df.agg(F.count(F.lit(1)).alias("total"), *aggs)
         parts.append(wide.select(F.explode(F.array(*values)).alias("r")).select("r.*"))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
-
-
-def _complete_and_varying(df: DataFrame, names: Sequence[str]) -> tuple[set[str], set[str]]:
-    """Columns without nulls, and columns with more than one value."""
-    aggs = [F.count("*").alias("total")]
-    for i, n in enumerate(names):
-        aggs += [F.count(_c(n)).alias(f"n{i}"), F.min(_c(n)).alias(f"a{i}"), F.max(_c(n)).alias(f"b{i}")]
-    row = df.agg(*aggs).first()
-    complete = {n for i, n in enumerate(names) if row[f"n{i}"] == row["total"]}
-    return complete, {n for i, n in enumerate(names) if row[f"n{i}"] and row[f"a{i}"] != row[f"b{i}"]}
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _pair_aggs(i: int, x: str, y: str, complete: set[str], varies: set[str]) -> list[Column]:
-    if x not in varies or y not in varies:
+def _pair_aggs(i: int, x: str, y: str, shape: Mapping[str, _Shape]) -> list[Column]:
+    if not (shape[x].varies and shape[y].varies):
         return []
-    a, b = _c(x).cast("double"), _c(y).cast("double")
-    if x in complete and y in complete:
+    a, b = S.valid_double(_c(x)), S.valid_double(_c(y))
+    if shape[x].complete and shape[y].complete:
         return [F.corr(a, b).alias(f"r{i}")]
     return [
         F.covar_pop(a, b).alias(f"c{i}"),
@@ -254,13 +283,60 @@ def _pair_aggs(i: int, x: str, y: str, complete: set[str], varies: set[str]) ->
     ]
 
 
-def _pair_corr(i: int, x: str, y: str, complete: set[str], varies: set[str]) -> Column:
-    if x not in varies or y not in varies:
+def _pair_corr(i: int, x: str, y: str, shape: Mapping[str, _Shape]) -> Column:
+    if not (shape[x].varies and shape[y].varies):
         return F.lit(None).cast("double")
-    if x in complete and y in complete:
+    if shape[x].complete and shape[y].complete:
         return F.col(f"r{i}")
-    spread = F.sqrt(F.col(f"u{i}")) * F.sqrt(F.col(f"v{i}"))
-    return F.when(spread > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.col(f"c{i}"), spread))))
+    return _bounded_ratio(F.col(f"c{i}"), F.sqrt(F.col(f"u{i}")) * F.sqrt(F.col(f"v{i}")))
+
+
+def _bounded_ratio(covariance: Column, spread: Column) -> Column:
+    ratio = F.try_divide(covariance, spread)
+    return F.when(spread > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio)))
+
+
+def _pairs_by_sums(df: DataFrame, names: Sequence[str], shape: Mapping[str, _Shape]) -> DataFrame:
+    """All pairs in one scan: every task adds up the products of its rows, Spark adds up the tasks.
+
+    The columns are shifted by their means, so that the sums of squares lose no digits.
+    """
+    means = np.array([shape[n].mean for n in names])
+    data = df.select(*[S.valid_double(_c(n)).alias(f"x{i}") for i, n in enumerate(names)])
+    rows, cols = np.triu_indices(len(names), 1)
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, sx, sxy, sxx = (np.zeros((len(means), len(means))) for _ in range(4))
+        for batch in batches:
+            x = batch.to_numpy(dtype="float64", na_value=np.nan) - means
+            known = (~np.isnan(x)).astype("float64")
+            x = np.where(known > 0, x, 0.0)
+            n += known.T @ known
+            sx += x.T @ known
+            sxy += x.T @ x
+            sxx += (x * x).T @ known
+        sums = {"n": n, "sx": sx, "sy": sx.T, "sxy": sxy, "sxx": sxx, "syy": sxx.T}
+        yield pd.DataFrame({"i": rows, "j": cols, **{k: v[rows, cols] for k, v in sums.items()}})
+
+    schema = "i int, j int, n double, sx double, sy double, sxy double, sxx double, syy double"
+    total = data.mapInPandas(products, schema).groupBy("i", "j").agg(
+        *[F.sum(k).alias(k) for k in ("n", "sx", "sy", "sxy", "sxx", "syy")]
+    )
+    n = F.col("n")
+
+    def spread(squares: str, plain: str) -> Column:
+        centred = F.col(squares) - F.try_divide(F.col(plain) * F.col(plain), n)
+        # What is left of a constant column is rounding.
+        return F.when(centred > 1e-12 * F.col(squares), centred)
+
+    covariance = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), n)
+    corr = _bounded_ratio(covariance, F.sqrt(spread("sxx", "sx")) * F.sqrt(spread("syy", "sy")))
+    both_vary = F.array(*[F.lit(shape[c].varies) for c in names])
+    titles = F.array(*[F.lit(c) for c in names])
+    varies = F.get(both_vary, F.col("i")) & F.get(both_vary, F.col("j"))
+    return total.select(
+        F.get(titles, F.col("i")).alias("var1"), F.get(titles, F.col("j")).alias("var2"), F.when(varies, corr).alias("corr")
+    )
 
 
 def high_correlation_pairs(corr: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -302,8 +378,8 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 def explore_statistics(df: DataFrame, first: int = 10) -> DataFrame:
     """Mean, deviation, min, max and null count of the first numeric columns."""
     names = numeric_columns(df)[:first]
-    wide = df.agg(
-        *_stat_aggs(names), *[F.count_if(_c(n).isNull()).alias(f"null_count_{i}") for i, n in enumerate(names)]
+    wide = df.agg(F.count("*").alias("total"), *_stat_aggs(names)).select(
+        "*", *[(F.col("total") - F.col(f"count_{i}")).alias(f"null_count_{i}") for i in range(len(names))]
     )
     fields = {k: v for k, v in _STATS.items() if k != "count"}
     return _to_rows(wide, names, {**fields, "null_count": "bigint"})

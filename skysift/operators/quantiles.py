@@ -1,140 +1,167 @@
 """Exact quantiles and order statistics that never bring a whole column into one task.
 
-A column of at most ``SMALL`` values uses the built-in ``percentile``. Beyond that, each
-wanted rank is enclosed by an open interval. A sketch proposes two cut values inside the
-interval, one scan counts what lies below, at and between them, and the interval shrinks
-to the part that holds the rank. The counts are exact, so a poor sketch costs another
-scan but never a wrong value. Repeated values end up on an interval's edge and are found
-by their count, so a value held by a third of the rows does no harm.
+Few values use the built-in ``percentile``. Beyond that the wanted ranks are enclosed by
+open intervals. A sketch proposes cut values around each rank, one scan counts the values
+below and at every cut, and each rank is then either at a cut or in the gap between two.
+The counts are exact, so a poor sketch costs another scan but never a wrong value.
+Repeated values end up at a cut and are found by their count, so a value held by a third
+of the rows does no harm. A gap with few values is sorted inside one aggregate buffer.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from bisect import bisect_right
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Above this many values of one column the narrowing scans replace the built-in function.
+# Above this many cells of all columns together the counting scans replace the built-in function.
 SMALL = 1_000_000
-# An interval with no more values than this is sorted inside one aggregate buffer.
+# An interval with no more values than this is sorted at once.
 FINAL = 5_000
 SKETCH_ACCURACY = 10_000
+# More aggregates than this in one pass and the generated code is no longer compiled to
+# machine code, which costs more than another scan of the few columns a pass reads.
+AGGS_PER_PASS = 56
+
+Number = float | int
 
 
 @dataclass
-class _Search:
-    """One wanted rank (0-based) of one expression, and the open interval known to hold it."""
+class _Gap:
+    """An open interval of one expression: how many values lie up to it and in it, and the ranks in it."""
 
+    name: str
     expr: Column
-    rank: int
     size: int
-    low: float | int | None = None
-    high: float | int | None = None
     below: int = 0
-    value: float | int | None = None
-    found: bool = False
+    low: Number | None = None
+    high: Number | None = None
+    ranks: list[int] = field(default_factory=list)
 
     def inside(self) -> Column:
-        """The expression where it lies in the interval, else null."""
-        keep = self.expr.isNotNull()
-        if self.low is not None:
-            keep = keep & (self.expr > F.lit(self.low))
-        if self.high is not None:
-            keep = keep & (self.expr < F.lit(self.high))
-        return F.when(keep, self.expr)
+        """The expression where it lies in the gap, else null."""
+        tests = [self.expr > F.lit(self.low)] if self.low is not None else []
+        tests += [self.expr < F.lit(self.high)] if self.high is not None else []
+        if not tests:
+            return self.expr
+        return F.when(tests[0] & tests[-1], self.expr)
 
     def cut_fractions(self) -> list[float]:
-        """Fractions of the interval slightly left and right of the rank."""
-        middle = (self.rank - self.below) / max(self.size - 1, 1)
+        """Fractions of the gap slightly left and right of every rank in it."""
         margin = 4.0 / SKETCH_ACCURACY
-        return [max(0.0, middle - margin), min(1.0, middle + margin)]
-
-    def narrow(self, left, right, n_below: int, n_left: int, n_between: int, n_right: int) -> None:
-        """Keep the part of the interval that holds the rank, given exact counts around the cuts."""
-        position = self.rank - self.below
-        steps = [
-            (n_below, None, left),
-            (n_left, left, None),
-            (n_between, left, right),
-            (n_right if right != left else 0, right, None),
-        ]
-        passed = 0
-        for i, (count, low, high) in enumerate(steps):
-            if position < passed + count:
-                self.below += passed
-                if i in (1, 3):
-                    self.value, self.found = low, True
-                else:
-                    self.low = low if low is not None else self.low
-                    self.high, self.size = high, count
-                return
-            passed += count
-        self.below += passed
-        self.low, self.size = right, self.size - passed
-
-
-def _sketch(df: DataFrame, searches: Sequence[_Search]) -> list[tuple]:
-    aggs = [
-        F.percentile_approx(s.inside(), s.cut_fractions(), SKETCH_ACCURACY).alias(f"s{i}")
-        for i, s in enumerate(searches)
-    ]
+        spots = [(r - self.below) / max(self.size - 1, 1) for r in self.ranks]
+        return sorted({min(1.0, max(0.0, s + d)) for s in spots for d in (-margin, margin)})
+
+    def split(self, cuts: Sequence[Number], under: Sequence[int], upto: Sequence[int]) -> tuple[dict, list[_Gap]]:
+        """Values found at a cut, and the smaller gaps of the other ranks.
+
+        ``under`` and ``upto`` count the values of the whole column below, and not above, each cut.
+        """
+        found, gaps = {}, {}
+        for r in self.ranks:
+            at = bisect_right(under, r) - 1
+            if at >= 0 and r < upto[at]:
+                found[self.name, r] = cuts[at]
+                continue
+            if at not in gaps:
+                below = upto[at] if at >= 0 else self.below
+                end = under[at + 1] if at + 1 < len(cuts) else self.below + self.size
+                gaps[at] = _Gap(
+                    self.name, self.expr, end - below, below,
+                    cuts[at] if at >= 0 else self.low, cuts[at + 1] if at + 1 < len(cuts) else self.high,
+                )
+            gaps[at].ranks.append(r)
+        return found, list(gaps.values())
+
+
+def _chunks(gaps: Sequence[_Gap], weight) -> Iterator[list[_Gap]]:
+    """Gaps in groups whose aggregates fit one pass."""
+    part, used = [], 0
+    for gap in gaps:
+        if part and used + weight(gap) > AGGS_PER_PASS:
+            yield part
+            part, used = [], 0
+        part.append(gap)
+        used += weight(gap)
+    if part:
+        yield part
+
+
+def _sketch(df: DataFrame, gaps: Sequence[_Gap]) -> list[list[Number]]:
+    """Cut values of each gap, ascending."""
+    aggs = [F.percentile_approx(g.inside(), g.cut_fractions(), SKETCH_ACCURACY).alias(f"s{i}") for i, g in enumerate(gaps)]
     row = df.agg(*aggs).first()
-    return [tuple(row[f"s{i}"]) for i in range(len(searches))]
+    return [sorted(set(row[f"s{i}"])) for i in range(len(gaps))]
 
 
-def _count_around(df: DataFrame, searches: Sequence[_Search], cuts: Sequence[tuple]) -> list[tuple]:
+def _count(df: DataFrame, gaps: Sequence[_Gap], cuts: Sequence[Sequence[Number]]) -> list[tuple[list[int], list[int]]]:
+    """Values below, and not above, each cut."""
     aggs = []
-    for i, (s, (left, right)) in enumerate(zip(searches, cuts)):
-        x = s.inside()
-        tests = (x < F.lit(left), x == F.lit(left), (x > F.lit(left)) & (x < F.lit(right)), x == F.lit(right))
-        aggs.extend(F.count_if(t).alias(f"n{i}_{k}") for k, t in enumerate(tests))
+    for i, (g, values) in enumerate(zip(gaps, cuts)):
+        for k, v in enumerate(values):
+            aggs.append(F.count(F.when(g.expr < F.lit(v), 1)).alias(f"u{i}_{k}"))
+            aggs.append(F.count(F.when(g.expr <= F.lit(v), 1)).alias(f"t{i}_{k}"))
     row = df.agg(*aggs).first()
-    return [tuple(row[f"n{i}_{k}"] for k in range(4)) for i in range(len(searches))]
+    return [
+        ([row[f"u{i}_{k}"] for k in range(len(values))], [row[f"t{i}_{k}"] for k in range(len(values))])
+        for i, values in enumerate(cuts)
+    ]
 
 
-def _finish(df: DataFrame, searches: Sequence[_Search]) -> None:
-    aggs = [
-        F.get(F.sort_array(F.collect_list(s.inside())), F.lit(s.rank - s.below)).alias(f"v{i}")
-        for i, s in enumerate(searches)
-    ]
-    row = df.agg(*aggs).first()
-    for i, s in enumerate(searches):
-        s.value, s.found = row[f"v{i}"], True
+def _finish(df: DataFrame, gaps: Sequence[_Gap]) -> dict[tuple[str, int], Number]:
+    """Ranks of small gaps, from their sorted values."""
+    aggs = []
+    for i, g in enumerate(gaps):
+        aggs.append(F.sort_array(F.collect_list(g.inside())).alias(f"s{i}"))
+    sorted_values = df.agg(*aggs)
+    picks = [F.array(*[F.get(f"s{i}", F.lit(r - g.below)) for r in g.ranks]).alias(f"v{i}") for i, g in enumerate(gaps)]
+    row = sorted_values.select(*picks).first()
+    return {(g.name, r): v for i, g in enumerate(gaps) for r, v in zip(g.ranks, row[f"v{i}"])}
+
+
+def _ends(df: DataFrame, gaps: Sequence[_Gap]) -> dict[tuple[str, int], Number]:
+    """First and last rank of whole columns: minimum and maximum."""
+    ends = [(g, r, f(g.expr)) for g in gaps for r, f in ((0, F.min), (g.size - 1, F.max)) if r in g.ranks]
+    if not ends:
+        return {}
+    row = df.agg(*[agg.alias(f"e{i}") for i, (_, _, agg) in enumerate(ends)]).first()
+    return {(g.name, r): row[f"e{i}"] for i, (g, r, _) in enumerate(ends)}
 
 
 def values_at_ranks(
-    df: DataFrame,
-    wanted: Mapping[str, tuple[Column, int, Sequence[int]]],
-    final: int = FINAL,
-    chunk: int = 100,
-) -> dict[tuple[str, int], float | int]:
+    df: DataFrame, wanted: Mapping[str, tuple[Column, int, Sequence[int]]], final: int = FINAL
+) -> dict[tuple[str, int], Number]:
     """Values at 0-based ranks of the sorted non-null values.
 
     ``wanted`` maps a name to (expression, number of non-null values, ranks). The driver
     only sees a few numbers per rank.
     """
-    searches = {
-        (name, r): _Search(expr, r, size) for name, (expr, size, ranks) in wanted.items() for r in sorted(set(ranks))
-    }
-    for (name, r), s in searches.items():
-        if not 0 <= r < s.size:
-            raise ValueError(f"rank {r} of {name} is outside its {s.size} values")
-    todo = list(searches.values())
+    todo = []
+    for name, (expr, size, ranks) in wanted.items():
+        bad = [r for r in ranks if not 0 <= r < size]
+        if bad:
+            raise ValueError(f"ranks {bad} of {name} are outside its {size} values")
+        if ranks:
+            todo.append(_Gap(name, expr, size, ranks=sorted(set(ranks))))
+    result = _ends(df, todo)
+    for gap in todo:
+        gap.ranks = [r for r in gap.ranks if (gap.name, r) not in result]
+    todo = [gap for gap in todo if gap.ranks]
     while todo:
-        large = [s for s in todo if s.size > final]
-        for at in range(0, len(large), chunk):
-            part = large[at : at + chunk]
+        for part in _chunks([g for g in todo if g.size <= final], lambda g: 1):
+            result.update(_finish(df, part))
+        large, todo = [g for g in todo if g.size > final], []
+        for part in _chunks(large, lambda g: 2 * len(g.cut_fractions())):
             cuts = _sketch(df, part)
-            for s, (left, right), counts in zip(part, cuts, _count_around(df, part, cuts)):
-                s.narrow(left, right, *counts)
-        small = [s for s in todo if not s.found and s.size <= final]
-        for at in range(0, len(small), chunk):
-            _finish(df, small[at : at + chunk])
-        todo = [s for s in todo if not s.found]
-    return {key: s.value for key, s in searches.items()}
+            for gap, values, counts in zip(part, cuts, _count(df, part, cuts)):
+                found, rest = gap.split(values, *counts)
+                result.update(found)
+                todo.extend(rest)
+    return result
 
 
 def exact_quantiles(
@@ -154,23 +181,18 @@ def exact_quantiles(
     if counts is None:
         row = data.agg(*[F.count(f"x{i}").alias(f"n{i}") for i in range(len(columns))]).first()
         counts = {c: row[f"n{i}"] for i, c in enumerate(columns)}
-    few = [i for i, c in enumerate(columns) if counts[c] * len(columns) <= small]
-    result: dict[str, list[float | None]] = {}
-    if few:
-        row = data.agg(*[F.percentile(f"x{i}", list(fractions)).alias(f"q{i}") for i in few]).first()
-        for i in few:
-            result[columns[i]] = list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(fractions)
+    if sum(counts[c] for c in columns) <= small:
+        row = data.agg(*[F.percentile(f"x{i}", list(fractions)).alias(f"q{i}") for i in range(len(columns))]).first()
+        found = {c: row[f"q{i}"] for i, c in enumerate(columns)}
+        return {c: [None] * len(fractions) if q is None else list(q) for c, q in found.items()}
     wanted = {}
     for i, c in enumerate(columns):
-        if i not in few:
-            spots = [f * (counts[c] - 1) for f in fractions]
-            ranks = [r for s in spots for r in (math.floor(s), math.ceil(s))]
-            wanted[c] = (F.col(f"x{i}"), counts[c], ranks)
-    if wanted:
-        found = values_at_ranks(data, wanted)
-        for c, (_, size, _) in wanted.items():
-            result[c] = [_interpolate(found, c, f * (size - 1)) for f in fractions]
-    return result
+        spots = [f * (counts[c] - 1) for f in fractions] if counts[c] else []
+        wanted[c] = (F.col(f"x{i}"), counts[c], [r for s in spots for r in (math.floor(s), math.ceil(s))])
+    at_ranks = values_at_ranks(data, wanted)
+    return {
+        c: [_interpolate(at_ranks, c, f * (counts[c] - 1)) if counts[c] else None for f in fractions] for c in columns
+    }
 
 
 def _interpolate(found: Mapping[tuple[str, int], float], name: str, spot: float) -> float:

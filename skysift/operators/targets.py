@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import fixed_values as fv
 from ..functions import scalars as S
 from ..sources.catalog import require_columns
 from . import relational
@@ -75,8 +76,10 @@ def pair_targets(ids: DataFrame, id_array: str = "ids", sector_array: str = "sec
 
 
 def ids_in_text(texts: DataFrame, text: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Numeric tokens of free text as rows, with the key columns."""
-    return texts.select(*keys, F.explode(S.numbers_in_text(F.col(text))).alias("number"))
+    """Numeric tokens of free text, split at commas and white space, as rows with the key columns."""
+    tokens = texts.select(*keys, F.explode(F.split(text, fv.ID_SEPARATORS)).alias("token"))
+    numbers = S.with_column_once(tokens, "number", S.number_token(F.col("token")))
+    return numbers.filter(F.col("number").isNotNull()).select(*keys, "number")
 
 
 def target_list_summary(runs: DataFrame) -> DataFrame:

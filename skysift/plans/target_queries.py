@@ -292,7 +292,8 @@ def _be(value: Column, digits: int) -> Column:
 
 
 def _curve_files(spark: SparkSession, folder: str) -> DataFrame:
-    c = table(spark, folder, "customer")
+    # Files are costly to build and decode, and the customers are few rows of one scan task.
+    c = table(spark, folder, "customer").repartition(spark.sparkContext.defaultParallelism)
     note = F.hex(F.rpad("c_mktsegment", 10, " "))
     point = F.col("c_custkey") * 10
     rows = F.concat(

@@ -16,15 +16,12 @@ _ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
 
 def targets_in_lines(lines: DataFrame) -> DataFrame:
     """``curl`` lines to (filename, url, tic), other columns kept; lines lacking any part are dropped."""
-    url = S.url_in_line(F.col("value"))
-    return (
-        lines.filter(F.col("value").rlike(r"^\s*curl"))
-        .withColumn("url", url)
-        .withColumn("filename", S.fits_name_in_url(F.col("url")))
-        .withColumn("tic", S.tic_from_name(F.col("filename")))
-        .filter(F.col("tic") != 0)
-        .select("filename", "url", "tic", *[c for c in lines.columns if c != "value"])
-    )
+    rest = [c for c in lines.columns if c != "value"]
+    curl = lines.filter(F.col("value").rlike(r"^\s*curl"))
+    urls = S.with_column_once(curl, "url", S.url_in_line(F.col("value"))).filter(F.col("url").isNotNull())
+    files = S.with_column_once(urls, "filename", S.fits_name_in_url(F.col("url")))
+    named = S.with_column_once(files, "tic", S.tic_from_name(F.col("filename")))
+    return named.filter(F.col("tic") != 0).select("filename", "url", "tic", *rest)
 
 
 def read_scripts(spark: SparkSession, path: str) -> DataFrame:

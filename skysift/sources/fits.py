@@ -100,23 +100,30 @@ def _first_table(content: bytes) -> tuple[np.ndarray, dict[str, str]]:
         row_type = np.dtype(fields)
         if row_type.itemsize != int(keys["NAXIS1"]):
             raise ValueError("row length does not match the column formats")
+        if int(keys["NAXIS2"]) == 0:
+            return np.empty(0, row_type), keys
         return np.frombuffer(content, row_type, count=int(keys["NAXIS2"]), offset=data), keys
     raise ValueError("no binary table")
 
 
-def _column(raw: np.ndarray, keys: dict[str, str], i: int, kind: T.DataType) -> pd.Series:
+def _objects(values: list) -> np.ndarray:
+    out = np.empty(len(values), dtype=object)
+    out[:] = values
+    return out
+
+
+def _column(raw: np.ndarray, keys: dict[str, str], i: int, kind: T.DataType) -> np.ndarray:
     """One column as values that fit the Spark type: scaled, with nulls where the file says so."""
     form = keys[f"TFORM{i}"].strip().lstrip("0123456789")[:1]
+    wanted = T.ArrayType if raw.ndim > 1 else {"A": T.StringType, "L": T.BooleanType}.get(form, T.NumericType)
+    if not isinstance(kind, wanted):
+        raise ValueError(f"column {i} is no {kind.simpleString()}")
     if raw.ndim > 1:
-        if not isinstance(kind, T.ArrayType):
-            raise ValueError(f"column {i} holds arrays")
-        return pd.Series(list(raw.astype(raw.dtype.newbyteorder("="))))
+        return _objects(list(raw.astype(raw.dtype.newbyteorder("="))))
     if form == "A":
-        text = np.char.rstrip(np.char.decode(raw, "ascii", "replace"), " \x00")
-        return _checked(pd.Series(text, dtype=object), kind, T.StringType, i)
+        return np.char.rstrip(np.char.decode(raw, "ascii", "replace"), " \x00").astype(object)
     if form == "L":
-        flags = [{b"T": True, b"F": False}.get(v) for v in raw]
-        return _checked(pd.Series(flags, dtype=object), kind, T.BooleanType, i)
+        return _objects([{b"T": True, b"F": False}.get(v) for v in raw])
     absent = np.zeros(len(raw), dtype=bool)
     if f"TNULL{i}" in keys and raw.dtype.kind in "iu":
         absent = raw == int(keys[f"TNULL{i}"])
@@ -135,26 +142,30 @@ def _column(raw: np.ndarray, keys: dict[str, str], i: int, kind: T.DataType) ->
             raise ValueError(f"column {i} does not fit {kind.simpleString()}")
     else:
         raise ValueError(f"column {i} is no {kind.simpleString()}")
-    return pd.Series(values).astype(object).where(~absent, None) if absent.any() else pd.Series(values)
-
-
-def _checked(series: pd.Series, kind: T.DataType, wanted: type[T.DataType], i: int) -> pd.Series:
-    if not isinstance(kind, wanted):
-        raise ValueError(f"column {i} is no {kind.simpleString()}")
-    return series
+    if not absent.any():
+        return values
+    values = values.astype(object)
+    values[absent] = None
+    return values
 
 
-def decode_table(content: bytes, schema: T.StructType) -> pd.DataFrame:
-    """Columns of the first binary table that ``schema`` names; a column the file lacks is null."""
+def _decoded(content: bytes, schema: T.StructType) -> list[np.ndarray]:
+    """Columns of the first binary table in schema order; a column the file lacks is null."""
     records, keys = _first_table(content)
     index = {keys[f"TTYPE{i}"].strip().lower(): i for i in range(1, int(keys["TFIELDS"]) + 1) if f"TTYPE{i}" in keys}
-    out = {}
+    absent = np.full(len(records), None, dtype=object)
+    columns = []
     for field in schema.fields:
         i = index.get(field.name.lower())
-        out[field.name] = (
-            _column(records[f"f{i}"], keys, i, field.dataType) if i else pd.Series([None] * len(records), dtype=object)
-        )
-    return pd.DataFrame(out, index=pd.RangeIndex(len(records)))
+        columns.append(_column(records[f"f{i}"], keys, i, field.dataType) if i else absent)
+    return columns or [absent]
+
+
+def _frames(curves: list[list[np.ndarray]], names: list[str]) -> Iterator[pd.DataFrame]:
+    """Curves laid end to end, in frames of bounded length."""
+    whole = pd.DataFrame({n: np.concatenate([c[k] for c in curves]) for k, n in enumerate(names)})
+    for at in range(0, len(whole), _ROWS_PER_BATCH):
+        yield whole.iloc[at : at + _ROWS_PER_BATCH]
 
 
 def read_light_curves(files: DataFrame, schema: str | T.StructType) -> DataFrame:
@@ -170,14 +181,21 @@ def read_light_curves(files: DataFrame, schema: str | T.StructType) -> DataFrame
     )
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = [], 0
         for batch in batches:
             for content, tic, sector in zip(batch["content"], batch["TIC"], batch["SECTOR"]):
                 try:
-                    rows = decode_table(bytes(content), fields)
+                    curve = _decoded(bytes(content), fields)
                 except (ValueError, KeyError):
                     continue
-                for at in range(0, len(rows), _ROWS_PER_BATCH):
-                    yield rows.iloc[at : at + _ROWS_PER_BATCH].assign(TIC=tic, SECTOR=sector)
+                size = len(curve[0])
+                held.append([*curve, np.full(size, tic), np.full(size, sector)])
+                rows += size
+                if rows >= _ROWS_PER_BATCH:
+                    yield from _frames(held, out.names)
+                    held, rows = [], 0
+        if held:
+            yield from _frames(held, out.names)
 
     return named.select("content", "TIC", "SECTOR").mapInPandas(decode, out)
 
@@ -201,7 +219,7 @@ def light_curve_status(files: DataFrame, schema: str | T.StructType | None = Non
                     error = "no sector in the file name"
                 else:
                     try:
-                        rows = len(decode_table(bytes(content), fields or T.StructType()))
+                        rows = len(_decoded(bytes(content), fields or T.StructType())[0])
                     except (ValueError, KeyError) as problem:
                         error = f"unreadable: {problem}"
                 out.append(("failed" if error else "success", name, tic, sector, rows, error))
