@@ -199,9 +199,9 @@ def size_mb(size: Column) -> Column:
 
 
 def sampling_key(columns: Sequence[Column], seed: int) -> Column:
-    """A 60-bit number that depends only on the values and the seed.
+    """A 52-bit number, exact also as double, that depends only on the values and the seed.
 
     It is cut from an MD5 digest, so another system can draw the same sample.
     """
     text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")

@@ -137,8 +137,8 @@ def values_at_ranks(
 ) -> dict[tuple[str, int], Number]:
     """Values at 0-based ranks of the sorted non-null values.
 
-    ``wanted`` maps a name to (expression, number of non-null values, ranks). The driver
-    only sees a few numbers per rank.
+    ``wanted`` maps a name to (expression, number of non-null values, ranks). Whole numbers
+    must be exact as double, because the sketch is. The driver only sees a few numbers per rank.
     """
     todo = []
     for name, (expr, size, ranks) in wanted.items():
@@ -159,6 +159,8 @@ def values_at_ranks(
             cuts = _sketch(df, part)
             for gap, values, counts in zip(part, cuts, _count(df, part, cuts)):
                 found, rest = gap.split(values, *counts)
+                if any(g.size >= gap.size for g in rest):
+                    raise RuntimeError(f"no value of {gap.name} between {gap.low} and {gap.high} was proposed")
                 result.update(found)
                 todo.extend(rest)
     return result

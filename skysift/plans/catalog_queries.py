@@ -172,7 +172,7 @@ def impute_mean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _draw_sql(seed: int, key: str) -> str:
-    return f"cast('0x' || substr(md5('{seed}|' || {key}), 1, 15) as bigint)"
+    return f"cast('0x' || substr(md5('{seed}|' || {key}), 1, 13) as bigint)"
 
 
 @query(

@@ -1,0 +1,159 @@
+import pytest
+from conftest import rows
+from skysift.operators import formats
+from skysift.sources import catalog
+
+TEXT = """# made by hand
+   # indented comment
+kepoi_name,koi_period,koi_flag,note
+K1,1.5,1,"a, b"
+# between
+K2,,0,
+K3,2,1,x
+
+K4,3.25,1,1d
+"""
+
+
+@pytest.fixture()
+def path(tmp_path):
+    file = tmp_path / "cat.csv"
+    file.write_text(TEXT)
+    return str(file)
+
+
+def test_comments_types_and_columns(spark, path):
+    df = catalog.read_catalog(spark, path, required=["kepoi_name"])
+    assert df.dtypes == [("kepoi_name", "string"), ("koi_period", "double"), ("koi_flag", "bigint"), ("note", "string")]
+    assert rows(df) == [("K1", 1.5, 1, "a, b"), ("K2", None, 0, None), ("K3", 2.0, 1, "x"), ("K4", 3.25, 1, "1d")]
+
+
+def test_missing_columns_are_named(spark, path):
+    with pytest.raises(ValueError, match="koi_depth"):
+        catalog.read_catalog(spark, path, required=["koi_period", "koi_depth"])
+
+
+def test_only_comments(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("# a\n  # b\n")
+    with pytest.raises(ValueError, match="no data"):
+        catalog.read_catalog(spark, str(tmp_path / "c.csv"))
+
+
+def test_bad_cells_other_separator_and_encoding(spark, tmp_path):
+    (tmp_path / "c.csv").write_bytes(b"a;b\n1;x\nbad;y\xff\n3;z\n")
+    df = catalog.read_catalog(spark, str(tmp_path / "c.csv"), sep=";", types={"a": "bigint"})
+    got = df.collect()
+    assert [r["a"] for r in got] == [1, None, 3] and got[1]["b"].startswith("y")
+    # Without given types one bad cell makes the column text, and no cell is lost.
+    assert dict(catalog.read_catalog(spark, str(tmp_path / "c.csv"), sep=";").dtypes)["a"] == "string"
+
+
+def test_long_lines_are_dropped_and_short_ones_kept(spark, tmp_path):
+    (tmp_path / "c.csv").write_text('a,b,c\n1,2,3\n1,2,3,4\n1,2\n"x,y",2,3\n1,2,3,\n')
+    df = catalog.read_catalog(spark, str(tmp_path / "c.csv"), drop_long_lines=True)
+    assert rows(df) == [("1", 2, 3), ("1", 2, None), ("x,y", 2, 3)]
+
+
+def test_many_files_and_a_byte_order_mark(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("a,b\n1,true\n", encoding="utf-8-sig")
+    (tmp_path / "2.csv").write_text("a,b\n2,false\n", encoding="utf-8-sig")
+    df = catalog.read_catalog(spark, str(tmp_path))
+    assert df.dtypes == [("a", "bigint"), ("b", "boolean")] and rows(df) == [(1, True), (2, False)]
+
+
+def test_batches_and_plain_scans(spark, tmp_path):
+    for i in (1, 2):
+        (tmp_path / f"batch_000{i}.csv").write_text(f"TIC,flux\n{i},0.5\n")
+    (tmp_path / "other.csv").write_text("TIC,flux\n9,9\n")
+    df = catalog.read_batches(spark, str(tmp_path))
+    assert rows(df) == [(1, 0.5, "batch_0001.csv"), (2, 0.5, "batch_0002.csv")]
+    assert catalog.read_table(spark, str(tmp_path / "other.csv"), ["TIC"]).columns == ["TIC"]
+    df.write.parquet(str(tmp_path / "p"))
+    assert catalog.read_columns(spark, str(tmp_path / "p"), ["flux"]).columns == ["flux"]
+
+
+def test_concat_by_name(spark):
+    a, b = spark.createDataFrame([(1, 2)], "x int, y int"), spark.createDataFrame([(3, 4)], "y int, z int")
+    assert rows(catalog.concat_by_name([a, b])) == [(1, 2, None), (None, 3, 4)]
+
+
+def test_hash_rows(spark):
+    df = spark.createDataFrame([("#x", 1), ("k", 2), (None, 3)], "a string, b int")
+    assert rows(catalog.drop_hash_rows(df)) == [("k", 2)]
+    numbers = spark.createDataFrame([(1,)], "a int")
+    assert catalog.drop_hash_rows(numbers) is numbers
+
+
+@pytest.mark.parametrize(
+    "columns, name",
+    [(["kepoi_name", "toi"], "kepler"), (["toi", "pl_name", "pl_orbper"], "tess"), (["pl_name", "pl_orbper"], "k2"),
+     (["pl_name"], None), ([], None)],
+)
+def test_detect(columns, name):
+    assert formats.detect_format(columns) == name
+
+
+@pytest.mark.parametrize(
+    "header, verdict",
+    [
+        ("kepoi_name,koi_disposition,koi_period", ("kepler_koi", True, [])),
+        ("kepoi_name,koi_pdisposition", ("kepler_koi", False, ["koi_period"])),
+        ("kepoi_name,koi_period", ("unknown", False, [])),
+        ('"toi","tfopwg_disp","pl_orbper"', ("tess_toi", True, [])),
+        ("pl_name,disposition,pl_orbper", ("k2", True, [])),
+        ("pl_name,pl_orbper", ("unknown", False, [])),
+    ],
+)
+def test_strict_header(header, verdict):
+    assert tuple(formats.check_header(header).values()) == verdict
+
+
+def test_label_column_skips_empty_ones(spark):
+    df = spark.createDataFrame([(None, "CONFIRMED")], "koi_pdisposition string, koi_disposition string")
+    assert formats.label_column(df, "kepler") == "koi_disposition"
+    assert formats.label_column(df, "tess") is None and formats.label_column(df, None) is None
+
+
+def test_report(spark):
+    df = spark.createDataFrame(
+        [("#c", "x", 1.0), ("p1", "REFUTED", 2.0), ("p2", "CONFIRMED", None), ("p3", None, 1.0)],
+        "pl_name string, disposition string, pl_orbper double",
+    )
+    clean, report = formats.prepare_catalog(df)
+    r = report.first()
+    assert clean.count() == r["total_rows"] == 3 and r["format"] == "k2" and r["is_valid"]
+    assert r["label_distribution"] == {"REFUTED": 1, "CONFIRMED": 1} and r["unexpected_labels"] == ["REFUTED"]
+    unknown = formats.catalog_report(spark.createDataFrame([(1,)], "x int")).first()
+    assert not unknown["is_valid"] and "unknown format" in unknown["errors"][0]
+
+
+def test_standard_checks(spark):
+    schema = "orbital_period double, transit_duration double, transit_depth double, planet_radius double, disposition string"
+    df = spark.createDataFrame([(1.0, None, 1.0, 1.0, "CONFIRMED"), (1.0, 1.0, 1.0, 1.0, "odd")], schema)
+    assert rows(formats.standard_checks(df, for_training=True)) == [
+        ("error", "invalid_label", "odd: 1"), ("warning", "few_rows", "2"),
+        ("warning", "null_values", "transit_duration: 1"),
+    ]
+    assert ("error", "no_rows", "0") in rows(formats.standard_checks(df.limit(0)))
+    assert rows(formats.standard_checks(df.drop("planet_radius"))) == [
+        ("error", "missing_columns", "planet_radius"), ("warning", "null_values", "transit_duration: 1"),
+    ]
+
+
+def test_row_shape(spark, path):
+    lines = catalog.read_lines(spark, path)
+    # The quoted comma makes one line too long by plain splitting.
+    assert rows(formats.row_shape(lines)) == [(4, 1, True)]
+    assert rows(formats.row_shape(lines, tolerated=0)) == [(4, 1, False)]
+    header_only = spark.createDataFrame([("a,b",)], "value string")
+    assert rows(formats.row_shape(header_only)) == [(0, 0, False)]
+
+
+def test_lookup(spark):
+    df = spark.createDataFrame([(1.01, float("nan")), (1.02, 2.0)], "toi double, x double")
+    assert formats.object_details(df, "1.01") == {"toi": 1.01, "x": None}
+    with pytest.raises(KeyError):
+        formats.object_details(df, "9")
+    with pytest.raises(ValueError):
+        formats.find_object(spark.range(1), "1")
+    assert formats.is_empty(df.limit(0)) and not formats.is_empty(df)
