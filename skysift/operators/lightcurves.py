@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+
 
 def lightcurve_summary(curves: DataFrame, tic: str = "TIC", sector: str = "SECTOR") -> DataFrame:
     """One row: total_rows, targets, sectors, the smallest and largest target and the sector list.
 
-    The points are first counted per (target, sector), then per sector and per target, so
-    the distinct counts run on the short table of curves.
+    The points are first counted per (target, sector), so the distinct counts run on the
+    short table of curves.
     """
     files = curves.groupBy(F.col(tic).alias("t"), F.col(sector).alias("s")).agg(F.count("*").alias("n"))
     return files.agg(
@@ -31,6 +33,6 @@ def status_summary(status: DataFrame, size: str | None = None) -> DataFrame:
 
 def file_sizes(files: DataFrame) -> DataFrame:
     """(name, path, size_mb) of files listed through a binary-file scan."""
-    from ..functions.scalars import base_name, size_mb
-
-    return files.select(base_name(F.col("path")).alias("name"), "path", size_mb(F.col("length")).alias("size_mb"))
+    return files.select(
+        S.base_name(F.col("path")).alias("name"), "path", S.size_mb(F.col("length")).alias("size_mb")
+    )

@@ -130,13 +130,17 @@ def numeric_distributions(df: DataFrame, columns: Sequence[str] | None = None) -
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def iqr_bounds(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float | None, float | None]]:
+Bounds = tuple[float | None, float | None]
+
+
+def iqr_bounds(df: DataFrame, columns: Sequence[str]) -> dict[str, Bounds]:
     """Lower and upper outlier bound of each column; null bounds for a column without values."""
-    found = quantiles.exact_quantiles(df, columns, (0.25, 0.75))
-    bounds = {}
-    for name, (q1, q3) in found.items():
-        bounds[name] = (None, None) if q1 is None else (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
-    return bounds
+    return {n: bounds_of(*q) for n, q in quantiles.exact_quantiles(df, columns, (0.25, 0.75)).items()}
+
+
+def bounds_of(q1: float | None, q3: float | None) -> Bounds:
+    """Outlier bounds of two quartiles."""
+    return (None, None) if q1 is None or q3 is None else (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
 
 
 def is_outlier(value: Column, lower: float | None, upper: float | None) -> Column:
@@ -146,13 +150,18 @@ def is_outlier(value: Column, lower: float | None, upper: float | None) -> Colum
     return F.coalesce((value < F.lit(lower)) | (value > F.lit(upper)), F.lit(False))
 
 
-def outliers_iqr(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, lower, upper, outliers, outlier_pct); the share is of all rows."""
+def outliers_iqr(
+    df: DataFrame, columns: Sequence[str] | None = None, bounds: Mapping[str, Bounds] | None = None
+) -> DataFrame:
+    """(column, lower, upper, outliers, outlier_pct); the share is of all rows.
+
+    Bounds known from :func:`numeric_distributions` save the scans that look for them.
+    """
     names = list(columns) if columns is not None else numeric_columns(df)
     fields = {"lower": "double", "upper": "double", "outliers": "bigint", "outlier_pct": "double"}
     if not names:
         return df.sparkSession.createDataFrame([], "column string, " + ", ".join(f"{k} {v}" for k, v in fields.items()))
-    bounds = iqr_bounds(df, names)
+    bounds = iqr_bounds(df, names) if bounds is None else bounds
     counts = df.agg(
         F.count("*").alias("total"),
         *[

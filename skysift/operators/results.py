@@ -20,22 +20,37 @@ def best_per_target(source: DataFrame, key: str = "tic", label: str = "dispositi
     return source.groupBy(key).agg(best.alias("best")).select(key, F.col("best.label").alias(label))
 
 
-def best_disposition(
-    left: DataFrame, right: DataFrame, key: str = "tic", label: str = "disposition", dedupe: bool = True
-) -> DataFrame:
+def best_disposition(left: DataFrame, right: DataFrame, key: str = "tic", label: str = "disposition") -> DataFrame:
     """Label of higher priority of two sources, as long name; the left source wins a tie.
 
-    Targets of either source are kept. With ``dedupe=False`` several rows per target meet
-    each other.
+    Targets of either source are kept, one row each.
     """
-    if dedupe:
-        left, right = best_per_target(left, key, label), best_per_target(right, key, label)
-    joined = left.select(key, F.col(label).alias("l")).join(
-        right.select(key, F.col(label).alias("r")), key, "full"
+    joined = _side(best_per_target(left, key, label), key, label, "l").join(
+        _side(best_per_target(right, key, label), key, label, "r"), key, "full"
     )
     return joined.select(key, S.label_name(S.better_label(F.col("l"), F.col("r"))).alias(label))
 
 
+def disposition_pairs(left: DataFrame, right: DataFrame, key: str = "tic", label: str = "disposition") -> DataFrame:
+    """(key, label, pairs): how often each label wins when every left row of a target meets every right row.
+
+    The rows are counted per target and label before they meet, so the pairs themselves
+    are never built.
+    """
+    sides = [
+        _side(side.groupBy(key, label).agg(F.count("*").alias(n)), key, label, name, n)
+        for side, name, n in ((left, "l", "nl"), (right, "r", "nr"))
+    ]
+    joined = sides[0].join(sides[1], key, "full")
+    pairs = F.coalesce("nl", F.lit(1)) * F.coalesce("nr", F.lit(1))
+    winner = S.label_name(S.better_label(F.col("l"), F.col("r"))).alias(label)
+    return joined.select(key, winner, pairs.alias("pairs")).groupBy(key, label).agg(F.sum("pairs").alias("pairs"))
+
+
+def _side(df: DataFrame, key: str, label: str, name: str, *rest: str) -> DataFrame:
+    return df.select(key, F.col(label).alias(name), *rest)
+
+
 def best_score(scores: DataFrame, target: str = "target_id", score: str = "score") -> DataFrame:
     """(tic_id, result, score): the highest score of each target and its class."""
     best = scores.groupBy(F.col(target).alias("tic_id")).agg(F.max(score).alias("score"))

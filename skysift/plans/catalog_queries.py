@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import formats, learning, metrics, relational, split
 from ..sources import catalog
+from ..session import stage
 from . import jobs
 from .registered import query, rounded, table
 
@@ -271,7 +272,8 @@ def order_catalog(spark: SparkSession, folder: str) -> DataFrame:
 
 def vetted_orders(spark: SparkSession, folder: str) -> DataFrame:
     """The whole job on the orders: report, train, score and vet."""
-    outcome = jobs.analyze_catalog(order_catalog(spark, folder), parameters=SMALL_MODEL, confirmable=["F"])
+    catalogue = stage(order_catalog(spark, folder), "orders")
+    outcome = jobs.analyze_catalog(catalogue, parameters=SMALL_MODEL, confirmable=["F"])
     vetted = outcome["vetted"]
     return vetted.select(
         "name", "original_status", "predicted_status", "confidence",
@@ -291,7 +293,7 @@ def catalog_vet_flagship(spark: SparkSession, folder: str) -> DataFrame:
 )
 def train_predict(spark: SparkSession, folder: str) -> DataFrame:
     """Every object is scored with a known label and a distribution over all labels."""
-    df = order_catalog(spark, folder)
+    df = stage(order_catalog(spark, folder), "orders")
     model, _ = learning.train(
         df, "koi_pdisposition", "kepoi_name", "kepler", parameters=SMALL_MODEL, keys=["kepoi_name"]
     )

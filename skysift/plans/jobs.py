@@ -30,7 +30,8 @@ def analyze_catalog(
     """Report, train and vet one catalogue.
 
     Training passes over the table many times. With ``staged`` it is first written to the
-    shared folder as Parquet, which suits a catalogue parsed from text.
+    shared folder as Parquet, which suits a catalogue parsed from text or joined from
+    others; the vetted table is written too, so that every object is scored once.
     """
     clean = catalog.drop_hash_rows(df)
     if staged:
@@ -50,7 +51,7 @@ def analyze_catalog(
         "report": report,
         "model": model,
         "test_outcomes": learning.evaluate(scored_test),
-        **vet_with_model(model, clean, confirmable, candidates),
+        **vet_with_model(model, clean, confirmable, candidates, staged),
     }
 
 
@@ -64,11 +65,14 @@ def vet_with_model(
     df: DataFrame,
     confirmable: Sequence[str] = fv.CONFIRMABLE_LABELS,
     candidates: Sequence[str] | None = None,
+    staged: bool = False,
 ) -> dict[str, DataFrame]:
-    """Vetting tables of a catalogue under a fitted or stored model."""
+    """Vetting tables of a catalogue under a fitted or stored model; scored once if ``staged``."""
     if formats.is_empty(df):
         raise ValueError("the table has no rows")
     vetted = vetting.vet(learning.predict(model, df), model.object_column, confirmable, candidates=candidates)
+    if staged:
+        vetted = stage(vetted, "vetted")
     return {
         "vetted": vetted,
         "confirmed": vetting.confirmed(vetted),
@@ -118,10 +122,12 @@ def profile_tables(df: DataFrame) -> dict[str, DataFrame]:
     numeric, categories = profile.numeric_columns(df), profile.categorical_columns(df, 20)
     correlation = profile.correlations(df, numeric)
     ranking = profile.variance_ranking(df, numeric, 16)
+    distributions = profile.numeric_distributions(df, numeric)
+    bounds = {r["column"]: profile.bounds_of(r["q25"], r["q75"]) for r in distributions.collect()}
     tables = {
         "schema_missing": profile.schema_and_missing(df),
-        "numeric_distributions": profile.numeric_distributions(df, numeric),
-        "outliers_iqr": profile.outliers_iqr(df, numeric),
+        "numeric_distributions": distributions,
+        "outliers_iqr": profile.outliers_iqr(df, numeric, bounds),
         "duplicates_summary": profile.duplicates_summary(df),
         "duplicates_sample": profile.duplicated_rows(df),
         "class_imbalance": profile.class_imbalance(df, categories),

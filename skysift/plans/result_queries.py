@@ -132,12 +132,12 @@ def best_disposition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    "best_disposition_all",
+    "disposition_pairs",
     f"""with l as ({_LEFT}), r as ({_RIGHT}), picked as ({_PICK})
-    select tic, coalesce(case code {_NAMES} end, code) as disposition from picked""",
+    select tic, coalesce(case code {_NAMES} end, code) as disposition, count(*) as pairs from picked group by all""",
 )
-def best_disposition_all(spark: SparkSession, folder: str) -> DataFrame:
-    return results.best_disposition(*_sources(spark, folder), dedupe=False)
+def disposition_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return results.disposition_pairs(*_sources(spark, folder))
 
 
 # --- scored rows built from the order lines -------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,16 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by the cluster."""
+    """The folder every executor can reach, as named by the cluster.
+
+    Where none is named, a local session uses a folder of its own; a cluster must name one.
+    """
     folder = spark.conf.get(CHECKPOINT_KEY, None)
     if not folder:
-        raise ValueError(f"{CHECKPOINT_KEY} is not set; name a folder that all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_KEY} is not set; name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="skysift-")
+        spark.conf.set(CHECKPOINT_KEY, folder)
     return folder.rstrip("/")
 
 

@@ -223,7 +223,13 @@ def test_results_and_dispositions(spark):
     assert rows(results.best_disposition(left, right)) == [
         (1, "Known planet"), (2, "Planetary candidate"), (3, "False alarm"), (4, "odd"),
     ]
-    assert results.best_disposition(left, right, dedupe=False).count() == 5
+    assert rows(results.disposition_pairs(left, right)) == [
+        (1, "Confirmed planet", 1), (1, "Known planet", 1), (2, "Planetary candidate", 1), (3, "False alarm", 1), (4, "odd", 1),
+    ]
+    many = results.disposition_pairs(left.unionAll(left), right.unionAll(right))
+    assert {r["tic"]: r["pairs"] for r in many.groupBy("tic").sum("pairs").withColumnRenamed("sum(pairs)", "pairs").collect()} == {
+        1: 8, 2: 4, 3: 2, 4: 4,
+    }
 
 
 def test_target_shapes(spark):
