@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import profile
+from ..operators import profile, quantiles
 from .registered import query, rounded, table
 
 MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -196,6 +196,37 @@ def correlation_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(profile.correlations(rows, ["event_id", "user_id", "value", "same"]))
 
 
+_WIDE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "net")
+_OPEN_TAX = "case when l_linestatus = 'O' then l_tax end"
+
+
+@query(
+    "correlation_wide",
+    f"""with w as (select * replace ({_OPEN_TAX} as l_tax), l_extendedprice * (1 - l_discount) as net from lineitem)
+    {_corr_sql("w", _WIDE)}""",
+)
+def correlation_wide(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "lineitem").withColumns(
+        {"l_tax": F.expr(_OPEN_TAX), "net": F.expr("l_extendedprice * (1 - l_discount)")}
+    )
+    return rounded(profile.correlations(rows, _WIDE))
+
+
+@query(
+    "quantile_scans",
+    _union(
+        f"""select '{c}' as "column", {q}::double as fraction, round(quantile_cont({c}, {q}), 6) as value from lineitem"""
+        for c in ("l_extendedprice", "l_discount")
+        for q in (0.1, 0.5, 0.99)
+    ),
+)
+def quantile_scans(spark: SparkSession, folder: str) -> DataFrame:
+    names, fractions = ["l_extendedprice", "l_discount"], [0.1, 0.5, 0.99]
+    found = quantiles.exact_quantiles(table(spark, folder, "lineitem"), names, fractions, small=0)
+    rows = [(c, q, v) for c in names for q, v in zip(fractions, found[c])]
+    return rounded(spark.createDataFrame(rows, "column string, fraction double, value double"))
+
+
 _NET = "(select *, l_extendedprice * (1 - l_discount) as net_price from lineitem)"
 
 

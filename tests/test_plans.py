@@ -5,8 +5,8 @@ import pytest
 from skysift.functions import scalars as S
 
 QUERIES = entry_points.queries()
-# Queries that decode files in Python, or score with a model.
-PYTHON = {"lightcurve_decode", "lightcurve_status", "fits_headers"}
+# Queries that decode files or add up wide products in Python, or score with a model.
+PYTHON = {"correlation_wide", "lightcurve_decode", "lightcurve_status", "fits_headers"}
 MODELS = {"train_predict", "catalog_vet_flagship"}
 
 
