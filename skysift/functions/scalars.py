@@ -12,6 +12,8 @@ from . import fixed_values as fv
 
 # Ranks after every known label code.
 UNKNOWN_RANK = 99
+# Sampling keys are below this.
+SAMPLING_KEYS = 2**52
 
 
 def _group(text: Column, pattern: str, index: int = 1) -> Column:

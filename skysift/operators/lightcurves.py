@@ -11,17 +11,22 @@ from ..functions import scalars as S
 def lightcurve_summary(curves: DataFrame, tic: str = "TIC", sector: str = "SECTOR") -> DataFrame:
     """One row: total_rows, targets, sectors, the smallest and largest target and the sector list.
 
-    The points are first counted per (target, sector), so the distinct counts run on the
-    short table of curves.
+    The points are first counted per (target, sector); targets and sectors are then counted
+    on the short table of curves. The sector list is as long as there are sectors.
     """
-    files = curves.groupBy(F.col(tic).alias("t"), F.col(sector).alias("s")).agg(F.count("*").alias("n"))
-    return files.agg(
+    curve = curves.groupBy(F.col(tic).alias("t"), F.col(sector).alias("s")).agg(F.count("*").alias("n"))
+    sectors = curve.groupBy("s").agg(F.lit(1).alias("one")).agg(
+        F.struct(F.count("s").alias("sectors"), F.array_sort(F.collect_list("s")).alias("sector_list"))
+    )
+    targets = curve.groupBy("t").agg(F.sum("n").alias("n"))
+    summary = targets.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
-        F.count_distinct("t").alias("targets"),
-        F.count_distinct("s").alias("sectors"),
+        F.count("t").alias("targets"),
         F.min("t").alias("tic_min"),
         F.max("t").alias("tic_max"),
-        F.array_sort(F.collect_set("s")).alias("sector_list"),
+    )
+    return summary.select("*", sectors.scalar().alias("r")).select(
+        "total_rows", "targets", "r.sectors", "tic_min", "tic_max", "r.sector_list"
     )
 
 

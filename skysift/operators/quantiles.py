@@ -14,6 +14,7 @@ import math
 from bisect import bisect_right
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,14 @@ AGGS_PER_PASS = 56
 Number = float | int
 
 
+class Found(NamedTuple):
+    """A value, how many values are smaller, and how many are not larger."""
+
+    value: Number
+    under: int
+    upto: int
+
+
 @dataclass
 class _Gap:
     """An open interval of one expression: how many values lie up to it and in it, and the ranks in it."""
@@ -65,7 +74,7 @@ class _Gap:
         for r in self.ranks:
             at = bisect_right(under, r) - 1
             if at >= 0 and r < upto[at]:
-                found[self.name, r] = cuts[at]
+                found[self.name, r] = Found(cuts[at], under[at], upto[at])
                 continue
             if at not in gaps:
                 below = upto[at] if at >= 0 else self.below
@@ -112,33 +121,39 @@ def _count(df: DataFrame, gaps: Sequence[_Gap], cuts: Sequence[Sequence[Number]]
     ]
 
 
-def _finish(df: DataFrame, gaps: Sequence[_Gap]) -> dict[tuple[str, int], Number]:
+def _finish(df: DataFrame, gaps: Sequence[_Gap]) -> dict[tuple[str, int], Found]:
     """Ranks of small gaps, from their sorted values."""
-    aggs = []
+    values = df.agg(*[F.sort_array(F.collect_list(g.inside())).alias(f"s{i}") for i, g in enumerate(gaps)])
+    picks = []
     for i, g in enumerate(gaps):
-        aggs.append(F.sort_array(F.collect_list(g.inside())).alias(f"s{i}"))
-    sorted_values = df.agg(*aggs)
-    picks = [F.array(*[F.get(f"s{i}", F.lit(r - g.below)) for r in g.ranks]).alias(f"v{i}") for i, g in enumerate(gaps)]
-    row = sorted_values.select(*picks).first()
-    return {(g.name, r): v for i, g in enumerate(gaps) for r, v in zip(g.ranks, row[f"v{i}"])}
+        for k, r in enumerate(g.ranks):
+            value = F.get(f"s{i}", F.lit(r - g.below))
+            first = F.array_position(f"s{i}", value) - 1
+            picks.append(F.struct(value.alias("v"), first.alias("f"), _copies(f"s{i}", value).alias("n")).alias(f"p{i}_{k}"))
+    row = values.select(*picks).first()
+    result = {}
+    for i, g in enumerate(gaps):
+        for k, r in enumerate(g.ranks):
+            value, first, copies = row[f"p{i}_{k}"]
+            result[g.name, r] = Found(value, g.below + first, g.below + first + copies)
+    return result
 
 
-def _ends(df: DataFrame, gaps: Sequence[_Gap]) -> dict[tuple[str, int], Number]:
-    """First and last rank of whole columns: minimum and maximum."""
-    ends = [(g, r, f(g.expr)) for g in gaps for r, f in ((0, F.min), (g.size - 1, F.max)) if r in g.ranks]
-    if not ends:
-        return {}
-    row = df.agg(*[agg.alias(f"e{i}") for i, (_, _, agg) in enumerate(ends)]).first()
-    return {(g.name, r): row[f"e{i}"] for i, (g, r, _) in enumerate(ends)}
+def _copies(values: str, value: Column) -> Column:
+    return F.size(F.filter(values, lambda x: x == value))
 
 
 def values_at_ranks(
-    df: DataFrame, wanted: Mapping[str, tuple[Column, int, Sequence[int]]], final: int = FINAL
-) -> dict[tuple[str, int], Number]:
+    df: DataFrame,
+    wanted: Mapping[str, tuple[Column, int, Sequence[int]]],
+    final: int = FINAL,
+    guesses: Mapping[str, Sequence[Number]] | None = None,
+) -> dict[tuple[str, int], Found]:
     """Values at 0-based ranks of the sorted non-null values.
 
     ``wanted`` maps a name to (expression, number of non-null values, ranks). Whole numbers
-    must be exact as double, because the sketch is. The driver only sees a few numbers per rank.
+    must be exact as double, because the sketch is. ``guesses`` are cut values to try
+    before the first sketch. The driver only sees a few numbers per rank.
     """
     todo = []
     for name, (expr, size, ranks) in wanted.items():
@@ -147,22 +162,23 @@ def values_at_ranks(
             raise ValueError(f"ranks {bad} of {name} are outside its {size} values")
         if ranks:
             todo.append(_Gap(name, expr, size, ranks=sorted(set(ranks))))
-    result = _ends(df, todo)
-    for gap in todo:
-        gap.ranks = [r for r in gap.ranks if (gap.name, r) not in result]
-    todo = [gap for gap in todo if gap.ranks]
+    result: dict[tuple[str, int], Found] = {}
+    guesses = dict(guesses or {})
     while todo:
         for part in _chunks([g for g in todo if g.size <= final], lambda g: 1):
             result.update(_finish(df, part))
         large, todo = [g for g in todo if g.size > final], []
-        for part in _chunks(large, lambda g: 2 * len(g.cut_fractions())):
-            cuts = _sketch(df, part)
+        for part in _chunks(large, lambda g: 2 * len(guesses.get(g.name) or g.cut_fractions())):
+            unknown = [g for g in part if g.name not in guesses]
+            sketched = iter(_sketch(df, unknown) if unknown else [])
+            cuts = [sorted(set(guesses[g.name])) if g.name in guesses else next(sketched) for g in part]
             for gap, values, counts in zip(part, cuts, _count(df, part, cuts)):
                 found, rest = gap.split(values, *counts)
-                if any(g.size >= gap.size for g in rest):
+                if gap.name not in guesses and any(g.size >= gap.size for g in rest):
                     raise RuntimeError(f"no value of {gap.name} between {gap.low} and {gap.high} was proposed")
                 result.update(found)
                 todo.extend(rest)
+        guesses = {}
     return result
 
 
@@ -191,7 +207,7 @@ def exact_quantiles(
     for i, c in enumerate(columns):
         spots = [f * (counts[c] - 1) for f in fractions] if counts[c] else []
         wanted[c] = (F.col(f"x{i}"), counts[c], [r for s in spots for r in (math.floor(s), math.ceil(s))])
-    at_ranks = values_at_ranks(data, wanted)
+    at_ranks = {key: found.value for key, found in values_at_ranks(data, wanted).items()}
     return {
         c: [_interpolate(at_ranks, c, f * (counts[c] - 1)) if counts[c] else None for f in fractions] for c in columns
     }

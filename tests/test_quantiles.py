@@ -28,7 +28,9 @@ def test_counting_scans_equal_numpy(spark, name, monkeypatch):
     order = np.sort(values)
     ranks = sorted({int(f * (len(values) - 1)) for f in FRACTIONS})
     found = quantiles.values_at_ranks(df, {"x": (F.col("x"), len(values), ranks)}, final=50)
-    assert {r: found["x", r] for r in ranks} == {r: order[r] for r in ranks}
+    assert {r: found["x", r].value for r in ranks} == {r: order[r] for r in ranks}
+    for r in ranks:
+        assert found["x", r].under == (values < order[r]).sum() and found["x", r].upto == (values <= order[r]).sum()
     got = quantiles.exact_quantiles(df, ["x"], FRACTIONS, small=0)["x"]
     assert np.allclose(got, np.quantile(values, FRACTIONS), rtol=1e-12, atol=1e-12)
 
@@ -53,7 +55,10 @@ def test_a_bad_sketch_only_costs_scans(spark, monkeypatch):
 
     monkeypatch.setattr(quantiles, "_sketch", useless)
     found = quantiles.values_at_ranks(df, {"x": (F.col("x"), 5_000, [4_200])}, final=1_499)
-    assert found["x", 4_200] == 4_200.0 and len(calls) >= 2
+    assert found["x", 4_200] == (4_200.0, 4_200, 4_201) and len(calls) >= 2
+    poor = {"x": [-5.0, -4.0]}
+    monkeypatch.undo()
+    assert quantiles.values_at_ranks(df, {"x": (F.col("x"), 5_000, [7])}, 100, poor)["x", 7].value == 7.0
 
 
 def test_ranks_outside_are_refused(spark):
