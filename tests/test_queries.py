@@ -13,9 +13,18 @@ def con(folder):
     return compare.connect(folder)
 
 
+# Queries that decode files or add up wide products in Python, or score with a model.
+PYTHON = {"correlation_wide", "lightcurve_decode", "lightcurve_status", "fits_headers", "train_predict"}
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows_as_sql(spark, folder, con, name):
-    assert compare.difference(QUERIES[name](spark, folder), con, SQL[name]) is None
+    df = QUERIES[name](spark, folder)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    unwanted = ["CartesianProduct", "BroadcastNestedLoopJoin", "Window", "BatchEvalPython"]
+    unwanted += [] if name in PYTHON else ["MapInPandas", "ArrowEvalPython", "FlatMapGroups"]
+    assert [node for node in unwanted if node in plan] == []
+    assert compare.difference(df, con, SQL[name]) is None
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
