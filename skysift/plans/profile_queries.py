@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import profile, quantiles
+from ..operators import profile, quantiles, relational
+from ..sources import catalog
 from .registered import query, rounded, table
 
 MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -278,3 +279,28 @@ def explore_stats(spark: SparkSession, folder: str) -> DataFrame:
 )
 def topk_categories(spark: SparkSession, folder: str) -> DataFrame:
     return profile.top_values(table(spark, folder, "part"), "p_brand", 15)
+
+
+@query(
+    "explore_sample",
+    "select o_orderkey, o_custkey, o_totalprice from orders order by o_totalprice, o_orderkey limit 100",
+)
+def explore_sample(spark: SparkSession, folder: str) -> DataFrame:
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return relational.head(orders, 100, ["o_totalprice", "o_orderkey"])
+
+
+@query(
+    "concat_batches",
+    """select o_custkey as tic, o_totalprice as flux, null as note from orders
+    union all select c_custkey, c_acctbal, c_mktsegment from customer
+    union all select s_suppkey, null, s_name from supplier""",
+)
+def concat_batches(spark: SparkSession, folder: str) -> DataFrame:
+    return catalog.concat_by_name(
+        [
+            table(spark, folder, "orders").selectExpr("o_custkey as tic", "o_totalprice as flux"),
+            table(spark, folder, "customer").selectExpr("c_mktsegment as note", "c_acctbal as flux", "c_custkey as tic"),
+            table(spark, folder, "supplier").selectExpr("s_name as note", "s_suppkey as tic"),
+        ]
+    )

@@ -147,6 +147,19 @@ def sector_parse(spark: SparkSession, folder: str) -> DataFrame:
     return parsed.select("o_orderkey", "sector_run", "p.first_sector", "p.last_sector")
 
 
+@query(
+    "sector_runs",
+    f"""with runs as (select distinct {_RUN_TEXT.format(text="varchar")} as sector_run from orders)
+    select sector_run,
+      try_cast(nullif(regexp_extract(sector_run, '^\\s*s?(\\d+)-s?(\\d+)\\s*$', 1), '') as int) as first_sector,
+      try_cast(nullif(regexp_extract(sector_run, '^\\s*s?(\\d+)-s?(\\d+)\\s*$', 2), '') as int) as last_sector
+    from runs""",
+)
+def sector_runs(spark: SparkSession, folder: str) -> DataFrame:
+    runs = table(spark, folder, "orders").select(F.expr(_RUN_TEXT.format(text="string")).alias("sector_run"))
+    return targets.distinct_runs(runs)
+
+
 _FILE = """concat('tess2021118034608-s', lpad(cast(month(o_orderdate) as {text}), 4, '0'), '-',
   lpad(cast(o_custkey as {text}), 16, '0'), '-0209-s_lc.fits')"""
 _LINE = """case o_orderpriority

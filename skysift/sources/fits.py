@@ -16,6 +16,8 @@ _BLOCK = 2880
 _CARD = 80
 # Element type of each TFORM code, big-endian.
 _ELEMENT = {"L": "S1", "B": "u1", "I": ">i2", "J": ">i4", "K": ">i8", "E": ">f4", "D": ">f8", "A": "S"}
+# Bytes per element of the formats that are passed over.
+_PASSED_OVER = {"C": 8, "M": 16, "P": 8, "Q": 16}
 _ROWS_PER_BATCH = 20_000
 
 HEADER_SCHEMA = "file string, hdu int, hdu_name string, key string, value string, comment string"
@@ -92,8 +94,9 @@ def _first_table(content: bytes) -> tuple[np.ndarray, dict[str, str]]:
             digits = form[: len(form) - len(form.lstrip("0123456789"))]
             count, code = int(digits or 1), form[len(digits) : len(digits) + 1]
             if code not in _ELEMENT:
-                raise ValueError(f"column format {form} is not supported")
-            if code == "A":
+                width = -(-count // 8) if code == "X" else count * _PASSED_OVER[code]
+                fields.append((f"f{i}", f"V{width}"))
+            elif code == "A":
                 fields.append((f"f{i}", f"S{count}"))
             else:
                 fields.append((f"f{i}", _ELEMENT[code], (count,)) if count != 1 else (f"f{i}", _ELEMENT[code]))
@@ -115,6 +118,8 @@ def _objects(values: list) -> np.ndarray:
 def _column(raw: np.ndarray, keys: dict[str, str], i: int, kind: T.DataType) -> np.ndarray:
     """One column as values that fit the Spark type: scaled, with nulls where the file says so."""
     form = keys[f"TFORM{i}"].strip().lstrip("0123456789")[:1]
+    if form not in _ELEMENT:
+        raise ValueError(f"column {i} has the format {form}, which is not read")
     wanted = T.ArrayType if raw.ndim > 1 else {"A": T.StringType, "L": T.BooleanType}.get(form, T.NumericType)
     if not isinstance(kind, wanted):
         raise ValueError(f"column {i} is no {kind.simpleString()}")
@@ -128,7 +133,7 @@ def _column(raw: np.ndarray, keys: dict[str, str], i: int, kind: T.DataType) ->
     if f"TNULL{i}" in keys and raw.dtype.kind in "iu":
         absent = raw == int(keys[f"TNULL{i}"])
     values = raw.astype(raw.dtype.newbyteorder("="))
-    scale, zero = float(keys.get(f"TSCAL{i}", 1)), float(keys.get(f"TZERO{i}", 0))
+    scale, zero = (float(keys.get(f"{k}{i}", d).upper().replace("D", "E")) for k, d in (("TSCAL", "1"), ("TZERO", "0")))
     if scale != 1 or zero:
         whole = values.dtype.kind in "iu" and scale.is_integer() and zero.is_integer()
         values = values.astype("int64") * int(scale) + int(zero) if whole else values * scale + zero

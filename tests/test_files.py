@@ -83,9 +83,10 @@ def test_wrong_or_absent_columns(spark, curve_folder):
 
 
 def test_scaled_null_text_flag_and_array_columns(spark, tmp_path):
-    data = b"".join(struct.pack(">hhB5sc2f", a, b, 200, s, f, 1.0, 2.0) for a, b, s, f in [(1, -1, b"ab", b"T"), (2, 5, b"cdefg", b"F")])
-    columns = [("A", "I"), ("B", "I"), ("C", "B"), ("S", "5A"), ("F", "L"), ("V", "2E")]
-    extra = [card("TSCAL1", 0.5), card("TZERO1", 10), card("TNULL2", -1)]
+    points = [(1, -1, b"ab", b"T"), (2, 5, b"cdefg", b"F")]
+    data = b"".join(struct.pack(">hhB5sc2f2s8s", a, b, 200, s, f, 1.0, 2.0, b"xx", b"complex!") for a, b, s, f in points)
+    columns = [("A", "I"), ("B", "I"), ("C", "B"), ("S", "5A"), ("F", "L"), ("V", "2E"), ("BITS", "11X"), ("Z", "C")]
+    extra = [card("TSCAL1", "5.0D-1"), card("TZERO1", 10), card("TNULL2", -1)]
     (tmp_path / name(5)).write_bytes(table_file(columns, data, 2, extra))
     df = fits.read_light_curves(
         fits.read_files(spark, str(tmp_path)), "A double, B int, C int, S string, F boolean, V array<float>"
@@ -93,6 +94,7 @@ def test_scaled_null_text_flag_and_array_columns(spark, tmp_path):
     assert rows(df) == [
         (10.5, None, 200, "ab", True, [1.0, 2.0], 5, 38), (11.0, 5, 200, "cdefg", False, [1.0, 2.0], 5, 38),
     ]
+    assert "not read" in fits.light_curve_status(fits.read_files(spark, str(tmp_path)), "Z double").first()["error"]
 
 
 def test_headers(spark, curve_folder):
