@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skysift.llm.common import in_batches, picked, with_fields
+
 #: Pieces remembered by a Python worker before it starts anew; a bound on memory, not on input.
 REMEMBERED = 200_000
 
@@ -189,10 +191,8 @@ def encode(docs: DataFrame, content: bytes, pattern: str, text: str = "text", id
             lists = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], lists], [*rest, ids])
 
-    given = docs.select(*[F.col(f"`{c}`") for c in [*rest, text]])
-    kept = [f for f in given.schema.fields if f.name != text]
-    schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return given.mapInArrow(run, schema)
+    added = T.StructField(ids, T.ArrayType(T.IntegerType()))
+    return in_batches(picked(docs, [*rest, text]), run, with_fields(picked(docs, rest), added))
 
 
 def decode(tokens: DataFrame, content: bytes, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -213,8 +213,8 @@ def decode(tokens: DataFrame, content: bytes, ids: str = "ids", decoded: str = "
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.binary())], [*names, decoded])
 
-    given = tokens.select(*[F.col(f"`{c}`") for c in names])
-    return given.mapInArrow(run, T.StructType([*given.schema.fields, T.StructField(decoded, T.BinaryType())]))
+    given = picked(tokens, names)
+    return in_batches(given, run, with_fields(given, T.StructField(decoded, T.BinaryType())))
 
 
 def digests(docs: DataFrame, content: bytes, pattern: str) -> DataFrame:

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skysift.plans.registered import table
 from skysift.session import shared_dir
 
-__all__ = ["Kept", "free_name", "keep", "order_key", "row_key", "same", "table", "text_rows"]
+__all__ = [
+    "Kept", "free_name", "in_batches", "keep", "order_key", "picked", "row_key", "same", "table", "text_rows", "with_fields",
+]
 
 
 @dataclass(frozen=True)
@@ -73,5 +78,26 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
+#: Bytes of rows handed to a Python worker at once. Texts are long: by rows alone a batch could fill its memory.
+BATCH_BYTES = 4 * 2**20
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_batches(
+    df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str
+) -> DataFrame:
+    """``mapInArrow`` over batches of at most BATCH_BYTES, or of one longer row. Sets the session's batch size."""
+    spark = df.sparkSession
+    if spark.conf.get(BATCH_KEY) != str(BATCH_BYTES):
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def picked(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Some columns of ``df`` by their exact names."""
+    return df.select(*[F.col(f"`{c}`") for c in names])
+
+
+def with_fields(df: DataFrame, *fields: T.StructField) -> T.StructType:
+    """The schema of ``df`` with further fields."""
+    return T.StructType([*df.schema.fields, *fields])

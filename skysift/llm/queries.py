@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skysift.llm import bpe, simhash
+from skysift.llm import bpe, quality, simhash
 from skysift.llm.common import table
 from skysift.plans.registered import Query
 
@@ -16,6 +17,15 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected grade of every document, probability of the best grade, and whether it is good enough to stay."""
+    docs = table(spark, folder, "documents")
+    model = quality.fit(docs, quality.graded(table(spark, folder, "labels")), grades=3)
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    keep = (F.col("tail_probability") >= quality.KEEP_FROM).alias("keep")
+    return scored.select("doc_id", "expected_grade", "tail_probability", keep)
+
+
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and group of near copies of every document."""
     return simhash.component_rows(table(spark, folder, "documents"), shingle=4, max_bits=4)
@@ -23,6 +33,7 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_quality_classifier": op3_quality_classifier,
     "op5_simhash": op5_simhash,
 }
 SQL: dict[str, str] = {}

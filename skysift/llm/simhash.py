@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skysift.llm.common import keep, row_key, same, text_rows
+from skysift.llm.common import free_name, in_batches, keep, picked, row_key, same, text_rows
 from skysift.llm.components import components
 
 SEED = 42
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             )
 
     rows = text_rows(docs).select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row"), "text")
-    return rows.mapInArrow(run, "doc_id long, row string, fp long")
+    return in_batches(rows, run, "doc_id long, row string, fp long")
 
 
 def _byte(fp: Column, position: int) -> Column:
@@ -96,7 +96,7 @@ def linked(fps: DataFrame, max_bits: int = 4) -> DataFrame:
         shared = shared + F.when(_byte(differ, p) == 0, F.lit(1 << p)).otherwise(F.lit(0))
     here, upto = F.col("one.set").bitwiseAND(255), F.shiftright(F.col("one.set"), 8)
     meet = (
-        same_set(F.col("one.set"), F.col("two.set"))
+        (F.col("one.set") == F.col("two.set"))
         & (F.col("one.value") == F.col("two.value"))
         & (F.col("one.fp") < F.col("two.fp"))
         & (F.bit_count(differ) <= max_bits)
@@ -106,10 +106,6 @@ def linked(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     return one.join(two, meet).select(F.col("one.fp").alias("a"), F.col("two.fp").alias("b"))
 
 
-def same_set(a: Column, b: Column) -> Column:
-    return a == b
-
-
 def near_copies(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """(doc_id, row, fp, component_id, head) per document.
 
@@ -149,12 +145,10 @@ def one_per_group(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataF
     Of rows that repeat a head's id and text, one stays.
     """
     heads = keep(near_copies(docs, shingle, max_bits).where("row = head").select("row"), "heads").df
-    key = "llm_row_key"
-    while key in docs.columns:
-        key += "_"
+    key = free_name(docs, "row_key")
     id_, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumn(key, row_key(id_, text))
     kept = keyed.join(heads.distinct().withColumnRenamed("row", key), key, "left_semi")
     if heads.count() > heads.distinct().count():
         kept = kept.dropDuplicates([key])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return picked(kept, docs.columns)
