@@ -34,13 +34,19 @@ def read_ranks(spark: SparkSession, path: str) -> bytes:
     return bytes(spark.read.format("binaryFile").load(local).select("content").first()[0])
 
 
+@lru_cache(maxsize=2)
+def tokens_of(content: bytes) -> dict[int, bytes]:
+    """The bytes of each rank of a rank file."""
+    lines = (line.split() for line in content.splitlines() if line.strip())
+    return {int(rank): base64.b64decode(token) for token, rank in lines}
+
+
 class Encoder:
     """Encodes pieces of bytes by the ranks of a vocabulary."""
 
     def __init__(self, content: bytes):
-        lines = (line.split() for line in content.splitlines() if line.strip())
-        self.rank = {base64.b64decode(token): int(rank) for token, rank in lines}
-        self.token = {rank: token for token, rank in self.rank.items()}
+        self.token = tokens_of(content)
+        self.rank = {token: rank for rank, token in self.token.items()}
         # How each token is made by merging its own bytes: its last two parts, or itself for a byte.
         self.parts: dict[int, tuple[int, int]] = {}
         self.plain = False
@@ -200,7 +206,7 @@ def decode(tokens: DataFrame, content: bytes, ids: str = "ids", decoded: str = "
     names = [c for c in tokens.columns if c != decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = encoder(content).token.__getitem__
+        token = tokens_of(content).__getitem__
         at = names.index(ids)
         for batch in batches:
             column = batch.column(at)
