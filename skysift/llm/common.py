@@ -61,7 +61,7 @@ def order_key(doc_id: Column, position: Column, below: int = 2**40) -> Column:
 
     A decimal keeps the minimum in a hash aggregate, where a struct would need sorted rows.
     """
-    at = F.coalesce(doc_id.cast("decimal(20,0)"), F.lit(-(2**63) - 1).cast("decimal(20,0)"))
+    at = F.coalesce(doc_id.cast("decimal(20,0)"), F.lit(str(-(2**63) - 1)).cast("decimal(20,0)"))
     return (at * F.lit(below).cast("decimal(13,0)") + position.cast("decimal(13,0)")).cast("decimal(38,0)")
 
 

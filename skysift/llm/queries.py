@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.llm import bpe, quality, simhash
+from skysift.llm import bpe, lines, multiset, quality, simhash
 from skysift.llm.common import table
 from skysift.plans.registered import Query
 
@@ -26,14 +26,27 @@ def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", "expected_grade", "tail_probability", keep)
 
 
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without its repeated and nearly repeated lines."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs, n_lines="n_lines", n_removed="n_removed")
+
+
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and group of near copies of every document."""
     return simhash.component_rows(table(spark, folder, "documents"), shingle=4, max_bits=4)
 
 
+def op10_multiset_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    """Multiset fingerprints of every document and of its edited text."""
+    return multiset.edited_rows(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
+    "op10_multiset_fingerprint": op10_multiset_fingerprint,
 }
 SQL: dict[str, str] = {}
