@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.llm import bpe, lines, multiset, quality, simhash
+from skysift.llm import bpe, leaks, lines, multiset, quality, simhash
 from skysift.llm.common import table
 from skysift.plans.registered import Query
 
@@ -37,6 +37,11 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.component_rows(table(spark, folder, "documents"), shingle=4, max_bits=4)
 
 
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every benchmark item that a document holds, exactly or with a few words edited."""
+    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op10_multiset_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     """Multiset fingerprints of every document and of its edited text."""
     return multiset.edited_rows(table(spark, folder, "documents"))
@@ -47,6 +52,7 @@ QUERIES: dict[str, Query] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
+    "op7_decontamination": op7_decontamination,
     "op10_multiset_fingerprint": op10_multiset_fingerprint,
 }
 SQL: dict[str, str] = {}
