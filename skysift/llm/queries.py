@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.llm import bpe, leaks, lines, multiset, quality, simhash
+from skysift.llm import bpe, classlm, leaks, lines, multiset, quality, simhash
 from skysift.llm.common import table
 from skysift.plans.registered import Query
 
@@ -42,6 +42,11 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op9_class_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Class-based bigram score of every document, beside a smoothed unigram score."""
+    return classlm.score(table(spark, folder, "documents"))
+
+
 def op10_multiset_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     """Multiset fingerprints of every document and of its edited text."""
     return multiset.edited_rows(table(spark, folder, "documents"))
@@ -53,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
     "op7_decontamination": op7_decontamination,
+    "op9_class_lm": op9_class_lm,
     "op10_multiset_fingerprint": op10_multiset_fingerprint,
 }
 SQL: dict[str, str] = {}
