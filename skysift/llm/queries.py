@@ -6,11 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.llm import bpe, classlm, leaks, lines, multiset, quality, simhash
+from skysift.llm import bpe, classlm, leaks, lines, multiset, quality, simhash, substrings
 from skysift.llm.common import table
 from skysift.plans.registered import Query
 
 
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the words of repeated windows of 20 words."""
+    kept = substrings.dedup_substrings(table(spark, folder, "documents"), window=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Byte-level BPE of every document, and back."""
     ranks = bpe.read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -53,6 +59,7 @@ def op10_multiset_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_line_dedup": op4_line_dedup,
