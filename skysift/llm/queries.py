@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.llm import bpe, classlm, leaks, lines, multiset, quality, simhash, substrings
+from skysift.llm import bpe, classlm, langid, leaks, lines, multiset, quality, simhash, substrings
 from skysift.llm.common import table
 from skysift.plans.registered import Query
 
@@ -43,6 +43,15 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.component_rows(table(spark, folder, "documents"), shingle=4, max_bits=4)
 
 
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from three quarters of them."""
+    docs = table(spark, folder, "documents")
+    model = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
+    found = langid.identify(docs, model)
+    held_out = langid.held_out(F.col("doc_id")).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every benchmark item that a document holds, exactly or with a few words edited."""
     return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -64,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash": op5_simhash,
+    "op6_language_id": op6_language_id,
     "op7_decontamination": op7_decontamination,
     "op9_class_lm": op9_class_lm,
     "op10_multiset_fingerprint": op10_multiset_fingerprint,
