@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.llm import bpe, classlm, langid, leaks, lines, multiset, quality, simhash, substrings
+from skysift.llm import bpe, chats, classlm, langid, leaks, lines, multiset, quality, simhash, substrings
 from skysift.llm.common import table
 from skysift.plans.registered import Query
 
@@ -57,6 +57,11 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op8_chat_tools(spark: SparkSession, folder: str) -> DataFrame:
+    """Every turn of the conversations as a linked, ordered and validated tool call."""
+    return chats.link(*chats.from_turns(table(spark, folder, "conversations")))
+
+
 def op9_class_lm(spark: SparkSession, folder: str) -> DataFrame:
     """Class-based bigram score of every document, beside a smoothed unigram score."""
     return classlm.score(table(spark, folder, "documents"))
@@ -75,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op5_simhash": op5_simhash,
     "op6_language_id": op6_language_id,
     "op7_decontamination": op7_decontamination,
+    "op8_chat_tools": op8_chat_tools,
     "op9_class_lm": op9_class_lm,
     "op10_multiset_fingerprint": op10_multiset_fingerprint,
 }
