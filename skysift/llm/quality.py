@@ -194,9 +194,10 @@ def score(docs: DataFrame, model: Model, expected: str = "expected_grade", tail:
 
 def graded(labels: DataFrame) -> DataFrame:
     """Grades of the label table: 0 poor, 1 well written but toxic, 2 good. A null label gives no grade."""
+    good = F.when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 2)
     return labels.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 2).alias("grade"),
+        F.when(F.col("quality") == 0, 0).when(F.col("quality") == 1, good).alias("grade"),
     )
 
 

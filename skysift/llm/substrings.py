@@ -102,13 +102,15 @@ def anchors(hashes: np.ndarray, sizes: np.ndarray, window: int = WINDOW) -> tupl
 
     Returns the anchor's name, a hash of all words of the group and the anchor's place in it, the first window's
     """
+    counts = np.maximum(sizes - window + 1, 0)
+    if counts.sum() == 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     ends = np.cumsum(sizes)
     begins = ends - sizes
     first, last = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
     full = sizes > 0
     first[begins[full]], last[ends[full] - 1] = True, True
     names, starts, stops, low, high = symbols(hashes, first, last)
-    counts = np.maximum(sizes - window + 1, 0)
     at = np.arange(counts.sum()) + np.repeat(begins - (np.cumsum(counts) - counts), counts)
     owner = np.repeat(np.arange(len(sizes)), counts)
     # Dependencies rise with the symbols, so those inside a window are neighbours: a range minimum finds the anchor.
