@@ -63,7 +63,7 @@ class Encoder:
         self.automaton.make_automaton()
         self.shorter = {rank: self._longest_within(self.token[rank][:-1]) for rank in self.parts}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Known(self)
 
     def _ordered(self) -> bool:
         """Whether all bytes are tokens and every token outranks its parts; else pieces are merged step by step."""
@@ -160,13 +160,22 @@ class Encoder:
         return tuple(path)
 
     def encode(self, piece: str) -> tuple[int, ...]:
-        ids = self.known.get(piece)
-        if ids is None:
-            ids = self._piece(piece.encode("utf-8"))
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            if len(piece) <= 64:
-                self.known[piece] = ids
+        return self.known[piece]
+
+
+class Known(dict[str, tuple[int, ...]]):
+    """Encoded pieces; others are encoded when asked for, and remembered unless they are long."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.encoder._piece(piece.encode("utf-8"))
+        if len(piece) <= 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = ids
         return ids
 
 
@@ -186,7 +195,7 @@ def encode(docs: DataFrame, content: bytes, pattern: str, text: str = "text", id
     rest = [c for c in docs.columns if c not in (text, ids)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, one = regex.compile(pattern).findall, encoder(content).encode
+        find, one = regex.compile(pattern).findall, encoder(content).known.__getitem__
         for batch in batches:
             counts, parts = [0], []
             for value in batch.column(len(rest)).to_pylist():
