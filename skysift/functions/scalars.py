@@ -89,9 +89,9 @@ def with_column_once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def score_class(score: Column) -> Column:
-    """Result text of a score; a missing score has no class."""
+    """Result text of a score; a missing score, or NaN, has no class."""
     return (
-        F.when(score.isNull(), F.lit(None).cast("string"))
+        F.when(valid_double(score).isNull(), F.lit(None).cast("string"))
         .when(score <= fv.FALSE_POSITIVE_MAX, fv.FALSE_POSITIVE)
         .when(score <= fv.CANDIDATE_MAX, fv.CANDIDATE)
         .otherwise(fv.CONFIRMED)
@@ -122,8 +122,8 @@ def is_confirmable(
     labels: Sequence[str] = fv.CONFIRMABLE_LABELS,
     above: float = fv.CONFIRMABLE_ABOVE,
 ) -> Column:
-    """True for a confirmed label with confidence strictly above the bound, never null."""
-    return F.coalesce(label.isin(*labels) & (confidence > above), F.lit(False))
+    """True for a confirmed label with confidence strictly above the bound, never null; NaN confirms nothing."""
+    return F.coalesce(label.isin(*labels) & (valid_double(confidence) > above), F.lit(False))
 
 
 def label_scores(labels: Sequence[str], scores: Column) -> Column:

@@ -51,8 +51,8 @@ REPORT_SCHEMA = (
     "columns array<string>, numeric_columns array<string>, documentation string, expected_labels array<string>, "
     "unexpected_labels array<string>, errors array<string>"
 )
-# A label column with more kinds of values than this is no label column.
-MAX_LABEL_KINDS = 1_000
+# Rows without a label, in the distribution of a report.
+NO_LABEL = "null"
 
 
 def catalog_report(df: DataFrame) -> DataFrame:
@@ -65,27 +65,33 @@ def catalog_report(df: DataFrame) -> DataFrame:
         return spark.createDataFrame([row], REPORT_SCHEMA)
     f = fv.FORMATS[name]
     label = label_column(df, name)
-    if label is None:
-        counts, total = None, df.count()
-    else:
-        counts = label_counts(df, label)
-        total = sum(counts.values())
     errors = [] if f.object_column in df.columns else [f"missing object column: {f.object_column}"]
-    shown = {} if counts is None else {str(k): v for k, v in counts.items() if k is not None}
-    row = (
-        not errors, name, f.title, label, label is not None, shown, f.object_column, total, len(df.columns),
-        df.columns, numeric_columns(df), f.documentation, list(f.expected_labels),
-        sorted(k for k in shown if k not in f.expected_labels), errors,
-    )
-    return spark.createDataFrame([row], REPORT_SCHEMA)
-
-
-def label_counts(df: DataFrame, label: str) -> dict[object, int]:
-    """Rows per label, null included, on the driver; ValueError for a column of too many kinds."""
-    rows = value_counts(df, label).limit(MAX_LABEL_KINDS + 1).collect()
-    if len(rows) > MAX_LABEL_KINDS:
-        raise ValueError(f"{label} has more than {MAX_LABEL_KINDS} different values")
-    return {r["value"]: r["count"] for r in rows}
+    kinds = F.lit(None).cast("string") if label is None else F.coalesce(F.col(f"`{label}`").cast("string"), F.lit(NO_LABEL))
+    counts = df.groupBy(kinds.alias("value")).agg(F.count("*").alias("count"))
+    # One entry a label, however many there are: it is what the report shows.
+    listed = F.map_from_entries(F.collect_list(F.struct("value", "count")))
+    whole = counts.agg(
+        F.coalesce(F.sum("count"), F.lit(0)).alias("total"),
+        listed.alias("shown") if label is not None else F.expr("map()").cast("map<string,bigint>").alias("shown"),
+    )
+    texts = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    unexpected = F.array_sort(F.filter(F.map_keys("shown"), lambda k: ~k.isin(*f.expected_labels, NO_LABEL)))
+    values = [
+        F.lit(not errors), F.lit(name), F.lit(f.title), F.lit(label), F.lit(label is not None), F.col("shown"),
+        F.lit(f.object_column), F.col("total"), F.lit(len(df.columns)), texts(df.columns), texts(numeric_columns(df)),
+        F.lit(f.documentation), texts(f.expected_labels), unexpected, texts(errors),
+    ]
+    fields = T.StructType.fromDDL(REPORT_SCHEMA).fields
+    return whole.select(*[v.cast(x.dataType).alias(x.name) for v, x in zip(values, fields)])
+
+
+def label_counts(df: DataFrame, label: str, most: int | None = None) -> dict[object, int]:
+    """Rows per label, null included, on the driver; ValueError beyond ``most`` different labels."""
+    rows = value_counts(df, label)
+    found = (rows if most is None else rows.limit(most + 1)).collect()
+    if most is not None and len(found) > most:
+        raise ValueError(f"{label} has more than {most} different values")
+    return {r["value"]: r["count"] for r in found}
 
 
 def prepare_catalog(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -109,7 +115,7 @@ def standard_checks(df: DataFrame, for_training: bool = False) -> DataFrame:
     missing = [c for c in required if c not in df.columns]
     present = [c for c in fv.STANDARD_COLUMNS if c in df.columns]
     row = df.agg(
-        F.count("*").alias("total"), *[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(present)]
+        F.count("*").alias("total"), *[F.count_if(_missing(df, c)).alias(f"n{i}") for i, c in enumerate(present)]
     ).first()
     found = []
     if missing:
@@ -132,24 +138,63 @@ def standard_checks(df: DataFrame, for_training: bool = False) -> DataFrame:
     return findings
 
 
+def _missing(df: DataFrame, name: str) -> Column:
+    floating = isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
+    return F.col(name).isNull() | F.isnan(name) if floating else F.col(name).isNull()
+
+
+def training_check(df: DataFrame) -> DataFrame:
+    """One row: usable, rows, columns, class_distribution, errors and warnings of a table to train on.
+
+    A table with an error among its findings is not usable.
+    """
+    findings = standard_checks(df, for_training=True)
+    lists = findings.agg(
+        *[
+            F.array_sort(F.collect_list(F.when(F.col("severity") == kind, F.concat_ws(": ", "check", "detail")))).alias(f"{kind}s")
+            for kind in ("error", "warning")
+        ]
+    )
+    label = fv.STANDARD_LABEL if fv.STANDARD_LABEL in df.columns else None
+    value = F.lit(NO_LABEL) if label is None else F.coalesce(F.col(label).cast("string"), F.lit(NO_LABEL))
+    kinds = df.groupBy(value.alias("value")).agg(F.count("*").alias("count")).agg(
+        F.coalesce(F.sum("count"), F.lit(0)).alias("rows"),
+        F.map_from_entries(F.collect_list(F.struct("value", "count"))).alias("class_distribution"),
+    )
+    # One row on both sides.
+    both = lists.withColumn("one", F.lit(1)).join(kinds.withColumn("one", F.lit(1)), "one")
+    return both.select(
+        (F.size("errors") == 0).alias("usable"), "rows", F.lit(len(df.columns)).alias("columns"),
+        "class_distribution", "errors", "warnings",
+    )
+
+
 def unexpected_labels(df: DataFrame, label: str, allowed: Sequence[str]) -> DataFrame:
     """(value, count) of the labels outside the allowed ones; null is not reported."""
     return value_counts(df.filter(~F.col(f"`{label}`").isin(*allowed)), label)
 
 
-def row_shape(lines: DataFrame, fields: int | Column | None = None, sep: str = ",", tolerated: int = 5) -> DataFrame:
+def row_shape(
+    lines: DataFrame, fields: int | Column | None = None, sep: str = ",", tolerated: float = 0.1,
+    first_n: int | None = None, order_by: Sequence[str] = (),
+) -> DataFrame:
     """One row: data lines, lines with a wrong field count, and whether the text is usable.
 
     ``fields`` is the expected count, taken from the header when absent; the header is then
-    left out of the lines. Every line is checked.
+    left out of the lines. Every line is checked, or the first ``first_n`` by ``order_by``; a text is usable
+    if at most the share ``tolerated`` of them is wrong.
     """
     body = catalog.data_lines(lines)
+    if first_n is not None:
+        if not order_by:
+            raise ValueError("the first lines need an order")
+        body = body.orderBy(*order_by).limit(first_n)
     if fields is None:
         header = catalog.first_line(lines)
         body, fields = body.filter(F.col("value") != header), len(catalog.split_header(header, sep))
     count = F.size(F.split("value", f"[{sep}]", -1))
     shape = body.agg(F.count("*").alias("rows"), F.count_if(count != fields).alias("wrong_rows"))
-    return shape.withColumn("is_valid", (F.col("rows") >= 1) & (F.col("wrong_rows") <= tolerated))
+    return shape.withColumn("is_valid", (F.col("rows") >= 1) & (F.col("wrong_rows") <= F.col("rows") * tolerated))
 
 
 def check_header(header: str, sep: str = ",") -> dict[str, object]:

@@ -1,18 +1,17 @@
 """Profile of a table: missing values, distributions, outliers, duplicates, balance and correlations.
 
-Each analysis is one aggregate over all columns, turned into one row per column afterwards.
+The columns are turned into (column, value) cells and grouped by column, so an analysis is one scan of the
+table, however many columns it has. NaN counts as missing throughout.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass
-from functools import reduce
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,13 +19,6 @@ from ..functions import fixed_values as fv
 from ..functions import scalars as S
 from . import quantiles
 
-# Columns and column pairs per pass. Larger passes leave the size of code that is compiled to
-# machine code; each pass reads only its own columns.
-COLUMNS_PER_PASS = 10
-PAIRS_PER_PASS = 16
-# Up to this many columns, pairs are aggregated by Spark; beyond, by partial sums of all pairs at once.
-FEW_COLUMNS = 8
-
 
 def _c(name: str) -> Column:
     return F.col(f"`{name}`")
@@ -63,56 +55,60 @@ def _column_values(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return long.groupBy("column", "value").agg(F.count("*").alias("value_count"))
 
 
-def _to_rows(wide: DataFrame, names: Sequence[str], fields: Mapping[str, str]) -> DataFrame:
-    """One-row frame with columns ``<field>_<i>`` to one row per name."""
-    items = [
-        F.struct(
-            F.lit(n).alias("column"), *[F.col(f"{f}_{i}").cast(kind).alias(f) for f, kind in fields.items()]
-        )
-        for i, n in enumerate(names)
-    ]
-    return wide.select(F.explode(F.array(*items)).alias("r")).select("r.*")
+def _cells(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
+    """(column, value) of every row and column, one type for all values; nulls are kept."""
+    cells = [F.struct(F.lit(n).alias("column"), v.alias("value")) for n, v in values.items()]
+    return df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
+
+
+def _numbers(names: Sequence[str]) -> dict[str, Column]:
+    return {n: S.valid_double(_c(n)) for n in names}
+
+
+def _usable(df: DataFrame, name: str) -> Column:
+    """Whether a cell holds a value; NaN is none."""
+    floating = isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
+    return _c(name).isNotNull() & ~F.isnan(_c(name)) if floating else _c(name).isNotNull()
+
+
+def _for_columns(df: DataFrame, names: Sequence[str], grouped: DataFrame, zero: Mapping[str, Column]) -> DataFrame:
+    """A row for each column, also where the table has no rows; ``zero`` gives the values then."""
+    titles = df.sparkSession.createDataFrame([(n,) for n in names], "column string")
+    # One row a column on both sides.
+    joined = titles.join(grouped, "column", "left")
+    return joined.select("column", *[F.coalesce(c, zero[c]).alias(c) if c in zero else F.col(c) for c in grouped.columns if c != "column"])
 
 
 def schema_and_missing(df: DataFrame) -> DataFrame:
     """(column, dtype, null_count, null_pct) of every column; the share of an empty table is 0."""
     names = df.columns
-    filled = df.agg(F.count("*").alias("total"), *[F.count(_c(n)).alias(f"filled_{i}") for i, n in enumerate(names)])
-    total = F.col("total")
-    columns = []
-    for i, f in enumerate(df.schema.fields):
-        nulls = total - F.col(f"filled_{i}")
-        share = F.when(total > 0, nulls / total).otherwise(0.0)
-        columns += [nulls.alias(f"null_count_{i}"), share.alias(f"null_pct_{i}")]
-        columns.append(F.lit(f.dataType.simpleString()).alias(f"dtype_{i}"))
-    fields = {"dtype": "string", "null_count": "bigint", "null_pct": "double"}
-    return _to_rows(filled.select(*columns), names, fields)
+    missing = F.count_if(~F.col("value"))
+    grouped = _cells(df, {n: _usable(df, n) for n in names}).groupBy("column").agg(
+        missing.alias("null_count"), F.try_divide(missing, F.count("*")).alias("null_pct")
+    )
+    rows = _for_columns(df, names, grouped, {"null_count": F.lit(0).cast("bigint"), "null_pct": F.lit(0.0)})
+    kinds = F.create_map(*[F.lit(x) for f in df.schema.fields for x in (f.name, f.dataType.simpleString())])
+    return rows.select("column", F.try_element_at(kinds, F.col("column")).alias("dtype"), "null_count", "null_pct")
 
 
 _STATS = {"count": "bigint", "mean": "double", "std": "double", "min": "double", "max": "double"}
 
 
-def _stat_aggs(names: Sequence[str]) -> list[Column]:
-    aggs = []
-    for i, n in enumerate(names):
-        x = _c(n).cast("double")
-        aggs += [
-            F.count(x).alias(f"count_{i}"),
-            F.avg(x).alias(f"mean_{i}"),
-            F.stddev_samp(x).alias(f"std_{i}"),
-            F.min(x).alias(f"min_{i}"),
-            F.max(x).alias(f"max_{i}"),
-        ]
-    return aggs
+def _grouped_statistics(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(column, count, mean, std, min, max, variance, rows) of the numeric columns, in one scan."""
+    value = F.col("value")
+    return _cells(df, _numbers(names)).groupBy("column").agg(
+        F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
+        F.min(value).alias("min"), F.max(value).alias("max"), F.var_samp(value).alias("variance"), F.count("*").alias("rows"),
+    )
 
 
 def _statistics(df: DataFrame, names: Sequence[str]) -> dict[str, dict[str, float | None]]:
-    """The plain statistics of every column, on the driver."""
-    found = {}
-    for at in range(0, len(names), COLUMNS_PER_PASS):
-        part = names[at : at + COLUMNS_PER_PASS]
-        row = df.agg(*_stat_aggs(part)).first()
-        found.update({n: {k: row[f"{k}_{i}"] for k in _STATS} for i, n in enumerate(part)})
+    """The plain statistics of every column, on the driver: one row a column."""
+    found = {n: {k: 0 if k == "count" else None for k in _STATS} for n in names}
+    if names:
+        for r in _grouped_statistics(df, names).collect():
+            found[r["column"]] = {k: r[k] for k in _STATS}
     return found
 
 
@@ -158,44 +154,58 @@ def outliers_iqr(
     Bounds known from :func:`numeric_distributions` save the scans that look for them.
     """
     names = list(columns) if columns is not None else numeric_columns(df)
-    fields = {"lower": "double", "upper": "double", "outliers": "bigint", "outlier_pct": "double"}
+    schema = "column string, lower double, upper double, outliers bigint, outlier_pct double"
     if not names:
-        return df.sparkSession.createDataFrame([], "column string, " + ", ".join(f"{k} {v}" for k, v in fields.items()))
+        return df.sparkSession.createDataFrame([], schema)
     bounds = iqr_bounds(df, names) if bounds is None else bounds
-    counts = df.agg(
-        F.count("*").alias("total"),
-        *[
-            F.count(F.when(is_outlier(_c(n).cast("double"), *bounds[n]), 1)).alias(f"outliers_{i}")
-            for i, n in enumerate(names)
-        ],
+    outside = {n: is_outlier(v, *bounds[n]) for n, v in _numbers(names).items()}
+    grouped = _cells(df, outside).groupBy("column").agg(
+        F.count_if("value").alias("outliers"), F.try_divide(F.count_if("value"), F.count("*")).alias("outlier_pct")
     )
-    wide = counts.select("*", *[c for i, n in enumerate(names) for c in _bound_columns(i, *bounds[n])])
-    return _to_rows(wide, names, fields)
-
-
-def _bound_columns(i: int, lower: float | None, upper: float | None) -> list[Column]:
-    share = F.when(F.col("total") > 0, F.col(f"outliers_{i}") / F.col("total")).otherwise(0.0)
-    return [F.lit(lower).alias(f"lower_{i}"), F.lit(upper).alias(f"upper_{i}"), share.alias(f"outlier_pct_{i}")]
+    rows = _for_columns(df, names, grouped, {"outliers": F.lit(0).cast("bigint"), "outlier_pct": F.lit(0.0)})
+    known = df.sparkSession.createDataFrame([(n, *bounds[n]) for n in names], "column string, lower double, upper double")
+    return rows.join(known, "column").select("column", "lower", "upper", "outliers", "outlier_pct")
 
 
-def _row_counts(df: DataFrame) -> DataFrame:
-    return df.groupBy(*[_c(n) for n in df.columns]).agg(F.count("*").alias("multiplicity"))
+def _digest(df: DataFrame) -> Column:
+    """128 bits of a row, its values and their nulls."""
+    parts = []
+    for f in df.schema.fields:
+        column = _c(f.name)
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            column = F.to_json(F.array_sort(F.map_entries(column)) if isinstance(f.dataType, T.MapType) else column)
+        text = column.cast("string")
+        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    return F.md5(F.concat_ws("|", *parts)).alias("digest")
 
 
 def duplicates_summary(df: DataFrame) -> DataFrame:
-    """One row: total, duplicates (rows beyond the first of each kind), rows_in_dup_groups."""
+    """One row: total, duplicates (rows beyond the first of each kind), rows_in_dup_groups.
+
+    Rows are grouped by a digest of 128 bits, so a wide row is not shuffled.
+    """
     n = F.col("multiplicity")
-    return _row_counts(df).agg(
+    return df.select(_digest(df)).groupBy("digest").agg(F.count("*").alias("multiplicity")).agg(
         F.coalesce(F.sum(n), F.lit(0)).alias("total"),
         F.coalesce(F.sum(n - 1), F.lit(0)).alias("duplicates"),
         F.coalesce(F.sum(F.when(n > 1, n)), F.lit(0)).alias("rows_in_dup_groups"),
     )
 
 
-def duplicated_rows(df: DataFrame, limit: int | None = 50) -> DataFrame:
-    """Rows that occur more than once, with their ``multiplicity``; the profile shows 50."""
-    rows = _row_counts(df).filter(F.col("multiplicity") > 1)
-    return rows if limit is None else rows.limit(limit)
+def duplicated_rows(df: DataFrame, limit: int | None = None, order_by: Sequence[str] = ()) -> DataFrame:
+    """Rows that occur more than once, with their ``multiplicity``; a limited view needs an order.
+
+    Only rows whose digest occurs more than once are compared value by value.
+    """
+    if limit is not None and not order_by:
+        raise ValueError("a limited view of the duplicated rows needs an order")
+    marked = df.select("*", _digest(df))
+    again = marked.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    maps = [f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType)]
+    rows = marked.join(again, "digest", "left_semi").withColumns({m: F.array_sort(F.map_entries(_c(m))) for m in maps})
+    rows = rows.groupBy(*[_c(n) for n in df.columns]).agg(F.count("*").alias("multiplicity")).filter("multiplicity > 1")
+    rows = rows.withColumns({m: F.map_from_entries(_c(m)) for m in maps})
+    return rows if limit is None else rows.orderBy(*[_c(c) for c in order_by]).limit(limit)
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -208,6 +218,18 @@ def top_values(df: DataFrame, column: str, k: int = 15) -> DataFrame:
     return value_counts(df, column).orderBy(F.desc("count"), F.asc_nulls_last("value")).limit(k)
 
 
+def top_values_of(df: DataFrame, names: Sequence[str], k: int = 15) -> DataFrame:
+    """(column, value, count) of the k most frequent values of each column, as text; ties by value.
+
+    The window sees one row a distinct value, and columns of few kinds are what it is for.
+    """
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, value string, count bigint")
+    place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("value_count"), F.asc_nulls_last("value")))
+    ranked_ = _column_values(df, names).withColumn("place", place).filter(F.col("place") <= k)
+    return ranked_.select("column", "value", F.col("value_count").alias("count"))
+
+
 def class_imbalance(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, top_value, top_count, top_pct) of each categorical column; ties by smallest value."""
     names = list(columns) if columns is not None else categorical_columns(df, 20)
@@ -230,122 +252,86 @@ def class_imbalance(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     )
 
 
-def correlations(df: DataFrame, columns: Sequence[str] | None = None, few: int = FEW_COLUMNS) -> DataFrame:
+def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(var1, var2, corr) for every column pair, upper triangle in table order, pairwise complete.
 
-    The correlation of a column that is constant over the shared rows is null.
+    The correlation of a column that is constant over the shared rows, or holds an infinity, is null. Each task
+    reduces its rows to counts, means and co-moments of all pairs, centred on the rows that a pair shares;
+    Spark merges the tasks. One scan, the same way for any number of columns.
     """
     names = list(columns) if columns is not None else numeric_columns(df)
     if len(names) < 2:
         return df.sparkSession.createDataFrame([], "var1 string, var2 string, corr double")
-    shape = _column_shapes(df, names)
-    return _pairs_by_aggregate(df, names, shape) if len(names) <= few else _pairs_by_sums(df, names, shape)
-
-
-@dataclass(frozen=True)
-class _Shape:
-    complete: bool
-    varies: bool
-    mean: float
-
-
-def _column_shapes(df: DataFrame, names: Sequence[str]) -> dict[str, _Shape]:
-    """Whether each column is free of nulls and has more than one value, and its mean."""
-    shapes = {}
-    for at in range(0, len(names), COLUMNS_PER_PASS):
-        part = names[at : at + COLUMNS_PER_PASS]
-        aggs = [F.count("*").alias("total")]
-        for i, n in enumerate(part):
-            x = S.valid_double(_c(n))
-            aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"), F.avg(x).alias(f"m{i}")]
-        row = df.agg(*aggs).first()
-        for i, n in enumerate(part):
-            shapes[n] = _Shape(row[f"n{i}"] == row["total"], row[f"a{i}"] != row[f"b{i}"], row[f"m{i}"] or 0.0)
-    return shapes
-
-
-def _pairs_by_aggregate(df: DataFrame, names: Sequence[str], shape: Mapping[str, _Shape]) -> DataFrame:
-    pairs = list(combinations(names, 2))
-    parts = []
-    for at in range(0, len(pairs), PAIRS_PER_PASS):
-        part = pairs[at : at + PAIRS_PER_PASS]
-        aggs = [a for i, (x, y) in enumerate(part) for a in _pair_aggs(i, x, y, shape)]
-        values = [
-            F.struct(F.lit(x).alias("var1"), F.lit(y).alias("var2"), _pair_corr(i, x, y, shape).alias("corr"))
-            for i, (x, y) in enumerate(part)
-        ]
-        wide = df.agg(F.count(F.lit(1)).alias("total"), *aggs)
-        parts.append(wide.select(F.explode(F.array(*values)).alias("r")).select("r.*"))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _pair_aggs(i: int, x: str, y: str, shape: Mapping[str, _Shape]) -> list[Column]:
-    if not (shape[x].varies and shape[y].varies):
-        return []
-    a, b = S.valid_double(_c(x)), S.valid_double(_c(y))
-    if shape[x].complete and shape[y].complete:
-        return [F.corr(a, b).alias(f"r{i}")]
-    return [
-        F.covar_pop(a, b).alias(f"c{i}"),
-        F.var_pop(F.when(b.isNotNull(), a)).alias(f"u{i}"),
-        F.var_pop(F.when(a.isNotNull(), b)).alias(f"v{i}"),
-    ]
-
-
-def _pair_corr(i: int, x: str, y: str, shape: Mapping[str, _Shape]) -> Column:
-    if not (shape[x].varies and shape[y].varies):
-        return F.lit(None).cast("double")
-    if shape[x].complete and shape[y].complete:
-        return F.col(f"r{i}")
-    return _bounded_ratio(F.col(f"c{i}"), F.sqrt(F.col(f"u{i}")) * F.sqrt(F.col(f"v{i}")))
-
-
-def _bounded_ratio(covariance: Column, spread: Column) -> Column:
-    ratio = F.try_divide(covariance, spread)
-    return F.when(spread > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio)))
-
-
-def _pairs_by_sums(df: DataFrame, names: Sequence[str], shape: Mapping[str, _Shape]) -> DataFrame:
-    """All pairs in one scan: every task adds up the products of its rows, Spark adds up the tasks.
-
-    The columns are shifted by their means, so that the sums of squares lose no digits.
-    """
-    means = np.array([shape[n].mean for n in names])
     data = df.select(*[S.valid_double(_c(n)).alias(f"x{i}") for i, n in enumerate(names)])
-    rows, cols = np.triu_indices(len(names), 1)
+    k = len(names)
+    rows, cols = np.triu_indices(k, 1)
 
-    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, sx, sxy, sxx = (np.zeros((len(means), len(means))) for _ in range(4))
+    def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
         for batch in batches:
-            x = batch.to_numpy(dtype="float64", na_value=np.nan) - means
-            known = (~np.isnan(x)).astype("float64")
-            x = np.where(known > 0, x, 0.0)
-            n += known.T @ known
-            sx += x.T @ known
-            sxy += x.T @ x
-            sxx += (x * x).T @ known
-        sums = {"n": n, "sx": sx, "sy": sx.T, "sxy": sxy, "sxx": sxx, "syy": sxx.T}
-        yield pd.DataFrame({"i": rows, "j": cols, **{k: v[rows, cols] for k, v in sums.items()}})
-
-    schema = "i int, j int, n double, sx double, sy double, sxy double, sxx double, syy double"
-    total = data.mapInPandas(products, schema).groupBy("i", "j").agg(
-        *[F.sum(k).alias(k) for k in ("n", "sx", "sy", "sxy", "sxx", "syy")]
-    )
-    n = F.col("n")
-
-    def spread(squares: str, plain: str) -> Column:
-        centred = F.col(squares) - F.try_divide(F.col(plain) * F.col(plain), n)
-        # What is left of a constant column is rounding.
-        return F.when(centred > 1e-12 * F.col(squares), centred)
-
-    covariance = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), n)
-    corr = _bounded_ratio(covariance, F.sqrt(spread("sxx", "sx")) * F.sqrt(spread("syy", "sy")))
-    both_vary = F.array(*[F.lit(shape[c].varies) for c in names])
-    titles = F.array(*[F.lit(c) for c in names])
-    varies = F.get(both_vary, F.col("i")) & F.get(both_vary, F.col("j"))
-    return total.select(
-        F.get(titles, F.col("i")).alias("var1"), F.get(titles, F.col("j")).alias("var2"), F.when(varies, corr).alias("corr")
+            with np.errstate(invalid="ignore", over="ignore"):
+                part = _moments(batch.to_numpy(dtype="float64", na_value=np.nan))
+                total = part if total is None else _merged(total, part)
+        if total is not None:
+            yield pd.DataFrame({"i": rows, "j": cols, **{name: v[rows, cols] for name, v in total.items()}})
+
+    schema = "i int, j int, n double, mx double, my double, cxy double, cxx double, cyy double"
+    parts = data.mapInPandas(reduced, schema).where("n > 0")
+    # One row a task and pair. Shifted by the smallest mean, equal means leave exactly nothing.
+    pair = Window.partitionBy("i", "j")
+    shifted = parts.withColumns({"dx": F.col("mx") - F.min("mx").over(pair), "dy": F.col("my") - F.min("my").over(pair)})
+    n, x, y = F.col("n"), F.col("dx"), F.col("dy")
+
+    def between(a: Column, b: Column) -> Column:
+        return F.sum(n * a * b) - F.sum(n * a) * F.sum(n * b) / F.sum(n)
+
+    whole = shifted.groupBy("i", "j").agg(
+        (F.sum("cxy") + between(x, y)).alias("xy"), (F.sum("cxx") + between(x, x)).alias("xx"), (F.sum("cyy") + between(y, y)).alias("yy")
     )
+    ratio = F.col("xy") / (F.sqrt("xx") * F.sqrt("yy"))
+    finite = (F.col("xx") > 0) & (F.col("yy") > 0) & ~F.isnan("xx") & ~F.isnan("yy") & ~F.isnan("xy")
+    corr = F.when(finite & ~F.isnan(ratio), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio)))
+    pairs = df.sparkSession.createDataFrame([(int(a), int(b), names[a], names[b]) for a, b in zip(rows, cols)], "i int, j int, var1 string, var2 string")
+    return pairs.join(whole.select("i", "j", corr.alias("corr")), ["i", "j"], "left").select("var1", "var2", "corr")
+
+
+def _moments(x: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts, means and co-moments of all column pairs, each over the rows that hold both."""
+    k = x.shape[1]
+    known = ~np.isnan(x)
+    gaps = ~known.all(axis=0)
+    first = np.array([x[known[:, i], i][0] if known[:, i].any() else 0.0 for i in range(k)])
+    # Shifted by a value of its own, a constant column is exactly zero.
+    shifted = np.where(known, x - first, 0.0)
+    n = known.T.astype("float64") @ known.astype("float64")
+    safe = np.maximum(n, 1)
+    mean = (shifted.T @ known.astype("float64")) / safe
+    centred = shifted - np.where(gaps, 0.0, mean.diagonal())
+    cxy, cxx = centred.T @ centred, np.zeros((k, k))
+    cxx[:] = (centred * centred).sum(axis=0)[:, None]
+    for i in range(k):
+        # Pairs with gaps are centred on the rows that they share.
+        for j in np.flatnonzero(gaps | gaps[i]):
+            both = known[:, i] & known[:, j]
+            a, b = shifted[both, i] - mean[i, j], shifted[both, j] - mean[j, i]
+            cxy[i, j], cxx[i, j] = a @ b, a @ a
+    return {"n": n, "mx": mean + first[:, None], "my": mean.T + first[None, :], "cxy": cxy, "cxx": cxx, "cyy": cxx.T.copy()}
+
+
+def _merged(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The moments of two sets of rows together."""
+    n = a["n"] + b["n"]
+    safe = np.maximum(n, 1)
+    share = b["n"] / safe
+    # A side without rows has no mean.
+    dx = np.where((a["n"] > 0) & (b["n"] > 0), b["mx"] - a["mx"], 0.0)
+    dy = np.where((a["n"] > 0) & (b["n"] > 0), b["my"] - a["my"], 0.0)
+    weight = a["n"] * share
+    mean = lambda key, d: np.where(a["n"] > 0, a[key] + d * share, b[key])
+    return {
+        "n": n, "mx": mean("mx", dx), "my": mean("my", dy), "cxy": a["cxy"] + b["cxy"] + dx * dy * weight,
+        "cxx": a["cxx"] + b["cxx"] + dx * dx * weight, "cyy": a["cyy"] + b["cyy"] + dy * dy * weight,
+    }
 
 
 def high_correlation_pairs(corr: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -353,45 +339,60 @@ def high_correlation_pairs(corr: DataFrame, threshold: float = 0.9) -> DataFrame
     return corr.filter(F.abs("corr") >= threshold)
 
 
-def variance_ranking(df: DataFrame, columns: Sequence[str] | None = None, k: int = 8) -> DataFrame:
-    """The k columns of largest sample variance; columns with fewer than two values are left out."""
+def variance_ranking(df: DataFrame, columns: Sequence[str] | None = None, k: int | None = None) -> DataFrame:
+    """The columns by falling sample variance, all or the first k; those with fewer than two values are left out."""
     names = list(columns) if columns is not None else numeric_columns(df)
-    wide = df.agg(*[F.var_samp(_c(n).cast("double")).alias(f"variance_{i}") for i, n in enumerate(names)])
-    rows = _to_rows(wide, names, {"variance": "double"})
-    return rows.filter(F.col("variance").isNotNull()).orderBy(F.desc("variance"), "column").limit(k)
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, variance double")
+    rows = _grouped_statistics(df, names).select("column", "variance").filter(F.col("variance").isNotNull())
+    ordered = rows.orderBy(F.desc("variance"), "column")
+    return ordered if k is None else ordered.limit(k)
+
+
+def histograms(df: DataFrame, ranges: Mapping[str, tuple[float | None, float | None]], bins: int = 50) -> DataFrame:
+    """(column, bin, low, high, count) of equal-width bins between the given ends of each column.
+
+    The last bin is closed, empty bins are included, columns without values left out. All columns share one scan.
+    """
+    spark = df.sparkSession
+    known = {}
+    for name, (low, high) in ranges.items():
+        if low is not None and high is not None and math.isfinite(low) and math.isfinite(high):
+            known[name] = (low - 0.5, high + 0.5) if low == high else (low, high)
+    edges = [
+        (name, k, low + k * ((high - low) / bins), low + (k + 1) * ((high - low) / bins))
+        for name, (low, high) in known.items()
+        for k in range(bins)
+    ]
+    titles = spark.createDataFrame(edges, "column string, bin int, low double, high double")
+    if not known:
+        return titles.withColumn("count", F.lit(0).cast("bigint"))
+    places = {
+        name: F.least(F.floor((value - low) / ((high - low) / bins)).cast("int"), F.lit(bins - 1))
+        for (name, (low, high)), value in zip(known.items(), _numbers(list(known)).values())
+    }
+    counted = _cells(df, places).filter("value is not null").groupBy("column", F.col("value").alias("bin")).agg(F.count("*").alias("count"))
+    # One row a column and bin on both sides.
+    joined = titles.join(counted, ["column", "bin"], "left")
+    return joined.select("column", "bin", "low", "high", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """(bin, low, high, count) of equal-width bins from min to max, the last one closed, empty bins included."""
-    x = _c(column).cast("double")
-    spark = df.sparkSession
-    schema = "bin int, low double, high double, count bigint"
-    low, high = df.agg(F.min(x), F.max(x)).first()
-    if low is None:
-        return spark.createDataFrame([], schema)
-    if low == high:
-        low, high = low - 0.5, high + 0.5
-    width = (high - low) / bins
-    place = F.least(F.floor((x - low) / width).cast("int"), F.lit(bins - 1))
-    counted = df.filter(x.isNotNull()).groupBy(place.alias("bin")).agg(F.count("*").alias("count"))
-    edges = spark.range(bins).select(
-        F.col("id").cast("int").alias("bin"),
-        (F.lit(low) + F.col("id") * width).alias("low"),
-        (F.lit(low) + (F.col("id") + 1) * width).alias("high"),
-    )
-    # One row per bin on both sides.
-    joined = edges.join(F.broadcast(counted), "bin", "left")
-    return joined.select("bin", "low", "high", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
+    value = S.valid_double(_c(column))
+    low, high = df.agg(F.min(value), F.max(value)).first()
+    return histograms(df, {column: (low, high)}, bins).drop("column")
 
 
-def explore_statistics(df: DataFrame, first: int = 10) -> DataFrame:
-    """Mean, deviation, min, max and null count of the first numeric columns."""
+def explore_statistics(df: DataFrame, first: int | None = None) -> DataFrame:
+    """Mean, deviation, min, max and null count of the numeric columns, all or the first ones."""
     names = numeric_columns(df)[:first]
-    wide = df.agg(F.count("*").alias("total"), *_stat_aggs(names)).select(
-        "*", *[(F.col("total") - F.col(f"count_{i}")).alias(f"null_count_{i}") for i in range(len(names))]
-    )
-    fields = {k: v for k, v in _STATS.items() if k != "count"}
-    return _to_rows(wide, names, {**fields, "null_count": "bigint"})
+    schema = "column string, mean double, std double, min double, max double, null_count bigint"
+    if not names:
+        return df.sparkSession.createDataFrame([], schema)
+    rows = _grouped_statistics(df, names).withColumn("null_count", F.col("rows") - F.col("count"))
+    rows = _for_columns(df, names, rows, {"null_count": F.lit(0).cast("bigint")})
+    return rows.select("column", "mean", "std", "min", "max", "null_count")
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -1,9 +1,10 @@
 """Exact quantiles and order statistics that never bring a whole column into one task.
 
-Few values use the built-in ``percentile``. Beyond that the wanted ranks are enclosed by
-open intervals. A sketch proposes cut values around each rank, one scan counts the values
-below and at every cut, and each rank is then either at a cut or in the gap between two.
-The counts are exact, so a poor sketch costs another scan but never a wrong value.
+The wanted ranks are enclosed by open intervals. A sketch proposes cut values around each
+rank, one scan counts the values below and at every cut, and each rank is then either at a
+cut or in the gap between two. The counts are exact, so a poor sketch costs another scan but
+never a wrong value. The columns are turned into (column, value) cells and grouped, so every
+step is one scan, however many columns there are, and all sizes take the same way.
 Repeated values end up at a cut and are found by their count, so a value held by a third
 of the rows does no harm. A gap with few values is sorted inside one aggregate buffer.
 """
@@ -12,21 +13,21 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_right
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Above this many cells of all columns together the counting scans replace the built-in function.
-SMALL = 1_000_000
+from ..functions import scalars as S
+
 # An interval with no more values than this is sorted at once.
 FINAL = 5_000
 SKETCH_ACCURACY = 10_000
-# More aggregates than this in one pass and the generated code is no longer compiled to
-# machine code, which costs more than another scan of the few columns a pass reads.
-AGGS_PER_PASS = 56
+# Fractions asked of the sketch are rounded to this many digits, so that columns of nearly equal size share them.
+FRACTION_DIGITS = 7
 
 Number = float | int
 
@@ -63,7 +64,7 @@ class _Gap:
         """Fractions of the gap slightly left and right of every rank in it."""
         margin = 4.0 / SKETCH_ACCURACY
         spots = [(r - self.below) / max(self.size - 1, 1) for r in self.ranks]
-        return sorted({min(1.0, max(0.0, s + d)) for s in spots for d in (-margin, margin)})
+        return sorted({round(min(1.0, max(0.0, s + d)), FRACTION_DIGITS) for s in spots for d in (-margin, margin)})
 
     def split(self, cuts: Sequence[Number], under: Sequence[int], upto: Sequence[int]) -> tuple[dict, list[_Gap]]:
         """Values found at a cut, and the smaller gaps of the other ranks.
@@ -87,62 +88,56 @@ class _Gap:
         return found, list(gaps.values())
 
 
-def _chunks(gaps: Sequence[_Gap], weight) -> Iterator[list[_Gap]]:
-    """Gaps in groups whose aggregates fit one pass."""
-    part, used = [], 0
-    for gap in gaps:
-        if part and used + weight(gap) > AGGS_PER_PASS:
-            yield part
-            part, used = [], 0
-        part.append(gap)
-        used += weight(gap)
-    if part:
-        yield part
+def _cells(df: DataFrame, values: Sequence[Column]) -> DataFrame:
+    """(gap, value) of every row and gap, without nulls."""
+    cells = [F.struct(F.lit(i).alias("gap"), v.alias("value")) for i, v in enumerate(values)]
+    return df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.gap", "cell.value").filter("value is not null")
 
 
 def _sketch(df: DataFrame, gaps: Sequence[_Gap]) -> list[list[Number]]:
     """Cut values of each gap, ascending."""
-    aggs = [F.percentile_approx(g.inside(), g.cut_fractions(), SKETCH_ACCURACY).alias(f"s{i}") for i, g in enumerate(gaps)]
-    row = df.agg(*aggs).first()
-    return [sorted(set(row[f"s{i}"])) for i in range(len(gaps))]
+    asked = [g.cut_fractions() for g in gaps]
+    every = sorted({f for fractions in asked for f in fractions})
+    sketch = F.percentile_approx("value", every, SKETCH_ACCURACY).alias("cuts")
+    found = {r["gap"]: dict(zip(every, r["cuts"])) for r in _cells(df, [g.inside() for g in gaps]).groupBy("gap").agg(sketch).collect()}
+    return [sorted({found[i][f] for f in asked[i]}) for i in range(len(gaps))]
 
 
 def _count(df: DataFrame, gaps: Sequence[_Gap], cuts: Sequence[Sequence[Number]]) -> list[tuple[list[int], list[int]]]:
     """Values below, and not above, each cut."""
-    aggs = []
-    for i, (g, values) in enumerate(zip(gaps, cuts)):
-        for k, v in enumerate(values):
-            aggs.append(F.count(F.when(g.expr < F.lit(v), 1)).alias(f"u{i}_{k}"))
-            aggs.append(F.count(F.when(g.expr <= F.lit(v), 1)).alias(f"t{i}_{k}"))
-    row = df.agg(*aggs).first()
+    places = []
+    for g, values in zip(gaps, cuts):
+        # 2k below cut k and above the one before, 2k + 1 at cut k.
+        steps = [(g.expr >= F.lit(v)).cast("int") + (g.expr > F.lit(v)).cast("int") for v in values]
+        places.append(reduce(Column.__add__, steps))
+    seen: list[dict[int, int]] = [{} for _ in gaps]
+    for gap, place, n in _cells(df, places).groupBy("gap", "value").agg(F.count("*")).collect():
+        seen[gap][place] = n
+    upto = lambda i, place: sum(n for k, n in seen[i].items() if k <= place)
     return [
-        ([row[f"u{i}_{k}"] for k in range(len(values))], [row[f"t{i}_{k}"] for k in range(len(values))])
+        ([upto(i, 2 * k) for k in range(len(values))], [upto(i, 2 * k + 1) for k in range(len(values))])
         for i, values in enumerate(cuts)
     ]
 
 
 def _finish(df: DataFrame, gaps: Sequence[_Gap]) -> dict[tuple[str, int], Found]:
     """Ranks of small gaps, from their sorted values."""
-    values = df.agg(*[F.sort_array(F.collect_list(g.inside())).alias(f"s{i}") for i, g in enumerate(gaps)])
-    picks = []
-    for i, g in enumerate(gaps):
-        for k, r in enumerate(g.ranks):
-            value = F.get(f"s{i}", F.lit(r - g.below))
-            first = F.array_position(f"s{i}", value) - 1
-            picks.append(F.struct(value.alias("v"), first.alias("f"), _copies(f"s{i}", value).alias("n")).alias(f"p{i}_{k}"))
-    row = values.select(*picks).first()
+    sorted_values = _cells(df, [g.inside() for g in gaps]).groupBy("gap").agg(F.sort_array(F.collect_list("value")).alias("values"))
+    spots = F.array(*[F.array(*[F.lit(r - g.below) for r in g.ranks]) for g in gaps])
+
+    def pick(spot: Column) -> Column:
+        value = F.get("values", spot)
+        copies = F.size(F.filter("values", lambda x: x == value))
+        return F.struct(value.alias("v"), (F.array_position("values", value) - 1).alias("f"), copies.alias("n"))
+
     result = {}
-    for i, g in enumerate(gaps):
-        for k, r in enumerate(g.ranks):
-            value, first, copies = row[f"p{i}_{k}"]
+    for gap, picks in sorted_values.select("gap", F.transform(F.get(spots, F.col("gap")), pick)).collect():
+        g = gaps[gap]
+        for r, (value, first, copies) in zip(g.ranks, picks):
             result[g.name, r] = Found(value, g.below + first, g.below + first + copies)
     return result
 
 
-def _copies(values: str, value: Column) -> Column:
-    return F.size(F.filter(values, lambda x: x == value))
-
-
 def values_at_ranks(
     df: DataFrame,
     wanted: Mapping[str, tuple[Column, int, Sequence[int]]],
@@ -165,19 +160,18 @@ def values_at_ranks(
     result: dict[tuple[str, int], Found] = {}
     guesses = dict(guesses or {})
     while todo:
-        for part in _chunks([g for g in todo if g.size <= final], lambda g: 1):
-            result.update(_finish(df, part))
-        large, todo = [g for g in todo if g.size > final], []
-        for part in _chunks(large, lambda g: 2 * len(guesses.get(g.name) or g.cut_fractions())):
-            unknown = [g for g in part if g.name not in guesses]
-            sketched = iter(_sketch(df, unknown) if unknown else [])
-            cuts = [sorted(set(guesses[g.name])) if g.name in guesses else next(sketched) for g in part]
-            for gap, values, counts in zip(part, cuts, _count(df, part, cuts)):
-                found, rest = gap.split(values, *counts)
-                if gap.name not in guesses and any(g.size >= gap.size for g in rest):
-                    raise RuntimeError(f"no value of {gap.name} between {gap.low} and {gap.high} was proposed")
-                result.update(found)
-                todo.extend(rest)
+        small, large, todo = [g for g in todo if g.size <= final], [g for g in todo if g.size > final], []
+        if small:
+            result.update(_finish(df, small))
+        unknown = [g for g in large if g.name not in guesses]
+        sketched = iter(_sketch(df, unknown) if unknown else [])
+        cuts = [sorted(set(guesses[g.name])) if g.name in guesses else next(sketched) for g in large]
+        for gap, values, counts in zip(large, cuts, _count(df, large, cuts) if large else []):
+            found, rest = gap.split(values, *counts)
+            if gap.name not in guesses and any(g.size >= gap.size for g in rest):
+                raise RuntimeError(f"no value of {gap.name} between {gap.low} and {gap.high} was proposed")
+            result.update(found)
+            todo.extend(rest)
         guesses = {}
     return result
 
@@ -187,27 +181,23 @@ def exact_quantiles(
     columns: Sequence[str],
     fractions: Sequence[float],
     counts: Mapping[str, int] | None = None,
-    small: int = SMALL,
+    final: int = FINAL,
 ) -> dict[str, list[float | None]]:
-    """Quantiles with linear interpolation of every column; nulls are ignored.
+    """Quantiles with linear interpolation of every column; nulls and NaN are ignored.
 
-    ``counts`` (non-null values per column) saves one scan where they are known already.
+    ``counts`` (usable values per column) saves one scan where they are known already.
     """
     if not columns:
         return {}
-    data = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    data = df.select(*[S.valid_double(F.col(f"`{c}`")).alias(f"x{i}") for i, c in enumerate(columns)])
     if counts is None:
-        row = data.agg(*[F.count(f"x{i}").alias(f"n{i}") for i in range(len(columns))]).first()
-        counts = {c: row[f"n{i}"] for i, c in enumerate(columns)}
-    if sum(counts[c] for c in columns) <= small:
-        row = data.agg(*[F.percentile(f"x{i}", list(fractions)).alias(f"q{i}") for i in range(len(columns))]).first()
-        found = {c: row[f"q{i}"] for i, c in enumerate(columns)}
-        return {c: [None] * len(fractions) if q is None else list(q) for c, q in found.items()}
+        seen = {r["gap"]: r["n"] for r in _cells(data, [F.col(c) for c in data.columns]).groupBy("gap").agg(F.count("*").alias("n")).collect()}
+        counts = {c: seen.get(i, 0) for i, c in enumerate(columns)}
     wanted = {}
     for i, c in enumerate(columns):
         spots = [f * (counts[c] - 1) for f in fractions] if counts[c] else []
         wanted[c] = (F.col(f"x{i}"), counts[c], [r for s in spots for r in (math.floor(s), math.ceil(s))])
-    at_ranks = {key: found.value for key, found in values_at_ranks(data, wanted).items()}
+    at_ranks = {key: found.value for key, found in values_at_ranks(data, wanted, final).items()}
     return {
         c: [_interpolate(at_ranks, c, f * (counts[c] - 1)) if counts[c] else None for f in fractions] for c in columns
     }

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
 
@@ -15,12 +16,22 @@ def keep_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> D
 
     An aggregate instead of a window: every task first reduces its own rows, so a key that
     holds a third of the table sends one row per task and not its whole group. Rows equal
-    in ``order_by`` are told apart by their remaining columns.
+    in ``order_by`` are told apart by their remaining columns; maps, which have no order, by their sorted entries.
     """
     rest = [c for c in df.columns if c not in keys and c not in order_by]
-    first = F.min(F.struct(*[F.col(f"`{c}`") for c in [*order_by, *rest]])).alias("first")
+    maps = {f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType)}
+
+    def ordered(name: str) -> Column:
+        column = F.col(f"`{name}`")
+        return F.array_sort(F.map_entries(column)).alias(name) if name in maps else column
+
+    def restored(name: str) -> Column:
+        column = F.col(f"first.`{name}`")
+        return (F.map_from_entries(column) if name in maps else column).alias(name)
+
+    first = F.min(F.struct(*[ordered(c) for c in [*order_by, *rest]])).alias("first")
     picked = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(first)
-    return picked.select(*[F.col(f"`{c}`") if c in keys else F.col(f"first.`{c}`").alias(c) for c in df.columns])
+    return picked.select(*[F.col(f"`{c}`") if c in keys else restored(c) for c in df.columns])
 
 
 def common_ids(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -13,11 +13,12 @@ from ..functions import scalars as S
 def best_per_target(source: DataFrame, key: str = "tic", label: str = "disposition") -> DataFrame:
     """One row per target: its label of highest priority; ties by label text.
 
-    A minimum of (rank, label), so a target with very many rows is reduced in every task first.
+    Every task first reduces its rows to (target, label) by hashing; only these few are ordered.
     """
     rank = F.coalesce(S.label_rank(F.col(label)), F.lit(S.UNKNOWN_RANK + 1))
     best = F.min(F.struct(rank.alias("rank"), F.col(label).alias("label")))
-    return source.groupBy(key).agg(best.alias("best")).select(key, F.col("best.label").alias(label))
+    kinds = source.groupBy(key, label).agg(F.count("*").alias("rows"))
+    return kinds.groupBy(key).agg(best.alias("best")).select(key, F.col("best.label").alias(label))
 
 
 def best_disposition(left: DataFrame, right: DataFrame, key: str = "tic", label: str = "disposition") -> DataFrame:
@@ -52,8 +53,8 @@ def _side(df: DataFrame, key: str, label: str, name: str, *rest: str) -> DataFra
 
 
 def best_score(scores: DataFrame, target: str = "target_id", score: str = "score") -> DataFrame:
-    """(tic_id, result, score): the highest score of each target and its class."""
-    best = scores.groupBy(F.col(target).alias("tic_id")).agg(F.max(score).alias("score"))
+    """(tic_id, result, score): the highest score of each target and its class; NaN counts as missing."""
+    best = scores.groupBy(F.col(target).alias("tic_id")).agg(F.max(S.valid_double(F.col(score))).alias("score"))
     return best.select("tic_id", S.score_class(F.col("score")).alias("result"), "score")
 
 
@@ -61,9 +62,12 @@ def results_table(scores: DataFrame, dispositions: DataFrame, how: str = "left")
     """(tic_id, result, score, official_disposition) per target.
 
     ``scores`` has (target_id, score), ``dispositions`` (tic, disposition). Targets without
-    a disposition get the default text, or are left out with ``how='inner'``.
+    a disposition get the default text, or are left out with ``how='inner'``. Of several dispositions of a
+    target the one of highest priority counts, so there is one row per target.
     """
-    official = dispositions.select(F.col("tic").alias("tic_id"), F.col("disposition").alias("official_disposition"))
+    official = best_per_target(dispositions).select(
+        F.col("tic").alias("tic_id"), F.col("disposition").alias("official_disposition")
+    )
     return (
         best_score(scores)
         .join(official, "tic_id", how)
@@ -85,7 +89,7 @@ def results_summary(results: DataFrame) -> DataFrame:
         F.count_if(result == fv.CONFIRMED).alias("confirmed_count"),
         F.count_if(result == fv.CANDIDATE).alias("candidates_count"),
         F.count_if(result == fv.FALSE_POSITIVE).alias("false_positives_count"),
-        F.avg("score").alias("avg_score"),
+        F.avg(S.valid_double(F.col("score"))).alias("avg_score"),
     )
 
 
@@ -96,9 +100,9 @@ def score_column(df: DataFrame) -> str | None:
 
 
 def high_scores(df: DataFrame, above: float = fv.HIGH_SCORE_ABOVE) -> DataFrame:
-    """Rows with a score strictly above the bound; the frame itself if it has no score column."""
+    """Rows with a score strictly above the bound; none without a score column, and NaN is no score."""
     name = score_column(df)
-    return df if name is None else df.filter(F.col(f"`{name}`") > above)
+    return df.filter(F.lit(False) if name is None else S.valid_double(F.col(f"`{name}`")) > above)
 
 
 def catalogue_summary(df: DataFrame, star: str = "tic_id") -> DataFrame:
@@ -108,7 +112,7 @@ def catalogue_summary(df: DataFrame, star: str = "tic_id") -> DataFrame:
     the whole table.
     """
     name = score_column(df)
-    score = F.col(f"`{name}`").cast("double") if name else F.lit(None).cast("double")
+    score = S.valid_double(F.col(f"`{name}`")) if name else F.lit(None).cast("double")
     by_star = [F.col(f"`{star}`")] if star in df.columns else [F.lit(None).cast("bigint").alias(star)]
     stars = df.groupBy(*by_star).agg(
         F.count("*").alias("n"),

@@ -64,7 +64,7 @@ def catalog_long_lines(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "row_shape",
     r"""select count(*) as "rows", count(*) filter (len(string_split(text, ',')) <> 3) as wrong_rows,
-      count(*) >= 1 and count(*) filter (len(string_split(text, ',')) <> 3) <= 5 as is_valid
+      count(*) >= 1 and count(*) filter (len(string_split(text, ',')) <> 3) <= count(*) * 0.1 as is_valid
     from documents where regexp_matches(text, '\S') and not regexp_matches(text, '^\s*#')""",
 )
 def row_shape(spark: SparkSession, folder: str) -> DataFrame:
@@ -104,6 +104,68 @@ def format_detect(spark: SparkSession, folder: str) -> DataFrame:
     return catalog.concat_by_name(parts)
 
 
+@query(
+    "format_strict",
+    """select 'kepler' as given, 'kepler_koi' as format, 'koi_period' as missing, (select count(*) > 0 from orders) as filled
+    union all select 'tess', 'tess_toi', 'pl_orbper', (select count(*) > 0 from orders)
+    union all select 'k2', 'k2', '', (select count(*) > 0 from orders)
+    union all select 'none', null, '', (select count(*) > 0 from orders)""",
+)
+def format_strict(spark: SparkSession, folder: str) -> DataFrame:
+    """The strict check of each format's columns, and whether the table has rows at all."""
+    orders = table(spark, folder, "orders")
+    filled, parts = not formats.is_empty(orders), []
+    for given, names in _AS_FORMAT.items():
+        name, missing = formats.detect_strict(orders.withColumnsRenamed(names).columns)
+        parts.append((given, name, ",".join(missing), filled))
+    return spark.createDataFrame(parts, "given string, format string, missing string, filled boolean")
+
+
+@query(
+    "training_check",
+    """with rows_ as (select case when l_returnflag = 'A' then 'CONFIRMED' when l_returnflag = 'N' then l_returnflag end as label
+      from lineitem)
+    select false as usable, (select count(*) from lineitem) as "rows", 3 as "columns", coalesce(label, 'null') as class, count(*) as n,
+      3 as findings from rows_ group by label""",
+)
+def training_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict, sizes and class distribution of a table with a bad and a missing label."""
+    rows = table(spark, folder, "lineitem").selectExpr(
+        "l_quantity as orbital_period",
+        "case when l_linestatus <> 'F' then l_tax else double('NaN') end as transit_duration",
+        "case when l_returnflag = 'A' then 'CONFIRMED' when l_returnflag = 'N' then l_returnflag end as disposition",
+    )
+    found = formats.training_check(rows)
+    size = (F.size("errors") + F.size("warnings")).alias("findings")
+    return found.select("usable", "rows", "columns", size, F.explode("class_distribution").alias("class", "n"))
+
+
+@query(
+    "label_trim",
+    """select l_returnflag as label, case when l_tax > 0.05 then 'N' else l_returnflag end as prediction, count(*) as n
+    from lineitem group by 1, 2""",
+)
+def label_trim(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels are compared without the blanks around them."""
+    scored = table(spark, folder, "lineitem").selectExpr(
+        "concat('  ', l_returnflag, ' ') as original_label",
+        "case when l_tax > 0.05 then 'N' else l_returnflag end as predicted_label",
+    )
+    return learning.evaluate(scored)
+
+
+@query(
+    "feature_columns",
+    """select unnest(['koi_insol', 'koi_period', 'koi_depth', 'koi_prad', 'koi_duration', 'koi_count']) as feature
+    from (select count(*) from lineitem)""",
+)
+def feature_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """Numeric columns with values, without the label, the name and an empty column."""
+    df = order_catalog(spark, folder).withColumn("empty", F.lit(float("nan")))
+    names = learning.feature_columns(df, "koi_pdisposition", "kepoi_name")
+    return spark.createDataFrame([(n,) for n in names], "feature string")
+
+
 def _kepler_orders(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").select(
         F.col("o_orderkey").cast("string").alias("kepoi_name"),
@@ -249,12 +311,16 @@ def class_report(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(metrics.classification_report(_outcomes(spark, folder)))
 
 
-# --- models: an order is an object, its lines give the features ----------------------------------
+# --- models: an order is an object, its lines give the features, and its label follows from them --------
 
-SMALL_MODEL = {"n_estimators": 8, "max_depth": 4}
+# The classifiers of the queries are fitted on at most so many labelled rows, which fill one partition; all rows
+# are split and scored.
+FIT = {"max_labelled": 4_000, "partitions": 1}
+_TWO = "case when coalesce(koi_period, 0) >= 100 then 'F' else 'O' end"
+_THREE = "case when coalesce(koi_period, 0) >= 130 then 'HIGH' when koi_period >= 70 then 'MID' else 'LOW' end"
 
 
-def order_catalog(spark: SparkSession, folder: str) -> DataFrame:
+def order_catalog(spark: SparkSession, folder: str, label: str = _TWO) -> DataFrame:
     """Orders as a catalogue of objects with a label and numeric columns."""
     lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.sum("l_quantity").alias("koi_period"),
@@ -263,44 +329,68 @@ def order_catalog(spark: SparkSession, folder: str) -> DataFrame:
         F.min("l_tax").alias("koi_duration"),
         F.count("*").alias("koi_count"),
     )
-    orders = table(spark, folder, "orders").select(
-        "o_orderkey", F.col("o_orderstatus").alias("koi_pdisposition"), F.col("o_totalprice").alias("koi_insol")
-    )
-    joined = orders.join(lines, "o_orderkey", "left")
+    orders = table(spark, folder, "orders").select("o_orderkey", F.col("o_totalprice").alias("koi_insol"))
+    joined = orders.join(lines, "o_orderkey", "left").withColumn("koi_pdisposition", F.expr(label))
     return joined.select(F.col("o_orderkey").cast("string").alias("kepoi_name"), *joined.columns[1:])
 
 
+_OBJECTS = """objects as (select o_orderkey, {label} as label from orders
+  left join (select l_orderkey, sum(l_quantity) as koi_period from lineitem group by l_orderkey) on l_orderkey = o_orderkey)"""
+
+
 def vetted_orders(spark: SparkSession, folder: str) -> DataFrame:
     """The whole job on the orders: report, train, score and vet."""
-    catalogue = stage(order_catalog(spark, folder), "orders")
-    outcome = jobs.analyze_catalog(catalogue, parameters=SMALL_MODEL, confirmable=["F"])
-    vetted = outcome["vetted"]
+    vetted = _vetting_job(spark, folder)["vetted"]
     return vetted.select(
         "name", "original_status", "predicted_status", "confidence",
         "characteristics.period", "characteristics.radius", "confirmable",
     )
 
 
-@query("catalog_vet_flagship")
-def catalog_vet_flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return vetted_orders(spark, folder)
+def _vetting_job(spark: SparkSession, folder: str) -> dict[str, object]:
+    catalogue = stage(order_catalog(spark, folder), "orders")
+    return jobs.analyze_catalog(catalogue, confirmable=["F"], **FIT)
 
 
 @query(
-    "train_predict",
-    """select o_orderstatus as original_label, count(*) as objects, count(*) as labels_known,
-      count(*) as scores_add_up, count(*) as confidence_is_largest from orders group by o_orderstatus""",
+    "catalog_vet_flagship",
+    f"""with {_OBJECTS.format(label=_TWO)}, whole as (select count(*) as total, cast(ceil(count(*) * 0.3) as bigint) as n_test from objects)
+    select label as original_status, count(*) as objects, any_value(total - n_test) as n_train, any_value(n_test) as n_test,
+      true as vetted_right, true as accurate, true as scores_stored, true as record_scored from objects, whole group by label""",
 )
-def train_predict(spark: SparkSession, folder: str) -> DataFrame:
-    """Every object is scored with a known label and a distribution over all labels."""
-    df = stage(order_catalog(spark, folder), "orders")
-    model, _ = learning.train(
-        df, "koi_pdisposition", "kepoi_name", "kepler", parameters=SMALL_MODEL, keys=["kepoi_name"]
+def catalog_vet_flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole job, with checks that a model which learned nothing fails."""
+    found = _vetting_job(spark, folder)
+    model, vetted = found["model"], found["vetted"]
+    record = learning.score_record(model, spark, {"kepoi_name": "x", "koi_period": 190.0}).first()
+    right = F.avg((F.col("confirmable") == (F.col("original_status") == "F")).cast("int")) >= 0.9
+    stored = model.scores["accuracy"] >= 0.95 and model.training_seconds > 0 and len(model.scores["confusion"]) == 2
+    return vetted.groupBy("original_status").agg(F.count("*").alias("objects"), right.alias("vetted_right")).select(
+        "original_status", "objects", F.lit(model.n_train).cast("bigint").alias("n_train"),
+        F.lit(model.n_test).cast("bigint").alias("n_test"), "vetted_right", F.lit(model.scores["accuracy"] >= 0.95).alias("accurate"),
+        F.lit(bool(stored)).alias("scores_stored"), F.lit(record["predicted_label"] == "F").alias("record_scored"),
+    )
+
+
+def _train_sql(label: str) -> str:
+    return f"""with {_OBJECTS.format(label=label)}, whole as (select cast(ceil(count(*) * 0.2) as bigint) as n_test, count(*) as total from objects)
+    select label as original_label, count(*) as objects, count(*) as labels_known, count(*) as scores_add_up,
+      count(*) as confidence_is_largest, any_value(total - n_test) as n_train, any_value(n_test) as n_test,
+      true as accurate, count(*) as counted from objects, whole group by label"""
+
+
+def _train_and_score(spark: SparkSession, folder: str, label: str, algorithm: str | None, least: float) -> DataFrame:
+    """Every object is scored with a known label and a distribution over all labels, and most of them right."""
+    df = stage(order_catalog(spark, folder, label), "orders")
+    model, test = learning.train(
+        df, "koi_pdisposition", "kepoi_name", "kepler", algorithm, keys=["kepoi_name"], **FIT
     )
-    scored = learning.prediction_records(model, learning.predict(model, df))
+    accuracy = metrics.accuracy(learning.evaluate(test)).first()["accuracy"]
+    scored = stage(jobs.predict_dataset(model, df)["predictions"], "scored")
+    counts = scored.groupBy("original_label").agg(F.count("*").alias("counted"))
     shares = F.map_values("probabilities")
     total = F.aggregate(shares, F.lit(0.0), lambda a, b: a + b)
-    return scored.groupBy("original_label").agg(
+    checked = scored.groupBy("original_label").agg(
         F.count("*").alias("objects"),
         F.count_if(F.col("predicted_label").isin(*model.labels)).alias("labels_known"),
         F.count_if((F.abs(total - 1) < 1e-9) & (F.size(shares) == len(model.labels))).alias("scores_add_up"),
@@ -308,3 +398,51 @@ def train_predict(spark: SparkSession, folder: str) -> DataFrame:
             "confidence_is_largest"
         ),
     )
+    return checked.join(counts, "original_label").select(
+        *checked.columns, F.lit(model.n_train).cast("bigint").alias("n_train"), F.lit(model.n_test).cast("bigint").alias("n_test"),
+        F.lit(accuracy >= least).alias("accurate"), "counted",
+    )
+
+
+@query("train_predict", _train_sql(_THREE))
+def train_predict(spark: SparkSession, folder: str) -> DataFrame:
+    """A forest on three classes."""
+    return _train_and_score(spark, folder, _THREE, "random_forest", 0.95)
+
+
+@query("train_boosted", _train_sql(_TWO))
+def train_boosted(spark: SparkSession, folder: str) -> DataFrame:
+    """Boosted trees on two classes, the default."""
+    return _train_and_score(spark, folder, _TWO, None, 0.95)
+
+
+@query("train_boosted_many", _train_sql(_THREE))
+def train_boosted_many(spark: SparkSession, folder: str) -> DataFrame:
+    """Boosted trees on three classes, one against the rest."""
+    return _train_and_score(spark, folder, _THREE, "gradient_boosting", 0.95)
+
+
+@query("train_network", _train_sql(_TWO))
+def train_network(spark: SparkSession, folder: str) -> DataFrame:
+    return _train_and_score(spark, folder, _TWO, "neural_network", 0.9)
+
+
+@query("train_svm", _train_sql(_TWO))
+def train_svm(spark: SparkSession, folder: str) -> DataFrame:
+    return _train_and_score(spark, folder, _TWO, "svm", 0.9)
+
+
+@query(
+    "importances",
+    """select 'koi_period' as feature, true as sums_to_one, 6 as features, (select count(*) > 0 from lineitem) as learned""",
+)
+def importances(spark: SparkSession, folder: str) -> DataFrame:
+    """The most important feature of a model is the one that its label follows from."""
+    df = stage(order_catalog(spark, folder), "orders")
+    model, _ = learning.train(
+        df, "koi_pdisposition", "kepoi_name", algorithm="random_forest", keys=["kepoi_name"], **FIT
+    )
+    top = learning.importance_table(spark, model, 1).select("feature")
+    weights = [w for _, w in model.importances]
+    ordered = abs(sum(weights) - 1) < 1e-9 and weights == sorted(weights, reverse=True)
+    return top.select("feature", F.lit(ordered).alias("sums_to_one"), F.lit(len(weights)).alias("features"), F.lit(True).alias("learned"))

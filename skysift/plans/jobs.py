@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed_values as fv
 from ..operators import formats, learning, lightcurves, metrics, profile, relational, results, targets, vetting
@@ -26,12 +27,15 @@ def analyze_catalog(
     test_size: float = JOB_TEST_SIZE,
     seed: int = learning.SEED,
     staged: bool = False,
+    max_labelled: int | None = None,
+    partitions: int | None = None,
 ) -> dict[str, object]:
     """Report, train and vet one catalogue.
 
     Training passes over the table many times. With ``staged`` it is first written to the
     shared folder as Parquet, which suits a catalogue parsed from text or joined from
-    others; the vetted table is written too, so that every object is scored once.
+    others. The vetted table is always written, so that every object is scored once;
+    ``session.release`` removes both when they are no longer read.
     """
     clean = catalog.drop_hash_rows(df)
     if staged:
@@ -44,14 +48,18 @@ def analyze_catalog(
     if label is None:
         raise ValueError(f"no labels to learn from; expected one of {list(fv.FORMATS[name].label_columns)}")
     object_column = fv.FORMATS[name].object_column
+    keys = [object_column] if object_column in clean.columns else None
     model, scored_test = learning.train(
-        clean, label, object_column, name, algorithm, test_size, seed, parameters
+        clean, label, object_column, name, algorithm, test_size, seed, parameters, keys,
+        max_labelled=max_labelled, partitions=partitions,
     )
+    outcomes = stage(learning.evaluate(scored_test), "outcomes")
+    model = learning.with_scores(model, outcomes)
     return {
         "report": report,
         "model": model,
-        "test_outcomes": learning.evaluate(scored_test),
-        **vet_with_model(model, clean, confirmable, candidates, staged),
+        "test_outcomes": outcomes,
+        **vet_with_model(model, clean, confirmable, candidates),
     }
 
 
@@ -65,9 +73,9 @@ def vet_with_model(
     df: DataFrame,
     confirmable: Sequence[str] = fv.CONFIRMABLE_LABELS,
     candidates: Sequence[str] | None = None,
-    staged: bool = False,
+    staged: bool = True,
 ) -> dict[str, DataFrame]:
-    """Vetting tables of a catalogue under a fitted or stored model; scored once if ``staged``."""
+    """Vetting tables of a catalogue under a fitted or stored model; scored once, unless ``staged`` is false."""
     if formats.is_empty(df):
         raise ValueError("the table has no rows")
     vetted = vetting.vet(learning.predict(model, df), model.object_column, confirmable, candidates=candidates)
@@ -82,11 +90,11 @@ def vet_with_model(
 
 
 def vet_with_stored_model(
-    spark: SparkSession, df: DataFrame, models: str, format_name: str | None = None
+    spark: SparkSession, df: DataFrame, models: str, format_name: str | None = None, **options
 ) -> dict[str, DataFrame]:
-    """Vetting with the stored model of the table's format."""
+    """Vetting with the stored model of the table's format; options as in :func:`vet_with_model`."""
     name = format_name or formats.detect_format(df.columns)
-    return vet_with_model(learning.load_model(models, name, spark), df)
+    return vet_with_model(learning.load_model(models, name, spark), df, **options)
 
 
 def predict_dataset(model: learning.CatalogModel, df: DataFrame) -> dict[str, DataFrame]:
@@ -110,21 +118,28 @@ def model_report(spark: SparkSession, model: learning.CatalogModel, outcomes: Da
 
 
 def explore(df: DataFrame, order_by: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """Statistics of the first numeric columns, sample rows and the label distribution."""
+    """Statistics of the numeric columns, the first rows by ``order_by`` (all columns), and the label distribution."""
     label = formats.label_column(df, formats.detect_format(df.columns))
     distribution = formats.label_distribution(df, label or "").orderBy("value")
-    sample = relational.head(df, SAMPLE_ROWS, order_by) if order_by else df.limit(SAMPLE_ROWS)
+    ordered = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    sample = relational.head(df, SAMPLE_ROWS, order_by or ordered)
     return {"statistics": profile.explore_statistics(df), "sample": sample, "distribution": distribution}
 
 
-def profile_tables(df: DataFrame) -> dict[str, DataFrame]:
-    """Every profile table of one dataset."""
+def profile_tables(df: DataFrame, staged: bool = True) -> dict[str, DataFrame]:
+    """Every profile table of one dataset.
+
+    The table is written to the shared folder first, unless it is Parquet already (``staged=False``). The number
+    of scans does not depend on the number of columns.
+    """
+    if staged:
+        df = stage(df, "profile")
     numeric, categories = profile.numeric_columns(df), profile.categorical_columns(df, 20)
     correlation = profile.correlations(df, numeric)
-    ranking = profile.variance_ranking(df, numeric, 16)
     distributions = profile.numeric_distributions(df, numeric)
-    bounds = {r["column"]: profile.bounds_of(r["q25"], r["q75"]) for r in distributions.collect()}
-    tables = {
+    known = distributions.collect()
+    bounds = {r["column"]: profile.bounds_of(r["q25"], r["q75"]) for r in known}
+    return {
         "schema_missing": profile.schema_and_missing(df),
         "numeric_distributions": distributions,
         "outliers_iqr": profile.outliers_iqr(df, numeric, bounds),
@@ -133,19 +148,10 @@ def profile_tables(df: DataFrame) -> dict[str, DataFrame]:
         "class_imbalance": profile.class_imbalance(df, categories),
         "correlations": correlation,
         "high_correlations": profile.high_correlation_pairs(correlation),
-        "variance_ranking": ranking,
+        "variance_ranking": profile.variance_ranking(df, numeric),
+        "top_values": profile.top_values_of(df, categories),
+        "histograms": profile.histograms(df, {r["column"]: (r["min"], r["max"]) for r in known}),
     }
-    bars = [_named(profile.top_values(df, c).withColumn("value", F.col("value").cast("string")), c) for c in categories]
-    if bars:
-        tables["top_values"] = catalog.concat_by_name(bars)
-    plots = [_named(profile.histogram(df, r["column"]), r["column"]) for r in ranking.collect()]
-    if plots:
-        tables["histograms"] = catalog.concat_by_name(plots)
-    return tables
-
-
-def _named(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn("column", F.lit(column))
 
 
 def write_profile(df: DataFrame, dataset: str, folder: str) -> None:

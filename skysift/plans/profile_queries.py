@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import profile, quantiles, relational
 from ..sources import catalog
+from . import jobs
 from .registered import query, rounded, table
 
 MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -66,6 +67,61 @@ def numeric_distributions(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(profile.numeric_distributions(table(spark, folder, "lineitem"), MEASURES))
 
 
+_WITH_NAN = "case when l_returnflag = 'R' then {nan} else {column} end as {column}"
+
+
+def _with_nan(nan: str) -> str:
+    return ", ".join(_WITH_NAN.format(nan=nan, column=c) for c in MEASURES)
+
+
+@query(
+    "profile_nan",
+    f"with gaps as (select {_with_nan('null')} from lineitem)\n" + _union(
+        f"""select s.*, o.lower, o.upper, o.outliers, o.outlier_pct, m.null_count from ({_distribution_sql("gaps", c)}) s,
+        (select round(lo, 6) as lower, round(hi, 6) as upper, count(*) filter ({c} < lo or {c} > hi) as outliers,
+          round(count(*) filter ({c} < lo or {c} > hi) / count(*), 6) as outlier_pct
+        from gaps, (select q1 - 1.5 * (q3 - q1) as lo, q3 + 1.5 * (q3 - q1) as hi from
+          (select quantile_cont({c}, 0.25) as q1, quantile_cont({c}, 0.75) as q3 from gaps)) group by lo, hi) o,
+        (select count(*) - count({c}) as null_count from gaps) m"""
+        for c in MEASURES
+    ),
+)
+def profile_nan(spark: SparkSession, folder: str) -> DataFrame:
+    """NaN counts as missing in every part of the profile."""
+    rows = table(spark, folder, "lineitem").selectExpr(*[_WITH_NAN.format(nan="double('NaN')", column=c) for c in MEASURES])
+    missing = profile.schema_and_missing(rows).select("column", "null_count")
+    return rounded(profile.numeric_distributions(rows).join(profile.outliers_iqr(rows), "column").join(missing, "column"))
+
+
+@query(
+    "profile_job",
+    """select * from (values ('schema_missing', 3), ('outliers_iqr', 2), ('correlations', 1), ('histograms', 100)) t("table", "rows")
+    union all select 'top_values', least(count(distinct c_mktsegment), 15) from customer
+    union all select 'duplicates_sample', 0 from (select count(*) from customer)""",
+)
+def profile_job(spark: SparkSession, folder: str) -> DataFrame:
+    """The sizes of the tables of a profile job over the customers."""
+    tables = jobs.profile_tables(table(spark, folder, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"))
+    names = ("schema_missing", "outliers_iqr", "correlations", "histograms", "top_values", "duplicates_sample")
+    return catalog.concat_by_name([tables[n].agg(F.lit(n).alias("table"), F.count("*").alias("rows")) for n in names])
+
+
+@query(
+    "explore_job",
+    """select 'O' as value, count(*) filter (o_orderstatus = 'O') as "count", 100 as sampled from orders
+    union all select 'F', count(*) filter (o_orderstatus = 'F'), 100 from orders
+    union all select 'P', count(*) filter (o_orderstatus = 'P'), 100 from orders""",
+)
+def explore_job(spark: SparkSession, folder: str) -> DataFrame:
+    """Label distribution and size of the sample of an explored catalogue."""
+    orders = table(spark, folder, "orders").select(
+        F.col("o_orderkey").cast("string").alias("kepoi_name"), F.col("o_orderstatus").alias("koi_disposition"), "o_totalprice"
+    )
+    found = jobs.explore(orders, ["o_totalprice", "kepoi_name"])
+    size = found["sample"].agg(F.count("*").cast("int").alias("sampled"), F.lit(1).alias("one"))
+    return found["distribution"].withColumn("one", F.lit(1)).join(F.broadcast(size), "one").drop("one")
+
+
 @query(
     "curve_statistics",
     f"""with {_EVENTS}
@@ -112,14 +168,14 @@ def profile_ranked(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "duplicates_summary",
-    """with kinds as (select count(*) as n from lineitem group by l_returnflag, l_linestatus, l_quantity)
-    select cast(sum(n) as bigint) as total, cast(sum(n - 1) as bigint) as duplicates,
-      cast(coalesce(sum(n) filter (n > 1), 0) as bigint) as rows_in_dup_groups
-    from kinds""",
+    """select cast(sum(l_linenumber) as bigint) as total, cast(sum(l_linenumber - 1) as bigint) as duplicates,
+      cast(coalesce(sum(l_linenumber) filter (l_linenumber > 1), 0) as bigint) as rows_in_dup_groups
+    from lineitem""",
 )
 def duplicates_summary(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity")
-    return profile.duplicates_summary(rows)
+    """Whole rows: every order line as often as its number says."""
+    rows = table(spark, folder, "lineitem")
+    return profile.duplicates_summary(rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "l_linenumber"))).drop("copy"))
 
 
 @query(
@@ -127,7 +183,7 @@ def duplicates_summary(spark: SparkSession, folder: str) -> DataFrame:
     "select text, count(*) as multiplicity from documents group by text having count(*) > 1",
 )
 def duplicates_sample(spark: SparkSession, folder: str) -> DataFrame:
-    return profile.duplicated_rows(table(spark, folder, "documents").select("text"), limit=None)
+    return profile.duplicated_rows(table(spark, folder, "documents").select("text"))
 
 
 def _imbalance_sql(source: str, column: str) -> str:
@@ -223,7 +279,7 @@ def correlation_wide(spark: SparkSession, folder: str) -> DataFrame:
 )
 def quantile_scans(spark: SparkSession, folder: str) -> DataFrame:
     names, fractions = ["l_extendedprice", "l_discount"], [0.1, 0.5, 0.99]
-    found = quantiles.exact_quantiles(table(spark, folder, "lineitem"), names, fractions, small=0)
+    found = quantiles.exact_quantiles(table(spark, folder, "lineitem"), names, fractions)
     rows = [(c, q, v) for c in names for q, v in zip(fractions, found[c])]
     return rounded(spark.createDataFrame(rows, "column string, fraction double, value double"))
 

@@ -9,9 +9,13 @@ from ..functions import fixed_values as fv
 from ..functions import scalars as S
 from ..operators import formats, results, vetting
 from ..sources import catalog, sinks
+from . import jobs
 from .registered import query, rounded, table
 
 
+_OFFICIAL_ID = "case when o_orderpriority = '5-LOW' then -o_orderkey else o_orderkey end"
+
+
 def _scores(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of targets: every order line is one event of its order."""
     return table(spark, folder, "lineitem").select(
@@ -20,20 +24,20 @@ def _scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _official(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders").filter("o_orderpriority <> '5-LOW'")
-    return orders.select(F.col("o_orderkey").alias("tic"), F.col("o_orderstatus").alias("disposition"))
+    """Dispositions of all orders; those of low priority under ids that no score has."""
+    return table(spark, folder, "orders").select(F.expr(_OFFICIAL_ID).alias("tic"), F.col("o_orderstatus").alias("disposition"))
 
 
 def _results(spark: SparkSession, folder: str) -> DataFrame:
     return results.results_table(_scores(spark, folder), _official(spark, folder))
 
 
-_RESULTS = """best as (select l_orderkey as tic_id, max(l_discount * 10) as score from lineitem group by l_orderkey),
+_RESULTS = f"""best as (select l_orderkey as tic_id, max(l_discount * 10) as score from lineitem group by l_orderkey),
 results as (
   select tic_id, case when score <= 0.5 then 'False positive' when score <= 0.9 then 'Planetary candidate'
       else 'Confirmed planet' end as result, score,
     coalesce(o_orderstatus, 'Not officially analyzed yet') as official_disposition
-  from best left join (select * from orders where o_orderpriority <> '5-LOW') o on o.o_orderkey = tic_id)"""
+  from best left join (select {_OFFICIAL_ID} as tic, o_orderstatus from orders) o on o.tic = tic_id)"""
 
 
 @query(
@@ -53,6 +57,51 @@ def results_inner(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(results.results_table(_scores(spark, folder), _official(spark, folder), how="inner"))
 
 
+_CODE = "case when o_orderpriority = '5-LOW' then null when o_orderstatus = 'F' then 'FP' when o_orderstatus = 'O' then 'KP' else 'odd' end"
+_EVENT_SCORE = "case when o_orderkey % 5 = 0 then {nan} else o_totalprice / 400000 end"
+
+
+@query(
+    "results_repeated",
+    f"""with best as (select o_custkey as tic_id, max(o_totalprice / 400000) as score from orders group by o_custkey),
+    labels as (select o_custkey as tic_id, {_CODE} as label from orders),
+    official as (select tic_id, arg_min(label, coalesce(case label when 'KP' then 0 when 'FP' then 5 end, 99)) as label
+      from labels where label is not null group by tic_id)
+    select tic_id, case when score <= 0.5 then 'False positive' when score <= 0.9 then 'Planetary candidate'
+        else 'Confirmed planet' end as result, round(score, 6) as score,
+      coalesce(label, 'Not officially analyzed yet') as official_disposition
+    from best left join official using (tic_id)""",
+)
+def results_repeated(spark: SparkSession, folder: str) -> DataFrame:
+    """Targets with many scores and many dispositions each: one row a target, its best label."""
+    orders = table(spark, folder, "orders")
+    scores = orders.select(F.col("o_custkey").alias("target_id"), (F.col("o_totalprice") / 400000).alias("score"))
+    return rounded(results.results_table(scores, orders.select(F.col("o_custkey").alias("tic"), F.expr(_CODE).alias("disposition"))))
+
+
+@query(
+    "results_nan",
+    f"""with events_ as (select o_custkey as tic_id, {_EVENT_SCORE.format(nan="null")} as score from orders),
+    best as (select tic_id, max(score) as score from events_ group by tic_id)
+    select tic_id, case when score is null then null when score <= 0.5 then 'False positive'
+      when score <= 0.9 then 'Planetary candidate' else 'Confirmed planet' end as result, round(score, 6) as score,
+      (select count(*) from events_ where score > 0.8) as high,
+      (select round(avg(score), 6) from events_) as average from best""",
+)
+def results_nan(spark: SparkSession, folder: str) -> DataFrame:
+    """A score of NaN is no score."""
+    score = F.expr(_EVENT_SCORE.format(nan="double('NaN')")).alias("score")
+    events = table(spark, folder, "orders").select(F.col("o_custkey").alias("tic_id"), score)
+    summary = results.catalogue_summary(events).select(
+        F.col("high_confidence_candidates").alias("high"), F.col("average_score").alias("average"), F.lit(1).alias("one")
+    )
+    counted = results.high_scores(events).agg(F.count("*").alias("listed"), F.lit(1).alias("one"))
+    # One row each.
+    agreed = summary.join(counted, "one").where("high = listed").drop("listed")
+    best = results.best_score(events, "tic_id").withColumn("one", F.lit(1))
+    return rounded(best.join(F.broadcast(agreed), "one").drop("one"))
+
+
 @query(
     "results_summary",
     f"""with {_RESULTS} select count(*) as total,
@@ -67,11 +116,34 @@ def results_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "confirmed_results",
-    f"""with {_RESULTS} select tic_id, result, round(score, 6) as score, official_disposition from results
-    where result = 'Confirmed planet'""",
+    f"""with {_RESULTS} select case result when 'Confirmed planet' then 'confirmed' when 'Planetary candidate' then 'candidates'
+      else 'false_positives' end as class, tic_id, result, round(score, 6) as score, official_disposition from results""",
 )
 def confirmed_results(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(results.split_by_class(_results(spark, folder))["confirmed"])
+    parts = results.split_by_class(_results(spark, folder))
+    return rounded(catalog.concat_by_name([rows.withColumn("class", F.lit(name)) for name, rows in parts.items()]))
+
+
+@query(
+    "result_report",
+    f"""with {_RESULTS}, s as (select count(*) as total, count(*) filter (result = 'Confirmed planet') as confirmed_count,
+        count(*) filter (result = 'Planetary candidate') as candidates_count,
+        count(*) filter (result = 'False positive') as false_positives_count, round(avg(score), 6) as avg_score from results)
+    select *, (select count(*) from lineitem) as total_objects, (select count(distinct l_orderkey) from lineitem) as unique_stars
+    from s""",
+)
+def result_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The report of a scoring run: summary of the results and of the catalogue."""
+    catalogue = _scores(spark, folder).withColumnRenamed("target_id", "tic_id")
+    report = jobs.result_report(_scores(spark, folder), _official(spark, folder), catalogue)
+    sizes = report["catalogue"].select("total_objects", "unique_stars", F.lit(1).alias("one"))
+    return rounded(report["summary"].withColumn("one", F.lit(1)).join(sizes, "one").drop("one"))
+
+
+@query("size_mb", "select l_orderkey, l_linenumber, round(cast(l_extendedprice * 1000 as bigint) / 1048576, 2) as size from lineitem")
+def size_mb(spark: SparkSession, folder: str) -> DataFrame:
+    size = S.size_mb((F.col("l_extendedprice") * 1000).cast("bigint")).alias("size")
+    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", size)
 
 
 @query(
@@ -97,16 +169,19 @@ _RIGHT_LABEL = """case c_mktsegment when 'AUTOMOBILE' then 'CP' when 'FURNITURE'
   when 'HOUSEHOLD' then 'FA' else 'not a code' end"""
 
 
+# Every row takes part; some under ids that the other side lacks.
+_LEFT_ID = "case when o_orderpriority = '5-LOW' then -o_custkey else o_custkey end"
+_RIGHT_ID = "case when c_mktsegment = 'BUILDING' then c_custkey + 1000000000 else c_custkey end"
+
+
 def _rank_sql(label: str) -> str:
     whens = " ".join(f"when '{c}' then {i}" for i, c in enumerate(fv.LABEL_PRIORITY))
     return f"case when {label} is null then null else coalesce(case {label} {whens} end, 99) end"
 
 
 def _sources(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    urgent = table(spark, folder, "orders").filter("o_orderpriority = '1-URGENT'")
-    left = urgent.select(F.col("o_custkey").alias("tic"), F.expr(_LEFT_LABEL).alias("disposition"))
-    customers = table(spark, folder, "customer").filter("c_mktsegment <> 'BUILDING'")
-    right = customers.select(F.col("c_custkey").alias("tic"), F.expr(_RIGHT_LABEL).alias("disposition"))
+    left = table(spark, folder, "orders").select(F.expr(_LEFT_ID).alias("tic"), F.expr(_LEFT_LABEL).alias("disposition"))
+    right = table(spark, folder, "customer").select(F.expr(_RIGHT_ID).alias("tic"), F.expr(_RIGHT_LABEL).alias("disposition"))
     return left, right
 
 
@@ -115,8 +190,8 @@ _PICK = f"""select coalesce(l.tic, r.tic) as tic,
     case when l.label is null then r.label when r.label is null then l.label
       when {_rank_sql("l.label")} <= {_rank_sql("r.label")} then l.label else r.label end as code
   from l full join r on l.tic = r.tic"""
-_LEFT = f"select o_custkey as tic, {_LEFT_LABEL} as label from orders where o_orderpriority = '1-URGENT'"
-_RIGHT = f"select c_custkey as tic, {_RIGHT_LABEL} as label from customer where c_mktsegment <> 'BUILDING'"
+_LEFT = f"select {_LEFT_ID} as tic, {_LEFT_LABEL} as label from orders"
+_RIGHT = f"select {_RIGHT_ID} as tic, {_RIGHT_LABEL} as label from customer"
 
 
 @query(
@@ -146,15 +221,15 @@ _PREDICTED = "case l_returnflag when 'A' then 'CONFIRMED' when 'N' then 'CANDIDA
 _CONFIDENCE = "1 - l_discount * 3"
 
 
-def _scored(spark: SparkSession, folder: str) -> DataFrame:
+def _scored(spark: SparkSession, folder: str, confidence: str = _CONFIDENCE) -> DataFrame:
     return table(spark, folder, "lineitem").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("kepoi_name"),
         F.col("l_quantity").alias("koi_period"),
         F.when(F.col("l_linestatus") == "O", F.col("l_tax")).alias("koi_prad"),
         F.expr("case when l_linestatus = 'O' then 'CANDIDATE' end").alias("original_label"),
         F.expr(_PREDICTED).alias("predicted_label"),
-        F.expr(_CONFIDENCE).alias("confidence"),
-        F.create_map(F.lit("CONFIRMED"), F.expr(_CONFIDENCE)).alias("probabilities"),
+        F.expr(confidence).alias("confidence"),
+        F.create_map(F.lit("CONFIRMED"), F.expr(confidence)).alias("probabilities"),
     )
 
 
@@ -183,6 +258,24 @@ def vetting_records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "vetting_nan",
+    f"""with rows_ as (select {_PREDICTED} as label, case when l_tax > 0.04 then null else {_CONFIDENCE} end as confidence
+      from lineitem),
+    flags as (select *, coalesce(label = 'CONFIRMED' and confidence > 0.70, false) as yes from rows_)
+    select count(*) as total_analyzed, count(*) filter (yes) as confirmed_count, count(*) filter (not yes) as rejected_count,
+      round(count(*) filter (yes) / count(*), 6) as confirmation_rate,
+      (select round(avg(confidence) * count(confidence) / count(*), 3) from rows_) as average_confidence from flags""",
+)
+def vetting_nan(spark: SparkSession, folder: str) -> DataFrame:
+    """A confidence of NaN confirms nothing and adds nothing."""
+    scored = _scored(spark, folder, f"case when l_tax > 0.04 then double('NaN') else {_CONFIDENCE} end")
+    summary = rounded(vetting.vetting_summary(vetting.vet(scored, "kepoi_name")))
+    average = vetting.prediction_summary(scored).agg(F.max("average_confidence").alias("average_confidence"))
+    # One row each.
+    return summary.withColumn("one", F.lit(1)).join(average.withColumn("one", F.lit(1)), "one").drop("one")
+
+
 @query(
     "vetting_summary",
     f"""with {_VETTED} select count(*) as total_analyzed, count(*) filter (confirmable) as confirmed_count,
@@ -238,15 +331,15 @@ def export_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "probability_map",
-    """with two as (select vec_id, cast(embedding[1] as double) as a, cast(embedding[2] as double) as b from embeddings)
-    select vec_id, unnest(['first', 'second']) as label, round(unnest([a, b]), 6) as score,
-      round(greatest(a, b), 6) as confidence from two""",
+    """with cells as (select vec_id, unnest(range(64)) as i, unnest(embedding) as score, list_max(embedding) as best from embeddings)
+    select vec_id, 'd' || i as label, round(cast(score as double), 6) as score, round(cast(best as double), 6) as confidence
+    from cells""",
 )
 def probability_map(spark: SparkSession, folder: str) -> DataFrame:
-    scores = F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double"))
+    scores = F.transform("embedding", lambda x: x.cast("double"))
     labelled = table(spark, folder, "embeddings").select(
         "vec_id",
-        S.label_scores(["first", "second"], scores).alias("probabilities"),
+        S.label_scores([f"d{i}" for i in range(64)], scores).alias("probabilities"),
         F.array_max(scores).alias("confidence"),
     )
     return rounded(labelled.select("vec_id", F.explode("probabilities").alias("label", "score"), "confidence"))

@@ -11,17 +11,21 @@ from ..sources import downloads, fits
 from .registered import query, rounded, table
 
 
+# Every row takes part; some under ids that the other side lacks.
+_ORDER_ID = "case when o_orderpriority = '5-LOW' then -o_custkey else o_custkey end"
+_CUSTOMER_ID = "case when c_mktsegment = 'BUILDING' then c_custkey + 1000000000 else c_custkey end"
+
+
 def _urgent(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders").filter("o_orderpriority = '1-URGENT'")
-    return orders.select("o_orderkey", F.col("o_custkey").alias("tic"))
+    return table(spark, folder, "orders").select("o_orderkey", F.expr(_ORDER_ID).alias("tic"))
 
 
 def _builders(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("tic"))
+    return table(spark, folder, "customer").select(F.expr(_CUSTOMER_ID).alias("tic"))
 
 
-_SIDES = """urgent as (select o_orderkey, o_custkey as tic from orders where o_orderpriority = '1-URGENT'),
-builders as (select c_custkey as tic from customer where c_mktsegment = 'BUILDING')"""
+_SIDES = f"""urgent as (select o_orderkey, {_ORDER_ID} as tic from orders),
+builders as (select {_CUSTOMER_ID} as tic from customer)"""
 
 
 @query("target_semi", f"with {_SIDES} select tic, o_orderkey from urgent where tic in (select tic from builders)")
@@ -101,14 +105,13 @@ def target_explode(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "target_sectors",
-    """with pairs as (select distinct o_custkey as tic_id, month(o_orderdate) as sector from orders
-      where o_orderpriority = '1-URGENT')
+    f"""with pairs as (select distinct {_ORDER_ID} as tic_id, month(o_orderdate) as sector from orders)
     select c_custkey as tic_id, coalesce(string_agg(sector, ',' order by sector), '') as sectors
     from customer left join pairs on c_custkey = tic_id group by c_custkey""",
 )
 def target_sectors(spark: SparkSession, folder: str) -> DataFrame:
-    urgent = table(spark, folder, "orders").filter("o_orderpriority = '1-URGENT'")
-    seen = urgent.select(F.col("o_custkey").alias("tic_id"), F.month("o_orderdate").alias("sector"))
+    orders = table(spark, folder, "orders")
+    seen = orders.select(F.expr(_ORDER_ID).alias("tic_id"), F.month("o_orderdate").alias("sector"))
     ids = table(spark, folder, "customer").select(F.col("c_custkey").alias("tic_id"))
     lists = targets.observed_sectors(seen, ids, keep_missing=True)
     return lists.select("tic_id", F.array_join("sectors", ",").alias("sectors"))
@@ -197,9 +200,9 @@ def script_parse(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "lc_dv_targets",
-    f"""with {_TARGETS},
+    f"""with {_SIDES}, {_TARGETS},
     lc as (select * from (select *, row_number() over (partition by tic order by script, place) as n from listed) where n = 1),
-    dv as (select distinct c_custkey as tic from customer where c_mktsegment = 'BUILDING')
+    dv as (select distinct tic from builders)
     select filename, url, tic from lc where tic in (select tic from dv)""",
 )
 def lc_dv_targets(spark: SparkSession, folder: str) -> DataFrame:
@@ -208,6 +211,21 @@ def lc_dv_targets(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("filename", "url", "tic")
 
 
+@query(
+    "lc_dv_counts",
+    f"""with {_SIDES}, {_TARGETS}, l as (select distinct tic from listed), r as (select distinct tic from builders)
+    select count(*) filter (r.tic is null) as left_only, count(*) filter (l.tic is null) as right_only,
+      count(*) filter (l.tic is not null and r.tic is not null) as common,
+      count(l.tic) as left_total, count(r.tic) as right_total
+    from l full join r on l.tic = r.tic""",
+)
+def lc_dv_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """How the targets of the two kinds of files compare."""
+    lc = targets.first_per_target(downloads.targets_in_lines(_script_lines(spark, folder)))
+    _, counts = targets.intersect_targets(lc, _builders(spark, folder))
+    return counts
+
+
 @query(
     "page_links",
     r"""with clean as (select page_id, regexp_replace(html,

@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+# Tables written by this process and not yet removed.
+_STAGED: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 
-    Where none is named, a local session uses a folder of its own; a cluster must name one.
+    Where none is named, a session without other machines (``local``) uses a folder of its own, removed at the
+    end; any other must name one.
     """
     folder = spark.conf.get(CHECKPOINT_KEY, None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
             raise ValueError(f"{CHECKPOINT_KEY} is not set; name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="skysift-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set(CHECKPOINT_KEY, folder)
     return folder.rstrip("/")
 
@@ -27,8 +34,19 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so later passes do not redo its lineage.
 
-    Unlike a cached frame, the written table outlives lost executors.
+    Unlike a cached frame, the written table outlives lost executors. :func:`release` removes it.
     """
     path = f"{shared_dir(df.sparkSession)}/stage/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the tables staged so far, once nothing reads them any more; how many there were."""
+    removed = 0
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        removed += 1
+    return removed

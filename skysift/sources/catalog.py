@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import scalars as S
+
 # Appended as a last field, it shows where a line really ends.
 _END = "\u0002"
 
@@ -17,6 +19,12 @@ def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return spark.read.text(path)
 
 
+def read_file_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Text lines as (value, file, place); the place orders the lines of a file."""
+    within = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), within.alias("place"))
+
+
 def is_comment(line: Column) -> Column:
     """True for a line whose first visible character is '#'."""
     return line.rlike(r"^\s*#")
@@ -46,11 +54,12 @@ def parse_lines(
     header: str | None = None,
     sep: str = ",",
     drop_long_lines: bool = False,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Lines to string columns named by the header; repeated header lines are left out.
 
     A line with too few fields gets nulls. A line with too many keeps its first
-    fields, or is dropped with ``drop_long_lines``.
+    fields, or is dropped with ``drop_long_lines``. Columns of ``lines`` named in ``carry`` follow the cells.
     """
     header = header if header is not None else first_line(lines)
     names = split_header(header, sep)
@@ -62,34 +71,55 @@ def parse_lines(
         text, width = F.concat(text, F.lit(sep + _END)), width + 1
     cells = ", ".join(f"c{i} string" for i in range(width))
     options = {"sep": sep, "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-    parsed = body.select(F.from_csv(text, cells, options).alias("cells"))
+    parsed = body.select(F.from_csv(text, cells, options).alias("cells"), *carry)
     found = [F.col(f"cells.c{i}") for i in range(width)]
     if drop_long_lines:
         parsed = parsed.filter(F.array_contains(F.array(*found), _END))
-    return parsed.select(*[F.when(~c.isin("", _END), c).alias(n) for c, n in zip(found, names)])
+    return parsed.select(*[F.when(~c.isin("", _END), c).alias(n) for c, n in zip(found, names)], *carry)
+
+
+def parse_files(
+    lines: DataFrame, sep: str = ",", drop_long_lines: bool = False, carry: Sequence[str] = ()
+) -> DataFrame:
+    """Lines of several files to string columns, each file under its own header.
+
+    ``lines`` has (value, file, place). Columns are matched by name; a column that a file lacks is null. One
+    scan finds the header of every file; files with the same header are then read together, so the number
+    of scans is that of different headers.
+    """
+    body = data_lines(lines)
+    by_file = body.groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    headers = [r["header"] for r in by_file.select("header").distinct().orderBy("header").collect()]
+    if not headers:
+        raise ValueError("no data: every line is blank or a comment")
+    if len(headers) == 1:
+        return parse_lines(lines, headers[0], sep, drop_long_lines, carry)
+    parts = []
+    for header in headers:
+        own = by_file.filter(F.col("header") == header).select("file")
+        parts.append(parse_lines(lines.join(own, "file", "left_semi"), header, sep, drop_long_lines, carry))
+    names = list(dict.fromkeys(n for part in parts for n in part.columns if n not in carry))
+    return concat_by_name(parts).select(*[F.col(f"`{n}`") for n in names], *carry)
 
 
 def infer_types(df: DataFrame) -> dict[str, str]:
     """Type of every string column from all of its cells: bigint, double, boolean or string.
 
-    One aggregate over the whole table. A column without any value stays string.
+    One scan, whatever the number of columns. A column without any value stays string.
     """
     if not df.columns:
         return {}
     kinds = ("bigint", "double", "boolean")
-    checks = []
-    for i, name in enumerate(df.columns):
-        cell = F.trim(F.col(f"`{name}`"))
-        checks.append(F.count(cell).alias(f"n{i}"))
-        checks.append(F.count(F.when(cell.rlike(r"^[+-]?\d+$"), cell.try_cast("bigint"))).alias(f"bigint{i}"))
-        checks.append(F.count(_plain_double(cell)).alias(f"double{i}"))
-        checks.append(F.count(F.when(F.lower(cell).isin("true", "false"), cell)).alias(f"boolean{i}"))
-    seen = df.agg(*checks).first()
-    types = {}
-    for i, name in enumerate(df.columns):
-        filled = seen[f"n{i}"]
-        types[name] = next((k for k in kinds if filled and seen[f"{k}{i}"] == filled), "string")
-    return types
+    cells = [F.struct(F.lit(n).alias("name"), F.trim(F.col(f"`{n}`")).alias("cell")) for n in df.columns]
+    cell = F.col("cell")
+    seen = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").filter("cell is not null").groupBy("name").agg(
+        F.count("*").alias("filled"),
+        F.count(F.when(cell.rlike(r"^[+-]?\d+$"), cell.try_cast("bigint"))).alias("bigint"),
+        F.count(_plain_double(cell)).alias("double"),
+        F.count_if(F.lower(cell).isin("true", "false")).alias("boolean"),
+    )
+    found = {r["name"]: next((k for k in kinds if r[k] == r["filled"]), "string") for r in seen.collect()}
+    return {n: found.get(n, "string") for n in df.columns}
 
 
 def _plain_double(cell: Column) -> Column:
@@ -98,12 +128,12 @@ def _plain_double(cell: Column) -> Column:
 
 
 def cast_cells(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Cast string columns; a cell that does not fit its type becomes null."""
+    """Cast string columns; a cell that does not fit its type becomes null, and so does NaN."""
     columns = []
     for name in df.columns:
         cell, kind = F.col(f"`{name}`"), types.get(name, "string")
         if kind == "double":
-            cell = _plain_double(F.trim(cell))
+            cell = S.valid_double(_plain_double(F.trim(cell)))
         elif kind != "string":
             cell = F.trim(cell).try_cast(kind)
         columns.append(cell.alias(name))
@@ -135,8 +165,16 @@ def catalog_from_lines(
 
 
 def read_catalog(spark: SparkSession, path: str | Sequence[str], **options) -> DataFrame:
-    """Catalogue files with '#' comment lines; options as in :func:`catalog_from_lines`."""
-    return catalog_from_lines(read_lines(spark, path), **options)
+    """Catalogue files with '#' comment lines, each under its own header; columns are matched by name.
+
+    Options as in :func:`catalog_from_lines`; with ``header`` the files have none of their own, or this one.
+    """
+    if options.get("header") is not None:
+        return catalog_from_lines(read_lines(spark, path), **options)
+    required, types = options.pop("required", ()), options.pop("types", None)
+    options.pop("header", None)
+    cells = require_columns(parse_files(read_file_lines(spark, path), **options), required)
+    return cast_cells(cells, infer_types(cells) if types is None else types)
 
 
 def read_table(
@@ -146,26 +184,37 @@ def read_table(
     schema: str | T.StructType | None = None,
     sep: str = ",",
 ) -> DataFrame:
-    """Plain CSV with a header; a schema saves the inference pass, ``columns`` prunes the scan."""
+    """Plain CSV with a header; a schema saves the inference pass, ``columns`` prunes the scan. NaN becomes null."""
     reader = spark.read.option("header", True).option("sep", sep)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     df = reader.csv(path)
-    return df.select(*columns) if columns else df
+    return S.nan_to_null(df.select(*columns) if columns else df)
 
 
 def read_columns(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """Parquet scan, projected."""
+    """Parquet scan, projected; NaN becomes null."""
     df = spark.read.parquet(path)
-    return df.select(*columns) if columns else df
+    return S.nan_to_null(df.select(*columns) if columns else df)
 
 
 def read_batches(spark: SparkSession, folder: str, schema: str | T.StructType | None = None) -> DataFrame:
     """All ``batch_*.csv`` of a folder as one table, each row with its file name.
 
-    The files share one header. For batches whose columns differ, see :func:`concat_by_name`.
+    Every file is read under its own header and columns are matched by name; a column that a file lacks is null.
+    With a schema its columns are returned, else all columns with inferred types.
     """
-    df = read_table(spark, f"{folder.rstrip('/')}/batch_*.csv", schema=schema)
-    return df.select("*", F.col("_metadata.file_name").alias("batch_file"))
+    lines = read_file_lines(spark, f"{folder.rstrip('/')}/batch_*.csv")
+    cells = parse_files(lines, carry=["file"])
+    names = [n for n in cells.columns if n != "file"]
+    if schema is None:
+        types = infer_types(cells.drop("file"))
+    else:
+        fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+        types = {f.name: f.dataType.simpleString() for f in fields}
+        cells = cells.withColumns({f.name: F.lit(None).cast("string") for f in fields if f.name not in names})
+        names = [f.name for f in fields]
+    typed = cast_cells(cells.select(*[F.col(f"`{n}`") for n in names], "file"), types)
+    return typed.select(*[F.col(f"`{n}`") for n in names], F.element_at(F.split("file", "/"), -1).alias("batch_file"))
 
 
 def concat_by_name(frames: Sequence[DataFrame]) -> DataFrame:

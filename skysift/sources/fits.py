@@ -235,6 +235,33 @@ def light_curve_status(files: DataFrame, schema: str | T.StructType | None = Non
     return _with_ids(files).select("filename", "content", "TIC", "SECTOR").mapInPandas(check, STATUS_SCHEMA)
 
 
+def decode_files(files: DataFrame, schema: str | T.StructType) -> DataFrame:
+    """One row per file with its status, as in :func:`light_curve_status`, and its ``points`` as an array.
+
+    For jobs that need both and read every file once. The array is as long as the file.
+    """
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    out = T.StructType([*T.StructType.fromDDL(STATUS_SCHEMA).fields, T.StructField("points", T.ArrayType(fields))])
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content, tic, sector in batch.itertuples(index=False):
+                error, points = None, None
+                if pd.isna(tic) or pd.isna(sector):
+                    error = f"no {'target id' if pd.isna(tic) else 'sector'} in the file name"
+                else:
+                    try:
+                        columns = [c.tolist() for c in _decoded(bytes(content), fields)]
+                        points = [dict(zip(fields.names, values)) for values in zip(*columns)]
+                    except (ValueError, KeyError) as problem:
+                        error = f"unreadable: {problem}"
+                rows = None if points is None else len(points)
+                frame = pd.DataFrame([("failed" if error else "success", name, tic, sector, rows, error, points)], columns=out.names)
+                yield frame.astype({"tic": "Int64", "sector": "Int64", "rows": "Int64"})
+
+    return _with_ids(files).select("filename", "content", "TIC", "SECTOR").mapInPandas(decode, out)
+
+
 def read_headers(files: DataFrame) -> DataFrame:
     """Header cards of every HDU as rows; a damaged file gives the cards before the damage."""
 

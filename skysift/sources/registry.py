@@ -22,7 +22,10 @@ JOB_SCHEMA = (
 
 
 def read_registry(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """All ``*_metadata.json`` of a folder; unreadable documents are left out."""
+    """All ``*_metadata.json`` of a folder; unreadable documents are left out, and no document gives no row."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/*_metadata.json")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path):
+        return spark.createDataFrame([], schema)
     fields = T.StructType.fromDDL(schema).add(_BAD, T.StringType())
     df = (
         spark.read.schema(fields)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,30 +10,41 @@ from pyspark.sql.streaming import StreamingQuery
 from ..session import shared_dir
 from ..sources import downloads, fits
 
-FILES_PER_BATCH = 100
+# Bytes of files in a batch, unless a number of files is given.
+BYTES_PER_BATCH = "64g"
 _BINARY = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def stream_files(
-    spark: SparkSession, folder: str, pattern: str = "*.fits", files_per_batch: int = FILES_PER_BATCH
-) -> DataFrame:
+    spark: SparkSession, folder: str, pattern: str = "*.fits", files_per_batch: int | None = None,
+    bytes_per_batch: str = BYTES_PER_BATCH,
+) -> DataFrame:
     """New binary files of a folder as a stream of (filename, content)."""
     files = (
         spark.readStream.format("binaryFile")
         .schema(_BINARY)
         .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_batch)
+        .option(*_limit(files_per_batch, bytes_per_batch))
         .load(folder)
     )
     return files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
 
 
-def _run(rows: DataFrame, out: str, checkpoint: str, partition_by: tuple[str, ...] = ()) -> StreamingQuery:
+def _limit(files: int | None, size: str) -> tuple[str, str]:
+    return ("maxFilesPerTrigger", str(files)) if files is not None else ("maxBytesPerTrigger", size)
+
+
+def _run(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     writer = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-    writer = writer.partitionBy(*partition_by) if partition_by else writer
     return writer.trigger(availableNow=True).start()
 
 
+def _replace(rows: DataFrame, path: str, *partitions: str) -> None:
+    """Write the partitions that ``rows`` has, in place of any that are there already."""
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partitions).parquet(path)
+
+
 def _checkpoint(spark: SparkSession, given: str | None, name: str) -> str:
     return f"{(given or shared_dir(spark)).rstrip('/')}/{name}"
 
@@ -47,20 +56,35 @@ def ingest_light_curves(
     schema: str | T.StructType,
     name: str,
     checkpoint: str | None = None,
-    files_per_batch: int = FILES_PER_BATCH,
-) -> dict[str, StreamingQuery]:
-    """Append unseen light curves to ``out``/curves (by SECTOR) and their status to ``out``/status.
+    files_per_batch: int | None = None,
+    bytes_per_batch: str = BYTES_PER_BATCH,
+) -> StreamingQuery:
+    """Append unseen light curves to ``out``/curves (by SECTOR and batch) and their status to ``out``/status (by batch).
 
-    ``name`` identifies the ingest: a later run under the same name goes on where the last
-    one stopped, also after a crash. Both tables are exactly-once file sinks.
+    ``name`` identifies the ingest: a later run under the same name goes on where the last one stopped, also
+    after a crash. Every file is read and decoded once a batch; a batch that is run again replaces its own
+    partitions of both tables, so they always agree.
     """
     base = _checkpoint(spark, checkpoint, name)
-    read: Callable[[], DataFrame] = lambda: stream_files(spark, folder, files_per_batch=files_per_batch)
-    curves = _run(fits.read_light_curves(read(), schema), f"{out}/curves", f"{base}/curves", ("SECTOR",))
-    status = _run(fits.light_curve_status(read(), schema), f"{out}/status", f"{base}/status")
-    for query in (curves, status):
-        query.awaitTermination()
-    return {"curves": curves, "status": status}
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+    def write(files: DataFrame, batch: int) -> None:
+        decoded = f"{base}/decoded"
+        fits.decode_files(files, fields).write.mode("overwrite").parquet(decoded)
+        done = spark.read.parquet(decoded).withColumn("batch", F.lit(batch))
+        points = done.filter("points is not null").select(
+            F.explode("points").alias("p"), F.col("tic").alias("TIC"), F.col("sector").alias("SECTOR"), "batch"
+        )
+        # Few files a sector, and none of them too large: rows of a large sector are spread.
+        curves = points.select("p.*", "TIC", "SECTOR", "batch").hint("rebalance", "SECTOR")
+        _replace(curves, f"{out}/curves", "SECTOR", "batch")
+        _replace(done.drop("points"), f"{out}/status", "batch")
+
+    files = stream_files(spark, folder, files_per_batch=files_per_batch, bytes_per_batch=bytes_per_batch)
+    writer = files.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/marks")
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
 
 def ingest_scripts(
@@ -70,13 +94,14 @@ def ingest_scripts(
     name: str,
     checkpoint: str | None = None,
     pattern: str = "*lc.sh",
-    files_per_batch: int = FILES_PER_BATCH,
+    files_per_batch: int | None = None,
+    bytes_per_batch: str = BYTES_PER_BATCH,
 ) -> StreamingQuery:
     """Append the targets of unseen download scripts to ``out``."""
     lines = (
         spark.readStream.format("text")
         .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_batch)
+        .option(*_limit(files_per_batch, bytes_per_batch))
         .load(folder)
     )
     rows = lines.select("value", F.col("_metadata.file_name").alias("script"))

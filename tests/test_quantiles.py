@@ -31,16 +31,16 @@ def test_counting_scans_equal_numpy(spark, name, monkeypatch):
     assert {r: found["x", r].value for r in ranks} == {r: order[r] for r in ranks}
     for r in ranks:
         assert found["x", r].under == (values < order[r]).sum() and found["x", r].upto == (values <= order[r]).sum()
-    got = quantiles.exact_quantiles(df, ["x"], FRACTIONS, small=0)["x"]
+    got = quantiles.exact_quantiles(df, ["x"], FRACTIONS, final=50)["x"]
     assert np.allclose(got, np.quantile(values, FRACTIONS), rtol=1e-12, atol=1e-12)
 
 
-def test_both_ways_agree_and_ignore_nulls(spark):
+def test_small_and_large_gaps_agree_and_nulls_are_ignored(spark):
     df = spark.range(20_000).select(
         F.when(F.col("id") % 3 != 0, F.rand(5)).alias("a"), F.lit(None).cast("double").alias("b"), "id"
     )
     few = quantiles.exact_quantiles(df, ["a", "b", "id"], FRACTIONS)
-    many = quantiles.exact_quantiles(df, ["a", "b", "id"], FRACTIONS, small=0)
+    many = quantiles.exact_quantiles(df, ["a", "b", "id"], FRACTIONS, final=10)
     assert few["b"] == many["b"] == [None] * len(FRACTIONS)
     assert np.allclose(few["a"], many["a"]) and np.allclose(few["id"], many["id"])
 
