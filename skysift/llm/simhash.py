@@ -106,13 +106,13 @@ def linked(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     return one.join(two, meet).select(F.col("one.fp").alias("a"), F.col("two.fp").alias("b"))
 
 
-def near_copies(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """(doc_id, row, fp, component_id, head) per document.
+def grouped(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """(doc_id, row, fp, root, component_id) per document.
 
-    component_id is the smallest id of the documents reachable through links, null if none of them has an
-    id; head is the row key of the one document that stands for the component: the smallest (doc_id, row),
-    null ids last. Copies of a fingerprint are reduced to one before the search; links are only sought
-    between different fingerprints. Repeated rows share one key and one result; an empty table gives no rows.
+    component_id is the smallest id of the documents reachable through links, null if none of them has an id;
+    root is the smallest fingerprint of the component. Copies of a fingerprint are reduced to one before the
+    search; links are only sought between different fingerprints. Repeated rows share one key and one result;
+    an empty table gives no rows.
     """
     marked = keep(fingerprints(docs, shingle), "fingerprints").df
     classes = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "classes").df
@@ -122,8 +122,16 @@ def near_copies(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFra
     )
     ids = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     placed = member.join(ids, "root").select(F.col("fp").alias("fp_"), "root", "component_id")
-    found = marked.join(placed, F.col("fp") == F.col("fp_")).select("doc_id", "row", "fp", "root", "component_id")
-    # Of the rows that carry the smallest id, the least row key stands for the component.
+    return marked.join(placed, F.col("fp") == F.col("fp_")).select("doc_id", "row", "fp", "root", "component_id")
+
+
+def near_copies(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """(doc_id, row, fp, component_id, head) per document, as in ``grouped``.
+
+    head is the row key of the one document that stands for the component: the least row key among the rows
+    of its smallest id.
+    """
+    found = grouped(docs, shingle, max_bits)
     heads = (
         found.where(same(F.col("doc_id"), F.col("component_id")))
         .groupBy(F.col("root").alias("root_"))
@@ -134,7 +142,7 @@ def near_copies(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFra
 
 def component_rows(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id per document."""
-    return near_copies(docs, shingle, max_bits).select(
+    return grouped(docs, shingle, max_bits).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
