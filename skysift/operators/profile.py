@@ -368,7 +368,7 @@ def histograms(df: DataFrame, ranges: Mapping[str, tuple[float | None, float | N
     if not known:
         return titles.withColumn("count", F.lit(0).cast("bigint"))
     places = {
-        name: F.least(F.floor((value - low) / ((high - low) / bins)).cast("int"), F.lit(bins - 1))
+        name: F.when(value.isNotNull(), F.least(F.floor((value - low) / ((high - low) / bins)).cast("int"), F.lit(bins - 1)))
         for (name, (low, high)), value in zip(known.items(), _numbers(list(known)).values())
     }
     counted = _cells(df, places).filter("value is not null").groupBy("column", F.col("value").alias("bin")).agg(F.count("*").alias("count"))

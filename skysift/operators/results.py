@@ -17,7 +17,8 @@ def best_per_target(source: DataFrame, key: str = "tic", label: str = "dispositi
     """
     rank = F.coalesce(S.label_rank(F.col(label)), F.lit(S.UNKNOWN_RANK + 1))
     best = F.min(F.struct(rank.alias("rank"), F.col(label).alias("label")))
-    kinds = source.groupBy(key, label).agg(F.count("*").alias("rows"))
+    # The filter holds for every group; without it the optimizer would merge the two aggregates into a sorting one.
+    kinds = source.groupBy(key, label).agg(F.count("*").alias("rows")).where("rows > 0")
     return kinds.groupBy(key).agg(best.alias("best")).select(key, F.col("best.label").alias(label))
 
 

@@ -11,13 +11,13 @@ from ..session import shared_dir
 from ..sources import downloads, fits
 
 # Bytes of files in a batch, unless a number of files is given.
-BYTES_PER_BATCH = "64g"
+BYTES_PER_BATCH = 64 * 2**30
 _BINARY = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def stream_files(
     spark: SparkSession, folder: str, pattern: str = "*.fits", files_per_batch: int | None = None,
-    bytes_per_batch: str = BYTES_PER_BATCH,
+    bytes_per_batch: int = BYTES_PER_BATCH,
 ) -> DataFrame:
     """New binary files of a folder as a stream of (filename, content)."""
     files = (
@@ -30,8 +30,8 @@ def stream_files(
     return files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
 
 
-def _limit(files: int | None, size: str) -> tuple[str, str]:
-    return ("maxFilesPerTrigger", str(files)) if files is not None else ("maxBytesPerTrigger", size)
+def _limit(files: int | None, size: int) -> tuple[str, str]:
+    return ("maxFilesPerTrigger", str(files)) if files is not None else ("maxBytesPerTrigger", str(size))
 
 
 def _run(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -57,7 +57,7 @@ def ingest_light_curves(
     name: str,
     checkpoint: str | None = None,
     files_per_batch: int | None = None,
-    bytes_per_batch: str = BYTES_PER_BATCH,
+    bytes_per_batch: int = BYTES_PER_BATCH,
 ) -> StreamingQuery:
     """Append unseen light curves to ``out``/curves (by SECTOR and batch) and their status to ``out``/status (by batch).
 
@@ -95,7 +95,7 @@ def ingest_scripts(
     checkpoint: str | None = None,
     pattern: str = "*lc.sh",
     files_per_batch: int | None = None,
-    bytes_per_batch: str = BYTES_PER_BATCH,
+    bytes_per_batch: int = BYTES_PER_BATCH,
 ) -> StreamingQuery:
     """Append the targets of unseen download scripts to ``out``."""
     lines = (
