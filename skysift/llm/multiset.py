@@ -20,31 +20,31 @@ SPARSE, SPARSE_BITS = 64, 16
 PIECE = r"[^.!?\n]{1,80}"
 
 
-def wide_lanes(text: Column) -> Column:
-    """The sixteen sums of the digests of the paragraphs of a text."""
-    digests = F.transform(F.split(text, "\n", -1), lambda p: F.sha2(p, 512))
-    lane = lambda d, k: F.conv(F.substr(d, k * 8 + 1, F.lit(8)), 16, 10).cast("long")
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(WIDE - 1)),
-        lambda k: F.aggregate(digests, F.lit(0).cast("long"), lambda s, d: (s + lane(d, k)) % (1 << WIDE_BITS)),
+def with_lanes(df: DataFrame, text: str, wide: str, sparse: str) -> DataFrame:
+    """``df`` with the lanes of a text: sixteen sums of digests, and 64 sums of signed units.
+
+    Digests and pieces are made once, as columns of their own that all lanes refer to.
+    """
+    lines = F.split(F.col(text), "\n", -1)
+    pieces = F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0))
+    codes = 2 * SPARSE - 1
+    made = df.select(
+        "*",
+        F.transform(lines, lambda p: F.sha2(p, 512)).alias("_digests"),
+        # The lane of a piece, and its sign in the highest bit.
+        F.transform(pieces, lambda p: F.xxhash64(p).bitwiseAND(codes).cast("int")).alias("_codes"),
     )
 
+    def whole(k: int) -> Column:
+        part = lambda d: F.conv(F.substring(d, 8 * k + 1, 8), 16, 10).cast("long")
+        return F.aggregate("_digests", F.lit(0).cast("long"), lambda s, d: (s + part(d)) % (1 << WIDE_BITS))
+
+    def units(k: int) -> Column:
+        return F.size(F.filter("_codes", lambda c: c == k))
 
-def sparse_lanes(text: Column) -> Column:
-    """The 64 sums of signed units of the pieces of a text, from 0 to 2^16 - 1."""
-    hashes = F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda p: F.xxhash64(p))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(SPARSE - 1)),
-        lambda k: F.pmod(
-            F.aggregate(
-                hashes,
-                F.lit(0),
-                lambda s, h: F.when(
-                    h.bitwiseAND(SPARSE - 1) == k, s + F.when(h.bitwiseAND(SPARSE) == 0, 1).otherwise(-1)
-                ).otherwise(s),
-            ),
-            F.lit(1 << SPARSE_BITS),
-        ),
+    lanes = [F.pmod(units(k) - units(k + SPARSE), F.lit(1 << SPARSE_BITS)) for k in range(SPARSE)]
+    return made.select(
+        *[F.col(c) for c in df.columns], F.array(*[whole(k) for k in range(WIDE)]).alias(wide), F.array(*lanes).alias(sparse)
     )
 
 
@@ -53,19 +53,24 @@ def combine(a: Column, b: Column, bits: int, sign: int = 1) -> Column:
     return F.zip_with(a, b, lambda x, y: F.pmod(x + sign * y, F.lit(1 << bits)))
 
 
-def likeness(wide_a: Column, sparse_a: Column, wide_b: Column, sparse_b: Column) -> Column:
-    """1 for equal fingerprints, else the cosine of the sparse parts, 0 where it is negative or one is empty."""
+def signed(sparse: str) -> Column:
+    """Sparse lanes as numbers around zero."""
     half, full = 1 << (SPARSE_BITS - 1), 1 << SPARSE_BITS
-    signed = lambda x: F.when(x >= half, x - full).otherwise(x).cast("double")
+    return F.transform(F.col(sparse), lambda x: F.when(x >= half, x - full).otherwise(x).cast("double"))
 
-    def product(a: Column, b: Column) -> Column:
-        return F.aggregate(F.zip_with(a, b, lambda x, y: signed(x) * signed(y)), F.lit(0.0), lambda s, x: s + x)
 
-    norm = F.sqrt(product(sparse_a, sparse_a) * product(sparse_b, sparse_b))
-    cosine = F.when(norm > 0, product(sparse_a, sparse_b) / norm).otherwise(F.lit(0.0))
-    return F.when((wide_a == wide_b) & (sparse_a == sparse_b), F.lit(1.0)).otherwise(
-        F.least(F.greatest(cosine, F.lit(0.0)), F.lit(1.0))
-    )
+def product(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def likeness(equal: Column, both: str, own: str, other: str) -> Column:
+    """1 for equal fingerprints, else the cosine of the sparse parts, 0 where it is negative or one is empty.
+
+    The names are those of the products of the sparse parts: of the two, and of each with itself.
+    """
+    norm = F.sqrt(F.col(own) * F.col(other))
+    cosine = F.when(norm > 0, F.col(both) / norm).otherwise(F.lit(0.0))
+    return F.when(equal, F.lit(1.0)).otherwise(F.least(F.greatest(cosine, F.lit(0.0)), F.lit(1.0)))
 
 
 def as_hex(wide: Column, sparse: Column) -> Column:
@@ -121,10 +126,7 @@ def edited_rows(docs: DataFrame) -> DataFrame:
     links = keep(links, "following").df
     # Null ids take part in the joins under the smallest number; the row hash keeps them apart from it.
     number = lambda c: F.coalesce(c, F.lit(-(2**63)))
-    marked = rows.select(
-        "doc_id", "row", number(F.col("doc_id")).alias("id"), "text",
-        wide_lanes(F.col("text")).alias("wide"), sparse_lanes(F.col("text")).alias("sparse"),
-    )
+    marked = with_lanes(rows.select("doc_id", "row", number(F.col("doc_id")).alias("id"), "text"), "text", "wide", "sparse")
     # What the document before each one takes from it.
     wanted = links.select(
         number(F.col("next_id")).alias("id"), F.col("next_row").alias("row"),
@@ -143,23 +145,25 @@ def edited_rows(docs: DataFrame) -> DataFrame:
             F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int")), "start"
         ).alias("edited"),
     )
-    both = edited.select(
-        "*", wide_lanes(F.col("edited")).alias("edited_wide"), sparse_lanes(F.col("edited")).alias("edited_sparse")
-    )
+    both = with_lanes(edited, "edited", "edited_wide", "edited_sparse")
+    names = {"sparse": "s", "edited_sparse": "e", "next_sparse": "x"}
+    both = both.select("*", *[signed(lanes).alias(name) for lanes, name in names.items()])
+    pairs = [("s", "s"), ("e", "e"), ("x", "x"), ("s", "e"), ("s", "x")]
+    both = both.select("*", *[product(a, b).alias(a + b) for a, b in pairs])
+    same_edited = (F.col("wide") == F.col("edited_wide")) & (F.col("sparse") == F.col("edited_sparse"))
+    same_next = (F.col("wide") == F.col("next_wide")) & (F.col("sparse") == F.col("next_sparse"))
     return both.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited"), 256).alias("edited_sha256"),
         as_hex(F.col("wide"), F.col("sparse")).alias("fingerprint"),
         as_hex(F.col("edited_wide"), F.col("edited_sparse")).alias("edited_fingerprint"),
-        likeness(F.col("wide"), F.col("sparse"), F.col("edited_wide"), F.col("edited_sparse")).alias("near_edited"),
-        likeness(F.col("wide"), F.col("sparse"), F.col("next_wide"), F.col("next_sparse")).alias("near_next"),
+        likeness(same_edited, "se", "ss", "ee").alias("near_edited"),
+        likeness(same_next, "sx", "ss", "xx").alias("near_next"),
         "next_doc_id",
     )
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, wide, sparse per document: the lanes of its fingerprint. A null text counts as empty."""
-    return text_rows(docs).select(
-        "doc_id", wide_lanes(F.col("text")).alias("wide"), sparse_lanes(F.col("text")).alias("sparse")
-    )
+    return with_lanes(text_rows(docs), "text", "wide", "sparse").select("doc_id", "wide", "sparse")
