@@ -161,11 +161,10 @@ def training_check(df: DataFrame) -> DataFrame:
         F.coalesce(F.sum("count"), F.lit(0)).alias("rows"),
         F.map_from_entries(F.collect_list(F.struct("value", "count"))).alias("class_distribution"),
     )
-    # One row on both sides.
-    both = lists.withColumn("one", F.lit(1)).join(kinds.withColumn("one", F.lit(1)), "one")
-    return both.select(
-        (F.size("errors") == 0).alias("usable"), "rows", F.lit(len(df.columns)).alias("columns"),
-        "class_distribution", "errors", "warnings",
+    verdict = lists.select(F.struct("errors", "warnings")).scalar().alias("verdict")
+    return kinds.select("*", verdict).select(
+        (F.size("verdict.errors") == 0).alias("usable"), "rows", F.lit(len(df.columns)).alias("columns"),
+        "class_distribution", "verdict.errors", "verdict.warnings",
     )
 
 

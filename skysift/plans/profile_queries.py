@@ -118,8 +118,8 @@ def explore_job(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderkey").cast("string").alias("kepoi_name"), F.col("o_orderstatus").alias("koi_disposition"), "o_totalprice"
     )
     found = jobs.explore(orders, ["o_totalprice", "kepoi_name"])
-    size = found["sample"].agg(F.count("*").cast("int").alias("sampled"), F.lit(1).alias("one"))
-    return found["distribution"].withColumn("one", F.lit(1)).join(F.broadcast(size), "one").drop("one")
+    sampled = found["sample"].agg(F.count("*").cast("int")).scalar()
+    return found["distribution"].select("value", "count", sampled.alias("sampled"))
 
 
 @query(

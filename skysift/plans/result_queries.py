@@ -92,14 +92,9 @@ def results_nan(spark: SparkSession, folder: str) -> DataFrame:
     """A score of NaN is no score."""
     score = F.expr(_EVENT_SCORE.format(nan="double('NaN')")).alias("score")
     events = table(spark, folder, "orders").select(F.col("o_custkey").alias("tic_id"), score)
-    summary = results.catalogue_summary(events).select(
-        F.col("high_confidence_candidates").alias("high"), F.col("average_score").alias("average"), F.lit(1).alias("one")
-    )
-    counted = results.high_scores(events).agg(F.count("*").alias("listed"), F.lit(1).alias("one"))
-    # One row each.
-    agreed = summary.join(counted, "one").where("high = listed").drop("listed")
-    best = results.best_score(events, "tic_id").withColumn("one", F.lit(1))
-    return rounded(best.join(F.broadcast(agreed), "one").drop("one"))
+    high = results.high_scores(events).agg(F.count("*")).scalar()
+    average = results.catalogue_summary(events).select("average_score").scalar()
+    return rounded(results.best_score(events, "tic_id").select("*", high.alias("high"), average.alias("average")))
 
 
 @query(
@@ -136,8 +131,8 @@ def result_report(spark: SparkSession, folder: str) -> DataFrame:
     """The report of a scoring run: summary of the results and of the catalogue."""
     catalogue = _scores(spark, folder).withColumnRenamed("target_id", "tic_id")
     report = jobs.result_report(_scores(spark, folder), _official(spark, folder), catalogue)
-    sizes = report["catalogue"].select("total_objects", "unique_stars", F.lit(1).alias("one"))
-    return rounded(report["summary"].withColumn("one", F.lit(1)).join(sizes, "one").drop("one"))
+    sizes = [report["catalogue"].select(c).scalar().alias(c) for c in ("total_objects", "unique_stars")]
+    return rounded(report["summary"].select("*", *sizes))
 
 
 @query("size_mb", "select l_orderkey, l_linenumber, round(cast(l_extendedprice * 1000 as bigint) / 1048576, 2) as size from lineitem")
@@ -271,9 +266,8 @@ def vetting_nan(spark: SparkSession, folder: str) -> DataFrame:
     """A confidence of NaN confirms nothing and adds nothing."""
     scored = _scored(spark, folder, f"case when l_tax > 0.04 then double('NaN') else {_CONFIDENCE} end")
     summary = rounded(vetting.vetting_summary(vetting.vet(scored, "kepoi_name")))
-    average = vetting.prediction_summary(scored).agg(F.max("average_confidence").alias("average_confidence"))
-    # One row each.
-    return summary.withColumn("one", F.lit(1)).join(average.withColumn("one", F.lit(1)), "one").drop("one")
+    average = vetting.prediction_summary(scored).agg(F.max("average_confidence")).scalar()
+    return summary.select("*", average.alias("average_confidence"))
 
 
 @query(
