@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skysift.llm.common import in_batches, keep
+from skysift.llm.common import Kept, in_batches, keep
 
 TYPES = {
     "object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "integer": int, "number": (int, float),
@@ -121,34 +121,70 @@ def check(arguments: str | None, schema: str | None) -> tuple[object, list[str]]
     return value, violations(value, _schema(schema))
 
 
-def levels(calls: DataFrame, name: str = "levels") -> DataFrame:
+def _chains(single: DataFrame, longest: int) -> DataFrame:
+    """(conv_id, call_id, at, steps): the first call before a chain of calls with one dependency each.
+
+    ``single`` has (conv_id, call_id, needs). Pointers are doubled, so the number of rounds is the logarithm of the
+    longest chain; it is at most that of ``longest``, the number of calls of a conversation, and what points into
+    the chain then still is on a cycle or behind one, and has no row.
+    """
+    now = keep(single.select("conv_id", "call_id", F.col("needs").alias("at"), F.lit(1).cast("long").alias("steps")), "chains")
+    reach = 1
+    while True:
+        ahead = now.df.select(
+            F.col("conv_id").alias("c"), F.col("call_id").alias("i"), F.col("at").alias("next"), F.col("steps").alias("more")
+        )
+        met = now.df.join(ahead, (F.col("conv_id") == F.col("c")) & (F.col("at") == F.col("i")), "left")
+        after = keep(
+            met.select("conv_id", "call_id", F.coalesce("next", "at").alias("at"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("i").isNotNull().alias("moved")),
+            "chains",
+        )
+        now.drop()
+        if reach > longest or not after.df.where("moved").head(1):
+            return after.df.where("not moved").drop("moved")
+        now, reach = Kept(after.df.drop("moved"), after.path), 2 * reach
+
+
+def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): 0 for calls that depend on no other known call, else one above the deepest.
 
     ``calls`` has (conv_id, call_id, depends_on); a pair names one call. Calls on a cycle, and those that
-    depend on one, have no row. A round handles one level of all conversations at once, and its work is that
-    of the edges left; it is written to the shared folder, so a lost executor costs one round at most.
+    depend on one, have no row. Chains of calls with one dependency are followed by doubling; calls with
+    several get their level in rounds, one for each level of such calls. Every round handles all
+    conversations at once, keyed by conversation and call, and is written to the shared folder.
     """
-    nodes = calls.select("conv_id", "call_id")
-    edges = calls.select("conv_id", "call_id", F.explode("depends_on").alias("needs")).distinct()
-    # Of a third of all calls in one conversation, each identifier still is a key of its own.
-    target = nodes.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"))
-    left = keep(edges.join(target, (F.col("conv_id") == F.col("c")) & (F.col("needs") == F.col("i")), "left_semi"), "edges")
-    ready = keep(nodes.join(left.df.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"), name).df
-    ready = ready.withColumn("level", F.lit(0))
-    found, level = ready, 0
-    while True:
-        done = ready.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"))
-        met = (F.col("conv_id") == F.col("c")) & (F.col("needs") == F.col("i"))
-        after = keep(left.df.join(done, met, "left_anti"), "edges")
-        level += 1
-        freed = left.df.join(done, met, "left_semi").select("conv_id", "call_id").distinct()
-        ready = keep(freed.join(after.df.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"), name).df
-        left.drop()
-        left = after
+    ids = ["conv_id", "call_id"]
+    edges = calls.select(*ids, F.explode("depends_on").alias("needs")).distinct()
+    target = calls.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"))
+    edges = edges.join(target, (F.col("conv_id") == F.col("c")) & (F.col("needs") == F.col("i")), "left_semi")
+    degrees = edges.groupBy(*ids).agg(F.count("*").alias("n"))
+    edges = keep(edges.join(degrees, ids), "edges").df
+    longest = edges.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    single, several = edges.where("n = 1").drop("n"), edges.where("n > 1").drop("n")
+    chains = _chains(single, longest)
+    leveled = calls.select(*ids).join(edges.select(*ids), ids, "left_anti").withColumn("level", F.lit(0).cast("long"))
+    # A dependency in a chain stands for the call before the chain, so many steps above it; on a cycle for none.
+    ahead = chains.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"), "at", "steps")
+    cyclic = single.join(chains, ids, "left_anti").select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"))
+    met = (F.col("conv_id") == F.col("c")) & (F.col("needs") == F.col("i"))
+    stuck = several.join(cyclic, met, "left_semi").select(*ids).distinct()
+    left = several.join(ahead, met, "left").select(*ids, F.coalesce("at", "needs").alias("at"), F.coalesce("steps", F.lit(0)).alias("steps"))
+    left = keep(left.join(stuck, ids, "left_anti"), "edges").df
+    while left.head(1):
+        known = leveled.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"), "level")
+        weighed = left.join(known, (F.col("conv_id") == F.col("c")) & (F.col("at") == F.col("i")), "left").groupBy(*ids)
+        ready = weighed.agg(
+            (F.max(F.col("level") + F.col("steps")) + 1).alias("level"), F.count("*").alias("n"), F.count("level").alias("found")
+        )
+        ready = keep(ready.where("n = found").select(*ids, "level"), "levels").df
         if not ready.head(1):
-            return found
-        ready = ready.withColumn("level", F.lit(level))
-        found = found.union(ready)
+            break
+        leveled = leveled.union(ready)
+        left = keep(left.join(ready.select(*ids), ids, "left_anti"), "edges").df
+    leveled = keep(leveled, "levels").df
+    above = leveled.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"), "level")
+    inside = chains.join(above, (F.col("conv_id") == F.col("c")) & (F.col("at") == F.col("i")))
+    return leveled.union(inside.select(*ids, (F.col("level") + F.col("steps")).alias("level")))
 
 
 def link(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:

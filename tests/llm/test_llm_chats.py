@@ -52,6 +52,19 @@ def test_order_of_a_dense_conversation(spark):
         assert by["1", str(i)]["level"] == 1 + max(by["1", str(i // 2)]["level"], by["1", str(i // 3)]["level"])
 
 
+def test_order_of_a_long_chain_and_of_chains_between(spark):
+    calls = [(1, f"c{i}", i, "find", "{}", [f"c{i - 1}"] if i else []) for i in range(100)]
+    # Two chains that meet, a chain behind them, and a chain behind a cycle.
+    calls += [(2, "r", 0, "find", "{}", []), (2, "a1", 1, "find", "{}", ["r"]), (2, "a2", 2, "find", "{}", ["a1"]), (2, "b1", 3, "find", "{}", ["r"]),
+              (2, "m", 4, "find", "{}", ["a2", "b1"]), (2, "d1", 5, "find", "{}", ["m"]), (2, "m2", 6, "find", "{}", ["d1", "b1", "r"]),
+              (2, "x", 7, "find", "{}", ["y"]), (2, "y", 8, "find", "{}", ["x"]), (2, "z", 9, "find", "{}", ["y"]), (2, "w", 10, "find", "{}", ["z", "r"]),
+              (2, "v", 11, "find", "{}", ["w"])]
+    by, _ = linked(spark, calls, [])
+    assert [by["1", f"c{i}"]["level"] for i in range(100)] == list(range(100))
+    want = {"r": 0, "a1": 1, "a2": 2, "b1": 1, "m": 3, "d1": 4, "m2": 5, "x": None, "y": None, "z": None, "w": None, "v": None}
+    assert {c: by["2", c]["level"] for c in want} == want
+
+
 def test_given_turns(spark, folder):
     turns = spark.read.parquet(f"{folder}/conversations.parquet")
     rows = [r.asDict() for r in turns.collect()]

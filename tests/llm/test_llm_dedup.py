@@ -120,8 +120,9 @@ def test_automaton_counts_edits(spark):
     pairs = [("".join(draw.choice("abé") for _ in range(draw.randint(0, 9))), "".join(draw.choice("abé") for _ in range(draw.randint(0, 9)))) for _ in range(300)]
     df = spark.createDataFrame(pairs, "a string, b string")
     for k in (1, 2, 3):
-        got = df.select("a", "b", lines.within(F.col("a"), F.col("b"), k)).collect()
-        assert [r[2] for r in got] == [brute.edits(r[0], r[1]) <= k for r in got]
+        got = lines.within(df, "a", "b", [k], ["near"]).select("a", "b", "near", lines._bags_differ(lines.bag(F.col("a")), lines.bag(F.col("b"))))
+        for r in got.collect():
+            assert r[2] == (brute.edits(r[0], r[1]) <= k) and (not r[2] or r[3] <= 2 * k)
 
 
 def grouped(df, **options):
