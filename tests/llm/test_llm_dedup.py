@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from skysift.llm import lines, simhash, substrings
+from skysift.llm.common import keep
 from skysift.llm.components import components
 
 
@@ -119,8 +120,9 @@ def test_automaton_counts_edits(spark):
     draw = random.Random(3)
     pairs = [("".join(draw.choice("abé") for _ in range(draw.randint(0, 9))), "".join(draw.choice("abé") for _ in range(draw.randint(0, 9)))) for _ in range(300)]
     df = spark.createDataFrame(pairs, "a string, b string")
+    points = keep(lines.code_points(df, "a", "b"), "pairs").df
     for k in (1, 2, 3):
-        got = lines.within(df, "a", "b", [k], ["near"]).select("a", "b", "near", lines._bags_differ(lines.bag(F.col("a")), lines.bag(F.col("b"))))
+        got = points.select("a", "b", lines.within(k), lines._bags_differ(lines.bag(F.col("a")), lines.bag(F.col("b"))))
         for r in got.collect():
             assert r[2] == (brute.edits(r[0], r[1]) <= k) and (not r[2] or r[3] <= 2 * k)
 
