@@ -127,6 +127,32 @@ def test_automaton_counts_edits(spark):
             assert r[2] == (brute.edits(r[0], r[1]) <= k) and (not r[2] or r[3] <= 2 * k)
 
 
+def test_letter_counts_bound_the_edits(spark):
+    draw = random.Random(8)
+    pairs = [("".join(draw.choice(lines.COUNTED + "xyzé ") for _ in range(draw.randint(0, 40))),) * 2 for _ in range(200)]
+    changed = []
+    for a, b in pairs:
+        chars = list(b)
+        for _ in range(draw.randint(0, 6)):
+            chars[draw.randint(0, len(chars)) : draw.randint(0, len(chars))] = draw.choice(lines.COUNTED)
+        changed.append((a, "".join(chars)))
+    df = spark.createDataFrame(changed, "a string, b string")
+    got = df.select("a", "b", lines._counts_differ(lines._counts(F.col("a")), lines._counts(F.col("b")))).collect()
+    for a, b, gap in got:
+        rest = [(a.count(c) - b.count(c)) % 4 for c in lines.COUNTED]
+        assert gap == sum(min(r, 4 - r) for r in rest) <= 2 * brute.edits(a, b)
+
+
+def test_lines_without_sending_tables(spark, monkeypatch):
+    """Both ways to fetch lines give the same."""
+    rows = [*brute.odd_rows(), *[(100 + i, f"a line that differs by its number {i}\nand one that repeats\nodd {i * 7919}") for i in range(30)]]
+    docs = brute.documents(spark, rows)
+    want = sorted(brute.lines(rows, 2, 10), key=brute.key)
+    assert kept_lines(docs) == want
+    monkeypatch.setattr(lines, "BROADCAST_LINES", -1)
+    assert kept_lines(docs) == want
+
+
 def grouped(df, **options):
     return sorted(map(tuple, simhash.component_rows(df, **options).collect()), key=brute.key)
 
