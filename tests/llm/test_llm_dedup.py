@@ -137,10 +137,10 @@ def test_letter_counts_bound_the_edits(spark):
             chars[draw.randint(0, len(chars)) : draw.randint(0, len(chars))] = draw.choice(lines.COUNTED)
         changed.append((a, "".join(chars)))
     df = spark.createDataFrame(changed, "a string, b string")
-    got = df.select("a", "b", lines._counts_differ(*[lines._counts(F.col(c), F.char_length(c)) for c in "ab"])).collect()
+    got = df.select("a", "b", lines._counts_differ(*[lines._counts(F.col(c)) for c in "ab"])).collect()
     for a, b, gap in got:
-        rest = [(a.count(c) - b.count(c)) % 16 for c in lines.COUNTED]
-        assert gap == sum(min(r, 16 - r) for r in rest) <= 2 * brute.edits(a, b)
+        rest = [(a.count(c) - b.count(c)) % 4 for c in lines.COUNTED]
+        assert gap == sum(min(r, 4 - r) for r in rest) <= 2 * brute.edits(a, b)
 
 
 def test_lines_without_sending_tables(spark, monkeypatch):
