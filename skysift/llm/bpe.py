@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from skysift.llm.common import in_batches, picked, with_fields
 
 #: Pieces remembered by a Python worker before it starts anew; a bound on memory, not on input.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 def read_ranks(spark: SparkSession, path: str) -> bytes:
@@ -123,7 +123,7 @@ class Encoder:
                 before, left = left, self.parts[left][1]
             else:
                 good = True
-        if len(self.fits) >= REMEMBERED * 5:
+        if len(self.fits) >= REMEMBERED * 2:
             self.fits.clear()
         self.fits[pair] = good
         return good

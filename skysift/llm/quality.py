@@ -48,7 +48,7 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - sums[:, None], -60, 60)))
 
 
-@lru_cache(maxsize=300_000)
+@lru_cache(maxsize=40_000)
 def _bucket(feature: str) -> int:
     return xxhash.xxh32_intdigest(feature.encode("utf-8", "surrogatepass")) % BUCKETS
 
