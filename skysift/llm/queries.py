@@ -35,7 +35,7 @@ def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without its repeated and nearly repeated lines."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return lines.dedup_lines(docs, n_lines="n_lines", n_removed="n_removed")
+    return lines.dedup_lines(docs, n_lines="n_lines", n_removed="n_removed", grows=True)
 
 
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:

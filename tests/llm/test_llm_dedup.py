@@ -143,6 +143,26 @@ def test_letter_counts_bound_the_edits(spark):
         assert gap == sum(min(r, 4 - r) for r in rest) <= 2 * brute.edits(a, b)
 
 
+def test_one_changed_word_in_long_lines(spark):
+    """Edits grow with the line: a changed word does not save a long near copy, in a group or alone."""
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice("aeioudnrstéß") for _ in range(draw.randint(2, 9)))
+    rows = []
+    for i in range(40):
+        words = [word() for _ in range(draw.randint(12, 60))]
+        rows.append((i, " ".join(words)))
+        for k in range(30 if i == 0 else 2):
+            changed = list(words)
+            changed[draw.randrange(len(words))] = word()
+            rows.append((100 + 40 * i + k, " ".join(changed)))
+    solid = "".join(draw.choice("日本語文字列検索東京都大阪府県市町村山川海空") for _ in range(90))
+    rows += [(5000, solid), (5001, solid[:40] + "新しい語" + solid[43:])]
+    allowed = lambda a, b: min(len(a), len(b)) // 10
+    want = {d for d, t in rows if any(e < d and abs(len(s) - len(t)) <= allowed(s, t) and brute.edits(s, t) <= allowed(s, t) for e, s in rows)}
+    got = lines.dedup_lines(brute.documents(spark, rows), n_removed="n_removed_", grows=True).where("n_removed_ = 1")
+    assert {r["doc_id"] for r in got.collect()} == want and len(want) > 100
+
+
 def test_lines_without_sending_tables(spark, monkeypatch):
     """Both ways to fetch lines give the same."""
     rows = [*brute.odd_rows(), *[(100 + i, f"a line that differs by its number {i}\nand one that repeats\nodd {i * 7919}") for i in range(30)]]
