@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from skysift.llm.common import Kept, in_batches, keep
 
+#: The rows of ``link`` and ``messages``.
+LINKED = "conv_id string, call_id string, position long, level int, status string, copies long, n_results long, errors array<string>, json string"
 TYPES = {
     "object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "integer": int, "number": (int, float),
 }
@@ -265,8 +267,7 @@ def link(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
         F.col("level").cast("int").alias("level"), "status", F.col("copies").cast("long").alias("copies"),
         F.col("n_results").cast("long").alias("n_results"), "name", "arguments", "depends_on", "content", "unknown", "schema",
     )
-    schema = "conv_id string, call_id string, position long, level int, status string, copies long, n_results long, errors array<string>, json string"
-    return in_batches(given, run, schema)
+    return in_batches(given, run, LINKED)
 
 
 #: Schemas of the calls that ``from_turns`` makes.
@@ -285,6 +286,7 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     A user's turn calls ``open`` (turns 0 and 1) or ``follow``, which depends on the user's turn two before; an
     assistant's turn is the result of the call made by the turn before it. Identifiers hold the turn's number.
+    Turns of other roles, or of none, are neither; ``messages`` keeps them.
     """
     spark = turns.sparkSession
     name = lambda t: F.concat(F.lit("call-"), t.cast("string"))
@@ -298,3 +300,34 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     results = turns.where("role = 'assistant'").select("conv_id", name(turn - 1).alias("call_id"), turn.alias("position"), F.col("text").alias("content"))
     tools = spark.createDataFrame([(n, json.dumps(s)) for n, s in TURN_TOOLS], "name string, schema string")
     return calls, results, tools
+
+
+def messages(turns: DataFrame) -> DataFrame:
+    """A row, like those of ``link``, for each turn that is neither a user's nor an assistant's.
+
+    status: ``message`` for turns of the system and of any other role, ``unidentified`` for those without a role.
+    They are no calls: call_id and level are null, copies and n_results 0. json holds role, text and turn.
+    """
+    rest = turns.where("role is null or role not in ('user', 'assistant')")
+    names = ["conv_id", "call_id", "position", "level", "status", "copies", "n_results"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [canonical(r) for r in batch.select(["role", "text", "turn"]).to_pylist()]
+            errors = pa.array([[]] * len(texts), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), errors, pa.array(texts, pa.string())], [*names, "errors", "json"])
+
+    given = rest.select(
+        F.col("conv_id").cast("string").alias("conv_id"), F.lit(None).cast("string").alias("call_id"), F.col("turn").cast("long").alias("position"),
+        F.lit(None).cast("int").alias("level"), F.when(F.col("role").isNull(), "unidentified").otherwise("message").alias("status"),
+        F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("n_results"), "role", "text", "turn",
+    )
+    return in_batches(given, run, LINKED)
+
+
+def linked_turns(turns: DataFrame) -> DataFrame:
+    """Every turn: calls with their results as in ``link``, and the turns of other roles as in ``messages``.
+
+    Each turn is counted once: in ``copies``, in ``n_results``, or as a row in which both are 0.
+    """
+    return link(*from_turns(turns)).union(messages(turns))

@@ -58,8 +58,8 @@ def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_chat_tools(spark: SparkSession, folder: str) -> DataFrame:
-    """Every turn of the conversations as a linked, ordered and validated tool call."""
-    return chats.link(*chats.from_turns(table(spark, folder, "conversations")))
+    """Every turn of the conversations: linked, ordered and validated tool calls, and the messages beside them."""
+    return chats.linked_turns(table(spark, folder, "conversations"))
 
 
 def op9_class_lm(spark: SparkSession, folder: str) -> DataFrame:

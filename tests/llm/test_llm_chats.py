@@ -90,6 +90,22 @@ def test_given_turns(spark, folder):
     assert {k: (v["level"], v["status"], v["errors"], v["json"]) for k, v in calls.items()} == want
 
 
+def test_turns_of_all_roles(spark, folder):
+    """Rows and results account for every turn, whatever its role."""
+    given = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    odd = [(7001, 0, "system", "be \"brief\""), (7001, 0, "system", "be \"brief\""), (7001, 1, "user", "x"), (7001, 2, "assistant", "y"),
+           (7001, 3, None, "who"), (7001, 4, "tool", None), (None, 5, "system", "z"), (7001, None, "user", "u")]
+    turns = given.union(spark.createDataFrame(odd, given.schema))
+    rows = chats.linked_turns(turns).collect()
+    others = [r for r in rows if r["copies"] == r["n_results"] == 0]
+    assert sum(r["copies"] + r["n_results"] for r in rows) + len(others) == turns.count()
+    want = [(None if r["conv_id"] is None else str(r["conv_id"]), r["turn"], "message" if r["role"] else "unidentified",
+             json.dumps({"role": r["role"], "text": r["text"], "turn": r["turn"]}, separators=(",", ":"), ensure_ascii=False))
+            for r in turns.collect() if r["role"] not in ("user", "assistant")]
+    assert sorted(((r["conv_id"], r["position"], r["status"], r["json"]) for r in others), key=str) == sorted(want, key=str)
+    assert len(want) > 6 and all(r["call_id"] is None and r["level"] is None and r["errors"] == [] for r in others)
+
+
 @pytest.mark.parametrize(
     "value,text",
     [
