@@ -418,6 +418,16 @@ def registry_sorted(spark: SparkSession, folder: str) -> DataFrame:
     return ordered.select("analysis_id", "status", "created_at").limit(50)
 
 
+@query(
+    "registry_listing",
+    f"""with {_JOBS} select analysis_id, status, created_at from jobs
+    order by coalesce(created_at, '') desc, analysis_id""",
+)
+def registry_listing(spark: SparkSession, folder: str) -> DataFrame:
+    ordered = registry.newest_first(_jobs(spark, folder), then_by=["analysis_id"])
+    return ordered.select("analysis_id", "status", "created_at")
+
+
 @query(
     "job_status",
     f"""with {_JOBS} select analysis_id, status, created_at, started_at, coalesce(progress, 0) as progress,

@@ -47,3 +47,9 @@ def test_entry(spark):
         "name", "original_status", "predicted_status", "confidence", "period", "radius", "confirmable",
     ]
     assert df.count() == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+
+
+def test_the_listing_holds_every_entry(spark, folder):
+    listed = [(r["created_at"] or "", r["analysis_id"]) for r in QUERIES["registry_listing"](spark, folder).collect()]
+    assert len(listed) == spark.read.parquet(f"{folder}/orders.parquet").count()
+    assert [d for d, _ in listed] == sorted((d for d, _ in listed), reverse=True)
