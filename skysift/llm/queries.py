@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.llm import bpe, chats, classlm, langid, leaks, lines, multiset, quality, simhash, substrings
+from skysift.llm import bpe, chats, classlm, langid, leaks, lines, multiset, periodic, phrases, quality, simhash, substrings
 from skysift.llm.common import table
 from skysift.plans.registered import Query
 
@@ -72,6 +72,16 @@ def op10_multiset_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return multiset.edited_rows(table(spark, folder, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of repeated words of every document, one in ten of them with a repeated end, and digests of what is left."""
+    return periodic.digests(periodic.looped(table(spark, folder, "documents")))
+
+
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2,000 strongest phrases of two or three words of each language."""
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -83,5 +93,7 @@ QUERIES: dict[str, Query] = {
     "op8_chat_tools": op8_chat_tools,
     "op9_class_lm": op9_class_lm,
     "op10_multiset_fingerprint": op10_multiset_fingerprint,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_phrases": op13_phrases,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op13_phrases": phrases.SQL}
