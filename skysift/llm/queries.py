@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.llm import bpe, chats, classlm, langid, leaks, lines, multiset, periodic, phrases, quality, simhash, substrings
+from skysift.llm import bpe, chats, classlm, idfiles, langid, leaks, lines, multiset, periodic, phrases, quality, simhash, substrings
 from skysift.llm.common import table
 from skysift.plans.registered import Query
 
@@ -72,6 +72,13 @@ def op10_multiset_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return multiset.edited_rows(table(spark, folder, "documents"))
 
 
+def op11_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as it stands in the files of token ids: where its ids start, how many they are, their checksum."""
+    content = idfiles.read_vocabulary(spark, public_tokenizers.path("word_bpe_49k.json"))
+    back = idfiles.through_files(table(spark, folder, "documents"), content, end=2)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids_le").alias("ids_crc32"))
+
+
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Runs of repeated words of every document, one in ten of them with a repeated end, and digests of what is left."""
     return periodic.digests(periodic.looped(table(spark, folder, "documents")))
@@ -93,6 +100,7 @@ QUERIES: dict[str, Query] = {
     "op8_chat_tools": op8_chat_tools,
     "op9_class_lm": op9_class_lm,
     "op10_multiset_fingerprint": op10_multiset_fingerprint,
+    "op11_token_files": op11_token_files,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_phrases": op13_phrases,
 }
