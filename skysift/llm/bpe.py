@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -22,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skysift.llm.common import in_batches, picked, with_fields
+from skysift.llm.common import Recent, in_batches, picked, with_fields
 
-#: Pieces remembered by a Python worker before it starts anew; a bound on memory, not on input.
-REMEMBERED = 100_000
+#: Pieces, and pairs of tokens, held in a Python worker's memory; no bounds on input.
+REMEMBERED, PAIRS = 200_000, 200_000
 
 
 def read_ranks(spark: SparkSession, path: str) -> bytes:
@@ -62,8 +61,8 @@ class Encoder:
             self.automaton.add_word(self.token[rank].decode("latin-1"), rank)
         self.automaton.make_automaton()
         self.shorter = {rank: self._longest_within(self.token[rank][:-1]) for rank in self.parts}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.known = Known(self)
+        self.fits: Recent[tuple[int, int], bool] = Recent(self._may_follow, PAIRS)
+        self.known: Recent[str, bytes] = Recent(self._ids, REMEMBERED)
 
     def _ordered(self) -> bool:
         """Whether all bytes are tokens and every token outranks its parts; else pieces are merged step by step."""
@@ -99,22 +98,18 @@ class Encoder:
             return None
         return self.rank[last[0]], self.rank[last[1]]
 
-    def _may_follow(self, left: int, right: int) -> bool:
+    def _may_follow(self, pair: tuple[int, int]) -> bool:
         """Whether merging the bytes of two tokens side by side ends with these two.
 
         Undoes the merges of both in falling order of rank; they stand if no merge across the border was
         to come before the one undone last.
         """
-        pair = (left, right)
-        known = self.fits.get(pair)
-        if known is not None:
-            return known
-        before, good = 1 << 62, None
-        while good is None:
+        (left, right), before = pair, 1 << 62
+        while True:
             across = self.rank.get(self.token[left] + self.token[right])
             if across is not None and across < before:
-                good = False
-            elif left > right and self.parts[left][0] != left:
+                return False
+            if left > right and self.parts[left][0] != left:
                 before, left = left, self.parts[left][1]
             elif self.parts[right][0] != right:
                 # Equal ranks merge from the left, so a border merge of the same rank would have come first.
@@ -122,11 +117,7 @@ class Encoder:
             elif self.parts[left][0] != left:
                 before, left = left, self.parts[left][1]
             else:
-                good = True
-        if len(self.fits) >= REMEMBERED * 2:
-            self.fits.clear()
-        self.fits[pair] = good
-        return good
+                return True
 
     def _piece(self, piece: bytes) -> tuple[int, ...]:
         whole = self.rank.get(piece)
@@ -141,11 +132,11 @@ class Encoder:
             longest[start] = rank  # later ends are longer
         dead = bytearray(n + 1)
         path: list[int] = []
-        at, token = 0, longest[0]
+        at, token, fits = 0, longest[0], self.fits
         while at < n:
             while token is not None:
                 end = at + len(self.token[token])
-                if not dead[end] and (not path or self._may_follow(path[-1], token)):
+                if not dead[end] and (not path or fits[path[-1], token]):
                     break
                 token = self.shorter[token]
             if token is None:
@@ -160,23 +151,15 @@ class Encoder:
         return tuple(path)
 
     def encode(self, piece: str) -> tuple[int, ...]:
-        return self.known[piece]
+        """The ids of a piece of text."""
+        return self._piece(piece.encode("utf-8"))
 
+    def _ids(self, piece: str) -> bytes:
+        return np.array(self.encode(piece), np.int32).tobytes()
 
-class Known(dict[str, tuple[int, ...]]):
-    """Encoded pieces; others are encoded when asked for, and remembered unless they are long."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.encoder._piece(piece.encode("utf-8"))
-        if len(piece) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = ids
-        return ids
+    def text_ids(self, pieces: list[str]) -> np.ndarray:
+        """The ids of a text's pieces."""
+        return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.int32)
 
 
 @lru_cache(maxsize=2)
@@ -195,21 +178,40 @@ def encode(docs: DataFrame, content: bytes, pattern: str, text: str = "text", id
     rest = [c for c in docs.columns if c not in (text, ids)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, one = regex.compile(pattern).findall, encoder(content).known.__getitem__
+        find, model = regex.compile(pattern).findall, encoder(content)
         for batch in batches:
-            counts, parts = [0], []
-            for value in batch.column(len(rest)).to_pylist():
-                found = np.fromiter(chain.from_iterable(map(one, find(value or ""))), np.int32)
-                parts.append(found)
-                counts.append(counts[-1] + len(found))
-            flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], lists], [*rest, ids])
+            parts = [model.text_ids(find(value or "")) for value in batch.column(len(rest)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], _lists(parts)], [*rest, ids])
 
     added = T.StructField(ids, T.ArrayType(T.IntegerType()))
     return in_batches(picked(docs, [*rest, text]), run, with_fields(picked(docs, rest), added))
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*parts, np.empty(0, np.int32)])))
+
+
+def round_trip(docs: DataFrame, content: bytes, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``docs`` without its text, with its token ids and the bytes that these decode to; both as in ``encode`` and ``decode``.
+
+    One pass: the ids need not leave the Python worker to be decoded.
+    """
+    rest = [c for c in docs.columns if c not in (text, ids, decoded)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, model = regex.compile(pattern).findall, encoder(content)
+        token = model.token.__getitem__
+        for batch in batches:
+            parts = [model.text_ids(find(value or "")) for value in batch.column(len(rest)).to_pylist()]
+            back = pa.array([b"".join(map(token, part.tolist())) for part in parts], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], _lists(parts), back], [*rest, ids, decoded])
+
+    kept = picked(docs, rest)
+    fields = T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.BinaryType())
+    return in_batches(picked(docs, [*rest, text]), run, with_fields(kept, *fields))
+
+
 def decode(tokens: DataFrame, content: bytes, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``tokens`` with the bytes of its ids; a null list gives null, an id outside the vocabulary an error."""
     names = [c for c in tokens.columns if c != decoded]
@@ -235,7 +237,7 @@ def decode(tokens: DataFrame, content: bytes, ids: str = "ids", decoded: str = "
 def digests(docs: DataFrame, content: bytes, pattern: str) -> DataFrame:
     """doc_id, n_tokens, and the digests of the ids (decimals joined by commas) and of the decoded bytes."""
     rows = docs.select("doc_id", "text")
-    back = decode(encode(rows, content, pattern), content)
+    back = round_trip(rows, content, pattern)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return back.select(
         "doc_id",

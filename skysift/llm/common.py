@@ -15,10 +15,35 @@ from skysift.plans.registered import table
 from skysift.session import shared_dir
 
 __all__ = [
-    "Kept", "free_name", "in_batches", "keep", "order_key", "picked", "row_key", "same", "table", "text_rows", "with_fields",
+    "Kept", "Recent", "free_name", "in_batches", "keep", "order_key", "picked", "row_key", "same", "table", "text_rows", "with_fields",
 ]
 
 
+class Recent[K, V](dict[K, V]):
+    """Results of a function, for a Python worker that meets the same small things again and again.
+
+    When ``entries`` are held, those not asked for since the last such turn are forgotten, so twice as many stay at most
+    and frequent ones stay for good. Keys longer than ``longest`` are never held. The bounds are ones on memory: what
+    was forgotten is made again.
+    """
+
+    def __init__(self, make: Callable[[K], V], entries: int, longest: int = 64):
+        super().__init__()
+        self.make, self.entries, self.longest, self.old = make, entries, longest, {}
+
+    def __missing__(self, key: K) -> V:
+        if len(key) > self.longest:
+            return self.make(key)
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.entries:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 @dataclass(frozen=True)
 class Kept:
     """A table written to the shared folder: its rows outlive lost executors."""

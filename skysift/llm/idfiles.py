@@ -14,14 +14,16 @@ from __future__ import annotations
 
 import json
 import struct
+import unicodedata
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from tokenizers import Tokenizer
 
-from skysift.llm.common import in_batches
+from skysift.llm.common import Recent, in_batches
 from skysift.session import shared_dir
 
 MAGIC = b"SKYIDS01"
@@ -39,8 +41,10 @@ FILE_IDS, FILE_DOCS, SPLIT_IDS = 1 << 28, 1 << 19, 1 << 24
 BATCH_DOCS, BATCH_BYTES = 2048, 4 * 2**20
 BLOCK = 512
 FOOTER = struct.Struct("<QQQQBQ8s")
-#: Words remembered by a Python worker before it starts anew, and the longest of them; bounds on memory, not on input.
-REMEMBERED, LONG_WORD = 300_000, 64
+#: Words, and parts of words, held in a Python worker's memory; no bounds on input.
+REMEMBERED, PARTS = 50_000, 200_000
+#: Texts of spaces, letters and signs that are the same in every version of Unicode of the last decades: Latin, Cyrillic, Kana, Han.
+SETTLED = regex.compile("[\\t-\\r -~\u00a1-\u024f\u0400-\u0482\u048a-\u04ff\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5]*")
 
 
 class EliasFano:
@@ -321,49 +325,75 @@ def read_vocabulary(spark: SparkSession, path: str) -> str:
     return bytes(spark.read.format("binaryFile").load(local).select("content").first()[0]).decode()
 
 
-class _Words(dict[bytes, bytes]):
-    """The ids of words as 32-bit numbers, remembered unless a word is long."""
+def _splitter(content: str) -> Callable[[str], list[str]] | None:
+    """The pattern by which a tokenizer parts words after composing and lowering them; None if it has other steps."""
+    form = json.loads(content)
+    normal = form.get("normalizer") or {}
+    steps, split = normal.get("normalizers", [normal]), (form.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    spaces = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    if steps != [{"type": "NFC"}, spaces, {"type": "Lowercase"}] or [s["type"] for s in split] != ["Split", "ByteLevel"]:
+        return None
+    words, level = split
+    if (words["behavior"], words["invert"], level["add_prefix_space"], level["use_regex"]) != ("Removed", True, False, False):
+        return None
+    return regex.compile(words["pattern"]["Regex"]).findall
+
+
+class Words:
+    """Encodes words by a tokenizer of the library and remembers them, as 32-bit numbers.
+
+    The library's model encodes what its splitter makes of a word; these parts are remembered too, as the same ones
+    occur in many words. Texts of ``SETTLED`` characters are composed, lowered and split here by the tokenizer's
+    pattern, others word by word by the library's steps, which take ten times as long.
+    """
 
     def __init__(self, content: str):
-        super().__init__()
-        self.tokenizer = Tokenizer.from_str(content)
-        self.tokenizer.encode_special_tokens = True
-
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of words not seen so far; those of long ones are not remembered."""
-        if not words:
-            return {}
-        listed = list(words)
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in listed], add_special_tokens=False)
-        ids = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(listed, found)}
-        if len(self) + len(ids) > REMEMBERED:
-            self.clear()
-        self.update((w, i) for w, i in ids.items() if len(w) <= LONG_WORD)
-        return ids
+        self.tokenizer, self.split = Tokenizer.from_str(content), _splitter(content)
+        self.parts: Recent[str, bytes] = Recent(self._part, PARTS)
+        self.known: Recent[bytes, bytes] = Recent(self._word, REMEMBERED)
+
+    def _part(self, part: str) -> bytes:
+        tokenize = self.tokenizer.model.tokenize
+        bytewise = [part] if part.isascii() else [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(part)]
+        ids = [t.id for p in bytewise for t in tokenize(p)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if self.split and SETTLED.fullmatch(text):
+            return self._settled(text)
+        normal = self.tokenizer.normalizer.normalize_str(text)
+        ids = [t.id for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal) for t in self.tokenizer.model.tokenize(p)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _settled(self, text: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, self.split(unicodedata.normalize("NFC", text).lower())))
+
+    def text_ids(self, text: str | None) -> bytes:
+        """The ids of a text, as little-endian 32-bit numbers."""
+        if self.split and SETTLED.fullmatch(text or ""):
+            return self._settled(text or "")
+        return b"".join(map(self.known.__getitem__, (text or "").encode().split()))
 
 
 @lru_cache(maxsize=2)
-def _words(content: str) -> _Words:
-    return _Words(content)
+def _words(content: str) -> Words:
+    return Words(content)
 
 
 def encode(docs: DataFrame, content: str, end: int | None = None) -> DataFrame:
     """doc_id and ids of the whole text of each row in the order of the rows, with the id ``end`` behind them if given.
 
     ``content`` is the JSON of a tokenizer that drops white space and never joins what it stands between, so texts are
-    split at ASCII white space and each distinct word is encoded once by the tokenizers library. Special tokens are
-    ordinary text. A null or empty text has no ids but the end.
+    split at ASCII white space and each distinct word is encoded once by the tokenizers library. Strings of special
+    tokens are ordinary text. A null or empty text has no ids but the end.
     """
     tail = b"" if end is None else np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(content)
         for batch in batches:
-            split = [(t or "").encode().split() for t in batch.column(1).to_pylist()]
-            used = set(chain.from_iterable(split))
-            known = {w: words[w] for w in used if w in words}
-            known |= words.learn(used.difference(known))
-            rows = [b"".join(map(known.__getitem__, part)) + tail for part in split]
+            rows = [words.text_ids(t) + tail for t in batch.column(1).to_pylist()]
             flat = np.frombuffer(b"".join(rows), "<u4").astype(np.int32)
             ends = np.cumsum([0, *(len(r) // 4 for r in rows)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))

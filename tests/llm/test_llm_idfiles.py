@@ -62,10 +62,23 @@ def test_words_encode_as_whole_texts(spark, content, monkeypatch):
     rows = [*brute.odd_rows(), *hard_texts()]
     got = idfiles.encode(brute.documents(spark, rows), content, end=2).collect()
     assert sorted(map(tuple, got), key=brute.key) == sorted(plain(rows), key=brute.key)
-    words = idfiles._Words(content)
     monkeypatch.setattr(idfiles, "REMEMBERED", 3)
-    for part in ({b"one", b"two"}, {b"three", b"four"}, {b"x" * 70}):
-        assert set(words.learn(part)) == part and len(words) <= 3
+    monkeypatch.setattr(idfiles, "PARTS", 2)
+    words = idfiles.Words(content)
+    for (_, text), (_, ids) in zip(rows, plain(rows)):
+        assert np.frombuffer(words.text_ids(text), "<u4").tolist() == ids[:-1]
+    assert len(words.known) <= 3 and len(words.known.old) <= 3
+    assert idfiles._splitter(content) and idfiles._splitter(content.replace('"Lowercase"', '"NFD"')) is None
+
+
+def test_settled_characters_by_both_ways(content):
+    """Every settled character alone, behind a letter and before a sign; pairs of ASCII signs; case by case."""
+    words, signs = idfiles.Words(content), [chr(c) for c in range(0x21, 0x7F)]
+    settled = [chr(c) for c in range(0x21, 0x9FA6) if c < 0x4E00 or c % 50 == 0]
+    settled = [c for c in settled if idfiles.SETTLED.fullmatch(c)]
+    some = [*settled, *["q" + c for c in settled], *[c + "-" for c in settled], *[a + b for a in signs for b in signs]]
+    some += ["don't", "I'LL'S'", "a'''ve9_9", "ÀÉ'TÑ", "Straße", "İstanbul", "Ǆungla", "東京9カ国", "Ёлка_1", "½x", "ª1"]
+    assert [words._word(w.encode()) for w in some] == [np.array(i[:-1], "<u4").tobytes() for _, i in plain([(0, w) for w in some])]
 
 
 @pytest.mark.parametrize("options", [{}, {"file_ids": 500}])
