@@ -4,6 +4,10 @@ Every word of a piece starts one window of ``longest`` words, its lead columns,
 these windows are counted; Spark's ROLLUP over the lead columns adds up all shorter phrases, which are prefixes of
 windows, and all words. No shorter phrase is ever listed by itself.
 
+Each task adds up equal windows of its own texts before they are dealt, so a pair of words that stands everywhere
+sends a few rows a task. They leave the task in order of their words, which shuffles in half the bytes, and are dealt
+by all words but the last: the counts of windows and the sums over their last words then need no further exchange.
+
 A phrase is as strong as its weakest cut in two: a * a / (l * r) with a, l, r the counts of the phrase, of what
 stands before the cut and of what stands after it. A phrase goes if a longer candidate that holds it is at least
 ``held`` percent as frequent. All arithmetic is done on whole numbers, beyond 64 bits where it may get there.
@@ -12,33 +16,92 @@ stands before the cut and of what stands after it. A phrase goes if a longer can
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skysift.llm.common import keep
+from skysift.llm.common import in_batches, keep
 
 #: Words of a phrase at most, its occurrences at least, percent of a phrase's count that a longer one needs to replace it.
 LONGEST, LEAST, HELD = 3, 10, 50
 TOP = 2000
 #: A score of 1 is this many.
 SCALE = 1_000_000
-PIECE_ENDS, WORD_GAPS = r"[.,;:!?\x0A-\x0D]+", r"[\x20\x09]+"
+#: Ends of pieces; the first one stands for all of them. No word holds one.
+ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
+END = ENDS[:1]
+LOWERED = bytes.maketrans(string.ascii_uppercase.encode() + ENDS, string.ascii_lowercase.encode() + END * len(ENDS))
 #: Stands for the words of a window beyond the end of its piece; no word is empty.
 PAD = ""
+#: Windows that a task adds up at once, and rows handed over at once; bounds on memory, not on input.
+WINDOWS, ROWS = 1 << 21, 1 << 15
+
+
+class _Numbers(dict[bytes, int]):
+    """Numbers of words in the order of their first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+class _Tally:
+    """Windows of some texts, by numbers that hold until the tally is emptied."""
+
+    def __init__(self, longest: int):
+        self.longest = longest
+        self.empty()
+
+    def empty(self) -> None:
+        self.langs, self.words = _Numbers(), _Numbers({END: 0})
+        self.parts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, lang: str, text: str) -> None:
+        listed = text.encode().translate(LOWERED).replace(END, b" . ").split()
+        ids = np.fromiter(map(self.words.__getitem__, listed), np.int64, len(listed))
+        padded = np.concatenate([ids, np.zeros(self.longest - 1, np.int64)])
+        columns = [np.full(len(ids), self.langs[lang.encode()]), ids]
+        for k in range(1, self.longest):
+            # A lead beyond the end of the piece is padding, and so are all later ones.
+            columns.append(np.where(columns[-1] == 0, 0, padded[k : k + len(ids)]))
+        self.parts.append(np.stack(columns)[:, ids != 0])
+        self.size += len(ids)
+
+    def sums(self, names: Sequence[str]) -> Iterator[pa.RecordBatch]:
+        """Different windows and how often they occurred, sorted by the numbers of their words."""
+        columns = np.concatenate(self.parts, axis=1) if self.parts else np.empty((self.longest + 1, 0), np.int64)
+        # Prefixes are numbered afresh word by word, so a number and the next word fit into 64 bits.
+        prefix = columns[0]
+        for column in columns[1:]:
+            _, first, prefix, times = np.unique(prefix * len(self.words) + column, return_index=True, return_inverse=True, return_counts=True)
+        langs, words = (pa.array(list(known), pa.binary()).cast(pa.string()) for known in (self.langs, [PAD.encode(), *list(self.words)[1:]]))
+        for begin in range(0, len(columns[0]) and len(first), ROWS):
+            some = columns[:, first[begin : begin + ROWS]]
+            listed = [source.take(pa.array(ids)) for source, ids in zip([langs, *[words] * self.longest], some)]
+            yield pa.RecordBatch.from_arrays([*listed, pa.array(times[begin : begin + ROWS])], names)
+        self.empty()
 
 
 def windows(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """lang and the words w1, w2, ... of the window that starts at each word, padded with empty words."""
-    lowered = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    pieces = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(lowered, PIECE_ENDS)).alias("piece"))
-    words = pieces.select("lang", F.split(F.btrim("piece", F.lit(" \t")), WORD_GAPS).alias("words"))
-    # An empty piece splits into one empty word. The table of words comes first, so that the leads do not split again.
-    words = words.where(F.get("words", F.lit(0)) != PAD)
-    leads = [F.col("words"), *[F.slice("words", k + 1, F.greatest(F.size("words") - k, F.lit(0))) for k in range(1, longest)]]
-    zipped = words.select("lang", F.inline(F.arrays_zip(*leads)).alias(*[f"w{k + 1}" for k in range(longest)]))
-    return zipped.select("lang", "w1", *[F.coalesce(f"w{k + 1}", F.lit(PAD)).alias(f"w{k + 1}") for k in range(1, longest)])
+    """lang, the words w1, w2, ... of windows, padded with empty words, and how often (n) some task met them."""
+    names = ["lang", *[f"w{k + 1}" for k in range(longest)], "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally(longest)
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                tally.add(lang, text)
+                if tally.size >= WINDOWS:
+                    yield from tally.sums(names)
+        yield from tally.sums(names)
+
+    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    return in_batches(rows, run, ", ".join(f"{n} string" for n in names[:-1]) + ", n long")
 
 
 def counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
@@ -47,13 +110,17 @@ def counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataF
     Phrases of fewer than ``least`` occurrences are left out; the row of size 0 counts all words of a language.
     """
     names = [f"w{k + 1}" for k in range(longest)]
-    windowed = windows(docs, longest).groupBy("lang", *names).agg(F.count("*").alias("n"))
-    summed = windowed.rollup("lang", *names).agg(F.sum("n").alias("n"), F.grouping_id().alias("rolled"))
+    shorter = ["lang", *names[:-1]]
+    windowed = windows(docs, longest).repartition(*shorter).groupBy(*shorter, names[-1]).agg(F.sum("n").alias("n"))
+    full = windowed.where((F.col(names[-1]) != PAD) & (F.col("n") >= least))
+    full = full.select("lang", F.lit(longest).alias("size"), F.concat_ws(" ", *names).alias("phrase"), "n")
+    summed = windowed.groupBy(*shorter).agg(F.sum("n").alias("n"))
+    summed = summed.rollup(*shorter).agg(F.sum("n").alias("n"), F.grouping_id().alias("rolled"))
     # The columns summed over are the last ones; their bits are set.
-    size = reduce(lambda rest, k: F.when(F.col("rolled") == 2**k - 1, longest - k).otherwise(rest), range(longest + 1), F.lit(-1))
+    size = reduce(lambda rest, k: F.when(F.col("rolled") == 2**k - 1, longest - 1 - k).otherwise(rest), range(longest), F.lit(-1))
     sized = summed.withColumn("size", size).where((F.col("size") == 0) | ((F.col("size") > 0) & (F.col("n") >= least)))
-    whole = reduce(lambda a, b: a & b, [(F.col("size") < k) | (F.col(f"w{k}") != PAD) for k in range(1, longest + 1)])
-    return sized.where(whole).select("lang", "size", F.concat_ws(" ", *names).alias("phrase"), "n")
+    whole = reduce(lambda a, b: a & b, [(F.col("size") < k) | (F.col(f"w{k}") != PAD) for k in range(1, longest)])
+    return sized.where(whole).select("lang", "size", F.concat_ws(" ", *names[:-1]).alias("phrase"), "n").union(full)
 
 
 def _wide(count: str) -> Column:

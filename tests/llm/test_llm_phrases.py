@@ -55,7 +55,7 @@ def some_rows(seed, n, words="ab cd éf g'h 日本 Ünd"):
 
 @pytest.mark.parametrize("seed,longest,least,held,top", [(1, 3, 10, 50, 2000), (2, 4, 3, 80, 15), (3, 2, 5, 50, 7)])
 def test_collocations_against_plain_counts(spark, seed, longest, least, held, top):
-    rows = some_rows(seed, 120)
+    rows = some_rows(seed, 80)
     got = phrases.collocations(table(spark, rows), longest, least, held, top)
     assert sorted(map(tuple, got.collect())) == plain(rows, longest, least, held, top)
 
@@ -82,9 +82,23 @@ def test_query_against_sql_and_plain(spark, folder):
         assert sorted(db.sql(queries.SQL["op13_phrases"]).fetchall()) == got
 
 
-def test_words_are_counted_through_one_rollup(spark, folder):
-    """One exchange for the windows, one for the sums; windows need none of their own."""
+def test_windows_are_dealt_once_and_rolled_up_once(spark, folder):
+    """Windows meet once, by all words but the last; the sums need one exchange more."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    plan = phrases.counts(docs)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 2 and plan.count("Expand") == 1 and "Window" not in plan and "Python" not in plan
-    assert phrases.windows(docs).where(F.col("w1") == "").count() == 0
+    plan = phrases.counts(docs).where("size < 3")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Expand") == 1 and "Window" not in plan
+    assert phrases.windows(docs).where((F.col("w1") == "") | ((F.col("w2") == "") & (F.col("w3") != ""))).count() == 0
+
+
+def test_windows_added_up_in_small_parts(spark, monkeypatch):
+    """A task that empties its tally often gives the same counts."""
+    rows, tally = some_rows(9, 60), phrases._Tally(3)
+    found = Counter()
+    for k, (lang, text) in enumerate(rows):
+        tally.add(lang or "und", text or "")
+        if k % 7 == 0 or k + 1 == len(rows):
+            for batch in tally.sums(["lang", "w1", "w2", "w3", "n"]):
+                for r in batch.to_pylist():
+                    found[r["lang"], r["w1"], r["w2"], r["w3"]] += r["n"]
+    got = phrases.windows(table(spark, rows)).groupBy("lang", "w1", "w2", "w3").agg(F.sum("n")).collect()
+    assert {tuple(r)[:4]: r[4] for r in got} == found
