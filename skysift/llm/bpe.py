@@ -57,9 +57,11 @@ class Encoder:
                 self.parts[rank] = steps
         self.plain = not self._ordered()
         self.automaton = ahocorasick.Automaton()
-        for rank in self.parts:
-            self.automaton.add_word(self.token[rank].decode("latin-1"), rank)
+        self.named = {self.token[rank].decode("latin-1"): rank for rank in self.parts}
+        for name, rank in self.named.items():
+            self.automaton.add_word(name, rank)
         self.automaton.make_automaton()
+        self.reach = max(map(len, self.named), default=1)
         self.shorter = {rank: self._longest_within(self.token[rank][:-1]) for rank in self.parts}
         self.fits: Recent[tuple[int, int], bool] = Recent(self._may_follow, PAIRS)
         self.known: Recent[str, bytes] = Recent(self._ids, REMEMBERED)
@@ -125,14 +127,10 @@ class Encoder:
             return (whole,)
         if self.plain:
             return tuple(self.rank[p] for p in self._merges(piece)[0])
-        n = len(piece)
-        longest: list[int | None] = [None] * n
-        for end, rank in self.automaton.iter(piece.decode("latin-1")):
-            start = end + 1 - len(self.token[rank])
-            longest[start] = rank  # later ends are longer
+        n, name = len(piece), piece.decode("latin-1")
         dead = bytearray(n + 1)
         path: list[int] = []
-        at, token, fits = 0, longest[0], self.fits
+        at, token, fits = 0, self._longest_at(name, 0), self.fits
         while at < n:
             while token is not None:
                 end = at + len(self.token[token])
@@ -147,9 +145,17 @@ class Encoder:
             else:
                 path.append(token)
                 at = end
-                token = longest[at] if at < n else None
+                token = self._longest_at(name, at) if at < n else None
         return tuple(path)
 
+    def _longest_at(self, name: str, at: int) -> int:
+        """The longest token that starts at a place: the automaton's longest path, back to where a token ends."""
+        part = name[at : at + self.reach]
+        size = self.automaton.longest_prefix(part)
+        while (rank := self.named.get(part[:size])) is None:
+            size -= 1
+        return rank
+
     def encode(self, piece: str) -> tuple[int, ...]:
         """The ids of a piece of text."""
         return self._piece(piece.encode("utf-8"))

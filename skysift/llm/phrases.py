@@ -16,11 +16,12 @@ stands before the cut and of what stands after it. A phrase goes if a longer can
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +38,7 @@ END = ENDS[:1]
 LOWERED = bytes.maketrans(string.ascii_uppercase.encode() + ENDS, string.ascii_lowercase.encode() + END * len(ENDS))
 #: Stands for the words of a window beyond the end of its piece; no word is empty.
 PAD = ""
+WINDOW = ["lang", "head", "last", "n"]
 #: Windows that a task adds up at once, and rows handed over at once; bounds on memory, not on input.
 WINDOWS, ROWS = 1 << 21, 1 << 15
 
@@ -72,7 +74,7 @@ class _Tally:
         self.parts.append(np.stack(columns)[:, ids != 0])
         self.size += len(ids)
 
-    def sums(self, names: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    def sums(self) -> Iterator[pa.RecordBatch]:
         """Different windows and how often they occurred, sorted by the numbers of their words."""
         columns = np.concatenate(self.parts, axis=1) if self.parts else np.empty((self.longest + 1, 0), np.int64)
         # Prefixes are numbered afresh word by word, so a number and the next word fit into 64 bits.
@@ -82,14 +84,17 @@ class _Tally:
         langs, words = (pa.array(list(known), pa.binary()).cast(pa.string()) for known in (self.langs, [PAD.encode(), *list(self.words)[1:]]))
         for begin in range(0, len(columns[0]) and len(first), ROWS):
             some = columns[:, first[begin : begin + ROWS]]
-            listed = [source.take(pa.array(ids)) for source, ids in zip([langs, *[words] * self.longest], some)]
-            yield pa.RecordBatch.from_arrays([*listed, pa.array(times[begin : begin + ROWS])], names)
+            lang, *listed = (source.take(pa.array(ids)) for source, ids in zip([langs, *[words] * self.longest], some))
+            head = pc.binary_join_element_wise(*listed[:-1], " ")
+            yield pa.RecordBatch.from_arrays([lang, head, listed[-1], pa.array(times[begin : begin + ROWS])], WINDOW)
         self.empty()
 
 
 def windows(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """lang, the words w1, w2, ... of windows, padded with empty words, and how often (n) some task met them."""
-    names = ["lang", *[f"w{k + 1}" for k in range(longest)], "n"]
+    """Windows, and how often (n) some task met them: lang, head (all words but the last, by single spaces) and last word.
+
+    Words beyond the end of a piece are empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = _Tally(longest)
@@ -97,30 +102,39 @@ def windows(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tally.add(lang, text)
                 if tally.size >= WINDOWS:
-                    yield from tally.sums(names)
-        yield from tally.sums(names)
+                    yield from tally.sums()
+        yield from tally.sums()
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return in_batches(rows, run, ", ".join(f"{n} string" for n in names[:-1]) + ", n long")
+    return in_batches(rows, run, "lang string, head string, last string, n long")
 
 
 def counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
-    """lang, size, phrase (words joined by spaces) and n of every phrase of ``longest`` words at most.
+    """lang, size, phrase (words joined by spaces) and n of every phrase of ``longest`` words (2 or more) at most.
 
     Phrases of fewer than ``least`` occurrences are left out; the row of size 0 counts all words of a language.
     """
-    names = [f"w{k + 1}" for k in range(longest)]
-    shorter = ["lang", *names[:-1]]
-    windowed = windows(docs, longest).repartition(*shorter).groupBy(*shorter, names[-1]).agg(F.sum("n").alias("n"))
-    full = windowed.where((F.col(names[-1]) != PAD) & (F.col("n") >= least))
-    full = full.select("lang", F.lit(longest).alias("size"), F.concat_ws(" ", *names).alias("phrase"), "n")
-    summed = windowed.groupBy(*shorter).agg(F.sum("n").alias("n"))
-    summed = summed.rollup(*shorter).agg(F.sum("n").alias("n"), F.grouping_id().alias("rolled"))
+    windowed = windows(docs, longest).repartition("lang", "head").groupBy("lang", "head", "last").agg(F.sum("n").alias("n"))
+
+    def often(condition: Column) -> Column:
+        """Looks at the sum first, so that it stays above the exchange, which all uses of the windows then share."""
+        return F.when(F.col("n") >= least, condition).otherwise(False)
+
+    full = windowed.where(often(F.col("last") != PAD))
+    full = full.select("lang", F.lit(longest).alias("size"), F.concat_ws(" ", "head", "last").alias("phrase"), "n")
+    # Windows of one head lie in one task, and so do the sums over their last words.
+    heads = windowed.groupBy("lang", "head").agg(F.sum("n").alias("n"))
+    second = heads.where(often(~F.col("head").rlike("^ | $|  ")))
+    second = second.select("lang", F.lit(longest - 1).alias("size"), F.col("head").alias("phrase"), "n")
+    names = [f"w{k + 1}" for k in range(longest - 2)]
+    leads = heads.select("lang", "n", *[F.get(F.split("head", " "), F.lit(k)).alias(c) for k, c in enumerate(names)])
+    summed = leads.rollup("lang", *names).agg(F.sum("n").alias("n"), F.grouping_id().alias("rolled"))
     # The columns summed over are the last ones; their bits are set.
-    size = reduce(lambda rest, k: F.when(F.col("rolled") == 2**k - 1, longest - 1 - k).otherwise(rest), range(longest), F.lit(-1))
+    size = reduce(lambda rest, k: F.when(F.col("rolled") == 2**k - 1, len(names) - k).otherwise(rest), range(len(names) + 1), F.lit(-1))
     sized = summed.withColumn("size", size).where((F.col("size") == 0) | ((F.col("size") > 0) & (F.col("n") >= least)))
-    whole = reduce(lambda a, b: a & b, [(F.col("size") < k) | (F.col(f"w{k}") != PAD) for k in range(1, longest)])
-    return sized.where(whole).select("lang", "size", F.concat_ws(" ", *names[:-1]).alias("phrase"), "n").union(full)
+    whole = reduce(lambda a, b: a & b, [(F.col("size") < k) | (F.col(c) != PAD) for k, c in enumerate(names, 1)], F.lit(True))
+    phrase = F.concat_ws(" ", *names) if names else F.lit("")
+    return sized.where(whole).select("lang", "size", phrase.alias("phrase"), "n").union(second).union(full)
 
 
 def _wide(count: str) -> Column:
