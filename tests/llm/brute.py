@@ -2,7 +2,9 @@
 
 import hashlib
 import re
+import zlib
 
+import numpy as np
 import xxhash
 from skysift.llm.common import text_rows
 
@@ -74,8 +76,26 @@ def substrings(rows, window):
     return out
 
 
-def lines(rows, max_edits, per_edit):
-    """(doc_id, text, n_removed) per row."""
+def within(a, b, most):
+    """Whether two texts are within so many edits; the table is filled as far as ``most`` edits reach."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    while a and b and a[0] == b[0]:
+        a, b = a[1:], b[1:]
+    before = {j: j for j in range(min(most, len(b)) + 1)}
+    for i, x in enumerate(a, 1):
+        now = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            options = [before.get(j, most) + 1, now.get(j - 1, most) + 1, before.get(j - 1, most + 1) + (j == 0 or x != b[j - 1])]
+            now[j] = min(options) if j else i
+        before = now
+        if min(before.values()) > most:
+            return False
+    return before.get(len(b), most + 1) <= most
+
+
+def lines(rows, max_edits, per_edit, grows=False):
+    """(doc_id, text, n_removed) per row; with ``grows`` there is no upper limit of edits."""
     first = {}
     for d, t in rows:
         for i, line in enumerate((t or "").split("\n")):
@@ -84,12 +104,18 @@ def lines(rows, max_edits, per_edit):
                 first[line] = min(first.get(line, place), place)
     near = set()
     texts = sorted(first, key=len)
+    # An edit touches three runs of three characters, so texts far apart in the counts of these cannot be near.
+    grams = np.zeros((len(texts), 512), np.int16)
+    for i, t in enumerate(texts):
+        np.add.at(grams[i], [zlib.crc32(t[k : k + 3].encode()) % 512 for k in range(len(t) - 2)], 1)
     for i, a in enumerate(texts):
-        for b in texts[i + 1 :]:
-            if len(b) - len(a) > max_edits:
+        most = len(a) // per_edit if grows else max_edits
+        close = np.flatnonzero(np.abs(grams[i + 1 :] - grams[i]).sum(axis=1) <= 6 * most)
+        for b in (texts[i + 1 + j] for j in close):
+            allowed = len(a) // per_edit if grows else min(max_edits, len(a) // per_edit)
+            if len(b) - len(a) > allowed:
                 break
-            allowed = min(max_edits, len(a) // per_edit)
-            if allowed and edits(a, b) <= allowed:
+            if allowed and within(a, b, allowed):
                 near.add(max((a, b), key=first.get))
     out = []
     for d, t in rows:

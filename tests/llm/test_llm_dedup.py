@@ -7,7 +7,7 @@ import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from skysift.llm import lines, simhash, substrings
+from skysift.llm import lines, queries, simhash, substrings
 from skysift.llm.common import keep
 from skysift.llm.components import components
 
@@ -163,6 +163,31 @@ def test_one_changed_word_in_long_lines(spark):
     assert {r["doc_id"] for r in got.collect()} == want and len(want) > 100
 
 
+def test_within_counts_edits():
+    draw = random.Random(4)
+    for _ in range(2000):
+        a, b = ("".join(draw.choice("abé") for _ in range(draw.randint(0, 9))) for _ in range(2))
+        k = draw.randint(0, 6)
+        assert brute.within(a, b, k) == (brute.edits(a, b) <= k)
+
+
+def test_registered_line_dedup_against_all_pairs(spark, folder):
+    """What the query runs, on every line of the smallest table."""
+    rows = brute.table_rows(spark.read.parquet(f"{folder}/documents.parquet"))
+    want = [(d, t, n) for d, t, n in brute.lines(rows, 2, 10, grows=True)]
+    got = queries.QUERIES["op4_line_dedup"](spark, folder).select("doc_id", "text", "n_removed").collect()
+    assert sorted(map(tuple, got), key=brute.key) == sorted(want, key=brute.key)
+
+
+def test_columns_of_a_line_are_made_once(spark):
+    """No column of a line is computed above the explode of its runs."""
+    docs = spark.createDataFrame([(1, "a line")], "doc_id long, text string")
+    made = lines._with_runs(lines._lines(docs), key2=lines._second_key(), c=lines._letters(F.col("line"), F.col("n"), "et"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    top = plan.split("Generate")[0]
+    assert "replace" not in top and "xxhash64" not in top
+
+
 def test_lines_without_sending_tables(spark, monkeypatch):
     """Both ways to fetch lines give the same."""
     rows = [*brute.odd_rows(), *[(100 + i, f"a line that differs by its number {i}\nand one that repeats\nodd {i * 7919}") for i in range(30)]]
