@@ -6,6 +6,7 @@ table, however many columns it has. NaN counts as missing throughout.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -167,25 +168,29 @@ def outliers_iqr(
     return rows.join(known, "column").select("column", "lower", "upper", "outliers", "outlier_pct")
 
 
-def _digest(df: DataFrame) -> Column:
-    """128 bits of a row, its values and their nulls."""
-    parts = []
-    for f in df.schema.fields:
-        column = _c(f.name)
-        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            column = F.to_json(F.array_sort(F.map_entries(column)) if isinstance(f.dataType, T.MapType) else column)
-        text = column.cast("string")
-        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
-    return F.md5(F.concat_ws("|", *parts)).alias("digest")
+def _marks(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a row by its typed values. A null has no hash of its own, so the places of nulls count as a value.
+
+    Maps count by their entries in order of keys.
+    """
+    values = [F.array_sort(F.map_entries(_c(f.name))) if isinstance(f.dataType, T.MapType) else _c(f.name) for f in df.schema.fields]
+    nulls = []
+    for begin in range(0, len(values), 63):
+        bits = [F.when(v.isNull(), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for i, v in enumerate(values[begin : begin + 63])]
+        nulls.append(functools.reduce(Column.__add__, bits))
+    return [F.xxhash64(F.lit(seed), *nulls, *values).alias(name) for seed, name in enumerate(_MARKS)]
+
+
+_MARKS = ("__mark_one", "__mark_two")
 
 
 def duplicates_summary(df: DataFrame) -> DataFrame:
     """One row: total, duplicates (rows beyond the first of each kind), rows_in_dup_groups.
 
-    Rows are grouped by a digest of 128 bits, so a wide row is not shuffled.
+    Rows are grouped by two 64-bit hashes, two numbers of fixed width, so a wide row is neither shuffled nor made text.
     """
     n = F.col("multiplicity")
-    return df.select(_digest(df)).groupBy("digest").agg(F.count("*").alias("multiplicity")).agg(
+    return df.select(*_marks(df)).groupBy(*_MARKS).agg(F.count("*").alias("multiplicity")).agg(
         F.coalesce(F.sum(n), F.lit(0)).alias("total"),
         F.coalesce(F.sum(n - 1), F.lit(0)).alias("duplicates"),
         F.coalesce(F.sum(F.when(n > 1, n)), F.lit(0)).alias("rows_in_dup_groups"),
@@ -195,14 +200,14 @@ def duplicates_summary(df: DataFrame) -> DataFrame:
 def duplicated_rows(df: DataFrame, limit: int | None = None, order_by: Sequence[str] = ()) -> DataFrame:
     """Rows that occur more than once, with their ``multiplicity``; a limited view needs an order.
 
-    Only rows whose digest occurs more than once are compared value by value.
+    Only rows whose hashes occur more than once are compared value by value.
     """
     if limit is not None and not order_by:
         raise ValueError("a limited view of the duplicated rows needs an order")
-    marked = df.select("*", _digest(df))
-    again = marked.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    marked = df.select("*", *_marks(df))
+    again = df.select(*_marks(df)).groupBy(*_MARKS).agg(F.count("*").alias("n")).where("n > 1").select(*_MARKS)
     maps = [f.name for f in df.schema.fields if isinstance(f.dataType, T.MapType)]
-    rows = marked.join(again, "digest", "left_semi").withColumns({m: F.array_sort(F.map_entries(_c(m))) for m in maps})
+    rows = marked.join(again, list(_MARKS), "left_semi").withColumns({m: F.array_sort(F.map_entries(_c(m))) for m in maps})
     rows = rows.groupBy(*[_c(n) for n in df.columns]).agg(F.count("*").alias("multiplicity")).filter("multiplicity > 1")
     rows = rows.withColumns({m: F.map_from_entries(_c(m)) for m in maps})
     return rows if limit is None else rows.orderBy(*[_c(c) for c in order_by]).limit(limit)

@@ -3,8 +3,9 @@
 The wanted ranks are enclosed by open intervals. A sketch proposes cut values around each
 rank, one scan counts the values below and at every cut, and each rank is then either at a
 cut or in the gap between two. The counts are exact, so a poor sketch costs another scan but
-never a wrong value. The columns are turned into (column, value) cells and grouped, so every
-step is one scan, however many columns there are, and all sizes take the same way.
+never a wrong value. Every step is one scan, however many columns there are, and all sizes take the
+same way: sketches are plain aggregates of the columns, and values are placed between the cuts
+by binary search in batches of columns, so rows are never turned into cells.
 Repeated values end up at a cut and are found by their count, so a value held by a third
 of the rows does no harm. A gap with few values is sorted inside one aggregate buffer.
 """
@@ -13,19 +14,22 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_right
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
-from functools import reduce
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass, field, replace
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
 
 # An interval with no more values than this is sorted at once.
 FINAL = 5_000
-SKETCH_ACCURACY = 10_000
+# Size of a sketch, how far (as a share) its proposals are asked left and right of a rank, and sketches of one aggregate.
+SKETCH_SIZE, MARGIN, SKETCHES = 4096, 0.004, 200
 # Fractions asked of the sketch are rounded to this many digits, so that columns of nearly equal size share them.
 FRACTION_DIGITS = 7
 
@@ -62,7 +66,7 @@ class _Gap:
 
     def cut_fractions(self) -> list[float]:
         """Fractions of the gap slightly left and right of every rank in it."""
-        margin = 4.0 / SKETCH_ACCURACY
+        margin = MARGIN
         spots = [(r - self.below) / max(self.size - 1, 1) for r in self.ranks]
         return sorted({round(min(1.0, max(0.0, s + d)), FRACTION_DIGITS) for s in spots for d in (-margin, margin)})
 
@@ -88,41 +92,77 @@ class _Gap:
         return found, list(gaps.values())
 
 
-def _cells(df: DataFrame, values: Sequence[Column]) -> DataFrame:
-    """(gap, value) of every row and gap, without nulls."""
-    cells = [F.struct(F.lit(i).alias("gap"), v.alias("value")) for i, v in enumerate(values)]
-    return df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.gap", "cell.value").filter("value is not null")
+def _columns(df: DataFrame, gaps: Sequence[_Gap]) -> tuple[DataFrame, list[int]]:
+    """The expressions of some gaps as columns of doubles, each once, and the column of each gap."""
+    places: dict[str, int] = {}
+    exprs = []
+    for g in gaps:
+        if g.name not in places:
+            places[g.name] = len(exprs)
+            exprs.append(g.expr.cast("double").alias(f"v{len(exprs)}"))
+    return df.select(*exprs), [places[g.name] for g in gaps]
+
+
+def _usable(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The values of every column, without nulls."""
+    return [c.drop_null().to_numpy(zero_copy_only=False) for c in batch.columns]
 
 
 def _sketch(df: DataFrame, gaps: Sequence[_Gap]) -> list[list[Number]]:
-    """Cut values of each gap, ascending."""
-    asked = [g.cut_fractions() for g in gaps]
-    every = sorted({f for fractions in asked for f in fractions})
-    sketch = F.percentile_approx("value", every, SKETCH_ACCURACY).alias("cuts")
-    found = {r["gap"]: dict(zip(every, r["cuts"])) for r in _cells(df, [g.inside() for g in gaps]).groupBy("gap").agg(sketch).collect()}
-    return [sorted({found[i][f] for f in asked[i]}) for i in range(len(gaps))]
+    """Cut values of each gap, ascending: one sketch a gap, in one plain aggregate."""
+    cuts = []
+    for begin in range(0, len(gaps), SKETCHES):
+        some = gaps[begin : begin + SKETCHES]
+        data, places = _columns(df, some)
+        inner = [replace(g, expr=F.col(f"v{i}")) for g, i in zip(some, places)]
+        sketches = data.agg(*[F.kll_sketch_agg_double(g.inside(), F.lit(SKETCH_SIZE)).alias(f"s{i}") for i, g in enumerate(inner)])
+        asked = [F.array(*map(F.lit, g.cut_fractions())) for g in some]
+        row = sketches.select(*[F.kll_sketch_get_quantile_double(f"s{i}", q) for i, q in enumerate(asked)]).first()
+        cuts += [sorted(set(values)) for values in row]
+    return cuts
 
 
 def _count(df: DataFrame, gaps: Sequence[_Gap], cuts: Sequence[Sequence[Number]]) -> list[tuple[list[int], list[int]]]:
-    """Values below, and not above, each cut."""
-    places = []
-    for g, values in zip(gaps, cuts):
-        # 2k below cut k and above the one before, 2k + 1 at cut k.
-        steps = [(g.expr >= F.lit(v)).cast("int") + (g.expr > F.lit(v)).cast("int") for v in values]
-        places.append(reduce(Column.__add__, steps))
-    seen: list[dict[int, int]] = [{} for _ in gaps]
-    for gap, place, n in _cells(df, places).groupBy("gap", "value").agg(F.count("*")).collect():
+    """Values below, and not above, each cut: a binary search of each value, counted batch by batch in each task."""
+    data, places = _columns(df, gaps)
+    known = [np.array(values, float) for values in cuts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros(2 * len(values) + 1, np.int64) for values in known]
+        for batch in batches:
+            columns = _usable(batch)
+            for total, values, place in zip(sums, known, places):
+                # 2k below cut k and above the one before, 2k + 1 at cut k.
+                spots = np.searchsorted(values, columns[place], "left") + np.searchsorted(values, columns[place], "right")
+                total += np.bincount(spots, minlength=len(total))
+        for i, total in enumerate(sums):
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i)), pa.array(at), pa.array(total[at])], ["gap", "place", "n"])
+
+    counted = data.mapInArrow(run, "gap long, place long, n long").groupBy("gap", "place").agg(F.sum("n").alias("n"))
+    seen = [np.zeros(2 * len(values) + 1, np.int64) for values in cuts]
+    for gap, place, n in counted.collect():
         seen[gap][place] = n
-    upto = lambda i, place: sum(n for k, n in seen[i].items() if k <= place)
-    return [
-        ([upto(i, 2 * k) for k in range(len(values))], [upto(i, 2 * k + 1) for k in range(len(values))])
-        for i, values in enumerate(cuts)
-    ]
+    upto = [np.cumsum(total).tolist() for total in seen]
+    return [(total[0:-1:2], total[1::2]) for total in upto]
 
 
 def _finish(df: DataFrame, gaps: Sequence[_Gap]) -> dict[tuple[str, int], Found]:
     """Ranks of small gaps, from their sorted values."""
-    sorted_values = _cells(df, [g.inside() for g in gaps]).groupBy("gap").agg(F.sort_array(F.collect_list("value")).alias("values"))
+    data, places = _columns(df, gaps)
+    bounds = [(-math.inf if g.low is None else g.low, math.inf if g.high is None else g.high) for g in gaps]
+    # Open ends include infinite values.
+    ends = [(g.low is None, g.high is None) for g in gaps]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = _usable(batch)
+            for i, (place, (low, high), (first, last)) in enumerate(zip(places, bounds, ends)):
+                x = columns[place]
+                x = x[((x > low) | first) & ((x < high) | last)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i)), pa.array(x, pa.float64())], ["gap", "value"])
+
+    sorted_values = data.mapInArrow(run, "gap long, value double").groupBy("gap").agg(F.sort_array(F.collect_list("value")).alias("values"))
     spots = F.array(*[F.array(*[F.lit(r - g.below) for r in g.ranks]) for g in gaps])
 
     def pick(spot: Column) -> Column:
@@ -131,13 +171,19 @@ def _finish(df: DataFrame, gaps: Sequence[_Gap]) -> dict[tuple[str, int], Found]
         return F.struct(value.alias("v"), (F.array_position("values", value) - 1).alias("f"), copies.alias("n"))
 
     result = {}
-    for gap, picks in sorted_values.select("gap", F.transform(F.get(spots, F.col("gap")), pick)).collect():
+    for gap, picks in sorted_values.select("gap", F.transform(F.get(spots, F.col("gap").cast("int")), pick)).collect():
         g = gaps[gap]
         for r, (value, first, copies) in zip(g.ranks, picks):
             result[g.name, r] = Found(value, g.below + first, g.below + first + copies)
     return result
 
 
+def _whole(df: DataFrame, wanted: Mapping[str, tuple[Column, int, Sequence[int]]]) -> set[str]:
+    """Names whose expression is a whole number."""
+    schema = df.select(*[expr.alias(f"v{i}") for i, (expr, _, _) in enumerate(wanted.values())]).schema
+    return {name for name, f in zip(wanted, schema.fields) if isinstance(f.dataType, T.IntegralType)}
+
+
 def values_at_ranks(
     df: DataFrame,
     wanted: Mapping[str, tuple[Column, int, Sequence[int]]],
@@ -173,7 +219,8 @@ def values_at_ranks(
             result.update(found)
             todo.extend(rest)
         guesses = {}
-    return result
+    whole = _whole(df, wanted)
+    return {key: found._replace(value=int(found.value)) if key[0] in whole else found for key, found in result.items()}
 
 
 def exact_quantiles(
@@ -191,8 +238,8 @@ def exact_quantiles(
         return {}
     data = df.select(*[S.valid_double(F.col(f"`{c}`")).alias(f"x{i}") for i, c in enumerate(columns)])
     if counts is None:
-        seen = {r["gap"]: r["n"] for r in _cells(data, [F.col(c) for c in data.columns]).groupBy("gap").agg(F.count("*").alias("n")).collect()}
-        counts = {c: seen.get(i, 0) for i, c in enumerate(columns)}
+        seen = data.agg(*[F.count(c) for c in data.columns]).first()
+        counts = dict(zip(columns, seen))
     wanted = {}
     for i, c in enumerate(columns):
         spots = [f * (counts[c] - 1) for f in fractions] if counts[c] else []

@@ -154,3 +154,18 @@ def test_duplicates_of_odd_columns(spark):
 def test_top_values_of_several_columns(table):
     got = rows(profile.top_values_of(table, ["s", "b"], 1))
     assert got == [("b", "false", 2), ("s", "a", 2)]
+
+
+def test_duplicates_by_typed_hashes(spark):
+    """Nulls in other places, NaN, signed zeros, nested values and many columns."""
+    schema = "a long, b long, x double, s string, l array<double>, m map<string,int>"
+    nan, base = float("nan"), (1, None, 0.0, "t", [0.0], {"k": 1, "l": 2})
+    data = [base, (None, 1, 0.0, "t", [0.0], {"k": 1, "l": 2}), (1, None, -0.0, "t", [-0.0], {"l": 2, "k": 1}),
+            (1, None, nan, "t", [nan], None), (1, None, nan, "t", [nan], None), (None,) * 6, (None,) * 6, (None,) * 6]
+    df = spark.createDataFrame(data, schema)
+    assert rows(profile.duplicates_summary(df)) == [(8, 4, 7)]
+    assert sorted(r["multiplicity"] for r in profile.duplicated_rows(df).collect()) == [2, 2, 3]
+    wide = spark.range(200).select(*[F.when(F.col("id") % 100 != i, F.lit(1)).alias(f"c{i}") for i in range(100)])
+    assert rows(profile.duplicates_summary(wide)) == [(200, 100, 200)]
+    plan = profile.duplicates_summary(df)._jdf.queryExecution().executedPlan().toString()
+    assert "md5" not in plan and "SortAggregate" not in plan

@@ -24,7 +24,7 @@ def samples():
 def test_counting_scans_equal_numpy(spark, name, monkeypatch):
     values = samples()[name]
     df = spark.createDataFrame([(float(v),) for v in values], "x double").repartition(6)
-    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 200)
+    monkeypatch.setattr(quantiles, "SKETCH_SIZE", 64)
     order = np.sort(values)
     ranks = sorted({int(f * (len(values) - 1)) for f in FRACTIONS})
     found = quantiles.values_at_ranks(df, {"x": (F.col("x"), len(values), ranks)}, final=50)
