@@ -61,6 +61,29 @@ def catalog_long_lines(spark: SparkSession, folder: str) -> DataFrame:
     return catalog.catalog_from_lines(_lines(spark, folder, line), types=types, drop_long_lines=True)
 
 
+_BATCHES = (("id", "price", "status"), ("status", "id", "urgency"), ("price", "id"), ("id", "status", "price", "urgency"), ("urgency", "price", "id"))
+
+
+@query(
+    "batch_merge",
+    """with rows_ as (select *, o_custkey % 5 as k from orders)
+    select o_orderkey as id, case when k <> 1 then o_totalprice end as price, case when k in (0, 1, 3) then o_orderstatus end as status,
+      case when k in (1, 3, 4) then o_orderpriority end as urgency, 'batch_' || k as batch from rows_""",
+)
+def batch_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches of text under five different headers, merged by the names of their columns."""
+    given = {"id": "o_orderkey", "price": "o_totalprice", "status": "o_orderstatus", "urgency": "o_orderpriority"}
+    k, value, header = F.col("o_custkey") % 5, F.lit(None), F.lit(None)
+    for i, names in enumerate(_BATCHES):
+        value = F.when(k == i, F.concat_ws(",", *[given[n] for n in names])).otherwise(value)
+        header = F.when(F.col("id") == i, F.lit(",".join(names))).otherwise(header)
+    rows = table(spark, folder, "orders").select(value.alias("value"), F.concat(F.lit("batch_"), k).alias("file"), F.col("o_orderkey").alias("place"))
+    heads = spark.range(len(_BATCHES)).select(header.alias("value"), F.concat(F.lit("batch_"), "id").alias("file"), F.lit(-1).cast("bigint").alias("place"))
+    cells = catalog.parse_files(heads.union(rows), carry=["file"])
+    typed = catalog.cast_cells(cells, {"id": "bigint", "price": "double"})
+    return typed.select("id", "price", "status", "urgency", F.col("file").alias("batch"))
+
+
 @query(
     "row_shape",
     r"""select count(*) as "rows", count(*) filter (len(string_split(text, ',')) <> 3) as wrong_rows,

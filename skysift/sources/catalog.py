@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
+from ..session import stage
 
+# Different columns of all files that are read together; more than these point to files without a header.
+MAX_COLUMNS = 10_000
 # Appended as a last field, it shows where a line really ends.
 _END = "\u0002"
 
@@ -78,28 +81,54 @@ def parse_lines(
     return parsed.select(*[F.when(~c.isin("", _END), c).alias(n) for c, n in zip(found, names)], *carry)
 
 
+def _headers(lines: DataFrame, sep: str) -> DataFrame:
+    """(file, header, names) of every file with data, one row a file: the names of its columns in their order."""
+    by_file = data_lines(lines).groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    text = F.rtrim(F.regexp_replace("header", "^\ufeff", ""), F.lit("\r\n"))
+    cells = F.split(text, "\\Q" + sep + "\\E", -1)
+    return by_file.withColumn("names", F.transform(cells, lambda c: F.btrim(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit('"'))))
+
+
 def parse_files(
-    lines: DataFrame, sep: str = ",", drop_long_lines: bool = False, carry: Sequence[str] = ()
+    lines: DataFrame, sep: str = ",", drop_long_lines: bool = False, carry: Sequence[str] = (), max_columns: int = MAX_COLUMNS
 ) -> DataFrame:
     """Lines of several files to string columns, each file under its own header.
 
-    ``lines`` has (value, file, place). Columns are matched by name; a column that a file lacks is null. One
-    scan finds the header of every file; files with the same header are then read together, so the number
-    of scans is that of different headers.
+    ``lines`` has (value, file, place). Columns are matched by name; a column that a file lacks is null. Columns stand in
+    the order of the first header, by text, that names them. One scan finds the header of every file, one row a file
+    in a table that is written once; a second one splits every line once and takes its cells by the places that its
+    file's header gives them, so two scans do for any number of headers. The driver sees the names of the columns,
+    of which ``max_columns`` are allowed in all files together.
     """
-    body = data_lines(lines)
-    by_file = body.groupBy("file").agg(F.min_by("value", "place").alias("header"))
-    headers = [r["header"] for r in by_file.select("header").distinct().orderBy("header").collect()]
-    if not headers:
+    headers = stage(_headers(lines, sep), "headers")
+    different = headers.select("header").distinct().limit(2).collect()
+    if not different:
         raise ValueError("no data: every line is blank or a comment")
-    if len(headers) == 1:
-        return parse_lines(lines, headers[0], sep, drop_long_lines, carry)
-    parts = []
-    for header in headers:
-        own = by_file.filter(F.col("header") == header).select("file")
-        parts.append(parse_lines(lines.join(own, "file", "left_semi"), header, sep, drop_long_lines, carry))
-    names = list(dict.fromkeys(n for part in parts for n in part.columns if n not in carry))
-    return concat_by_name(parts).select(*[F.col(f"`{n}`") for n in names], *carry)
+    if len(different) == 1:
+        return parse_lines(lines, different[0]["header"], sep, drop_long_lines, carry)
+    bad = headers.where(F.size("names") != F.size(F.array_distinct("names"))).select("header", "file").first()
+    if bad is not None:
+        raise ValueError(f"repeated column names in the header of {bad['file']}: {bad['header']}")
+    first = headers.select("header", F.posexplode("names").alias("at", "name")).groupBy("name").agg(F.min(F.struct("header", "at")).alias("first"))
+    names = [r["name"] for r in first.orderBy("first").select("name").limit(max_columns + 1).collect()]
+    if len(names) > max_columns:
+        raise ValueError(f"more than {max_columns} different columns; do all files have a header?")
+    width = headers.agg(F.max(F.size("names")).alias("width")).first()["width"]
+    places = F.transform(F.array(*map(F.lit, names)), lambda n: F.array_position("names", n).cast("int"))
+    own = headers.select("file", F.col("header").alias("__header"), F.size("names").alias("__width"), places.alias("__places"))
+    body = data_lines(lines).join(own, "file").filter(F.col("value") != F.col("__header"))
+    # With the mark as a last field, a line's cells are those before it; without, a longer line keeps its first fields.
+    cells = ", ".join(f"c{i} string" for i in range(width + 1))
+    options = {"sep": sep, "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "maxColumns": str(max(20480, width + 2))}
+    split = F.from_csv(F.concat("value", F.lit(sep + _END)), cells, options).alias("__cells")
+    listed = F.array(*[F.col(f"__cells.c{i}") for i in range(width + 1)]).alias("__cells")
+    kept = ["__width", "__places", *carry]
+    # The one-element explode keeps the line from being split anew for each of its columns.
+    parsed = body.select(split, *kept).select(F.explode(F.array(listed)).alias("__cells"), *kept)
+    if drop_long_lines:
+        parsed = parsed.filter(F.array_position("__cells", _END).between(1, F.col("__width") + 1))
+    found = [F.get("__cells", F.get("__places", F.lit(i)) - 1) for i in range(len(names))]
+    return parsed.select(*[F.when(~c.isin("", _END), c).alias(n) for c, n in zip(found, names)], *carry)
 
 
 def infer_types(df: DataFrame) -> dict[str, str]:

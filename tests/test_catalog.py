@@ -157,3 +157,26 @@ def test_lookup(spark):
     with pytest.raises(ValueError):
         formats.find_object(spark.range(1), "1")
     assert formats.is_empty(df.limit(0)) and not formats.is_empty(df)
+
+
+def test_any_number_of_headers_takes_two_scans(spark, tmp_path):
+    """A hundred files, each with columns of its own, quoted cells, long and short lines and blanks in the header."""
+    for i in range(100):
+        names = ["id", f"c{i}", f' "d{i % 3}" '] if i % 2 else [f"c{i}", "id"]
+        body = [f"{i},\"x,{i}\",7,long" if i % 2 else f"v{i},{i}", ",".join(names), "# note", f"{i + 1000}" if i % 2 else f",{i + 1000}"]
+        (tmp_path / f"batch_{i:03}.csv").write_text("\n".join(["# first", ",".join(names), *body]) + "\n")
+    lines = catalog.read_file_lines(spark, str(tmp_path / "batch_*.csv"))
+    parsed = catalog.parse_files(lines)
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("Relation [value") == 1
+    got = parsed.collect()
+    assert len(got) == 200 and set(parsed.columns) == {"id", "d0", "d1", "d2", *[f"c{i}" for i in range(100)]}
+    by_id = {r["id"]: r.asDict() for r in got}
+    assert by_id["8"]["c8"] == "v8" and by_id["1008"]["c8"] is None
+    assert by_id["9"]["c9"] == "x,9" and by_id["9"]["d0"] == "7" and by_id["1009"]["c9"] is None and by_id["9"]["c8"] is None
+    short = catalog.parse_files(lines, drop_long_lines=True).select("id").collect()
+    assert {r["id"] for r in short} == {str(i) for i in range(0, 100, 2)} | {str(i + 1000) for i in range(100)}
+    with pytest.raises(ValueError, match="more than 20"):
+        catalog.parse_files(lines, max_columns=20)
+    (tmp_path / "batch_x.csv").write_text("a,a\n1,2\n")
+    with pytest.raises(ValueError, match="repeated"):
+        catalog.parse_files(catalog.read_file_lines(spark, str(tmp_path / "batch_*.csv")))
