@@ -114,27 +114,28 @@ def counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataF
 
     Phrases of fewer than ``least`` occurrences are left out; the row of size 0 counts all words of a language.
     """
-    windowed = windows(docs, longest).repartition("lang", "head").groupBy("lang", "head", "last").agg(F.sum("n").alias("n"))
-
-    def often(condition: Column) -> Column:
-        """Looks at the sum first, so that it stays above the exchange, which all uses of the windows then share."""
-        return F.when(F.col("n") >= least, condition).otherwise(False)
-
-    full = windowed.where(often(F.col("last") != PAD))
+    dealt = windows(docs, longest).repartition("lang", "head")
+    # The condition looks at the sum first, so it stays above the exchange, which both uses of the windows share.
+    full = dealt.groupBy("lang", "head", "last").agg(F.sum("n").alias("n"))
+    full = full.where(F.when(F.col("n") >= least, F.col("last") != PAD).otherwise(False))
     full = full.select("lang", F.lit(longest).alias("size"), F.concat_ws(" ", "head", "last").alias("phrase"), "n")
-    # Windows of one head lie in one task, and so do the sums over their last words.
-    heads = windowed.groupBy("lang", "head").agg(F.sum("n").alias("n"))
-    second = heads.where(often(~F.col("head").rlike("^ | $|  ")))
-    second = second.select("lang", F.lit(longest - 1).alias("size"), F.col("head").alias("phrase"), "n")
+    # Windows of one head lie in one task, so their sum is final. The count keeps both uses reading the same columns.
+    heads = dealt.groupBy("lang", "head").agg(F.sum("n").alias("n"), F.count("last").alias("windows")).where("windows > 0")
     names = [f"w{k + 1}" for k in range(longest - 2)]
-    leads = heads.select("lang", "n", *[F.get(F.split("head", " "), F.lit(k)).alias(c) for k, c in enumerate(names)])
-    summed = leads.rollup("lang", *names).agg(F.sum("n").alias("n"), F.grouping_id().alias("rolled"))
+    often = F.when(F.col("n") >= least, ~F.col("head").rlike("^ | $|  ")).otherwise(False)
+    leads = heads.select(
+        "lang", *[F.get(F.split("head", " "), F.lit(k)).alias(c) for k, c in enumerate(names)],
+        F.when(often, F.col("head")).otherwise(PAD).alias("whole"), "n",
+    )
+    # Rare heads only count towards their prefixes.
+    columns = [*names, "whole"]
+    summed = leads.rollup("lang", *columns).agg(F.sum("n").alias("n"), F.grouping_id().alias("rolled"))
     # The columns summed over are the last ones; their bits are set.
-    size = reduce(lambda rest, k: F.when(F.col("rolled") == 2**k - 1, len(names) - k).otherwise(rest), range(len(names) + 1), F.lit(-1))
+    size = reduce(lambda rest, k: F.when(F.col("rolled") == 2**k - 1, len(columns) - k).otherwise(rest), range(len(columns) + 1), F.lit(-1))
     sized = summed.withColumn("size", size).where((F.col("size") == 0) | ((F.col("size") > 0) & (F.col("n") >= least)))
-    whole = reduce(lambda a, b: a & b, [(F.col("size") < k) | (F.col(c) != PAD) for k, c in enumerate(names, 1)], F.lit(True))
-    phrase = F.concat_ws(" ", *names) if names else F.lit("")
-    return sized.where(whole).select("lang", "size", phrase.alias("phrase"), "n").union(second).union(full)
+    unpadded = reduce(lambda a, b: a & b, [(F.col("size") < k) | (F.col(c) != PAD) for k, c in enumerate(columns, 1)])
+    phrase = F.when(F.col("size") == len(columns), F.col("whole")).otherwise(F.concat_ws(" ", *names) if names else F.lit(""))
+    return sized.where(unpadded).select("lang", "size", phrase.alias("phrase"), "n").union(full)
 
 
 def _wide(count: str) -> Column:
