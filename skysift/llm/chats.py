@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
+from decimal import Decimal
 from functools import lru_cache
 
 import pyarrow as pa
@@ -41,18 +42,35 @@ def parse(text: str) -> object:
     return json.loads(text, object_pairs_hook=_unique, parse_constant=_no_constant)
 
 
+def _number(value: float) -> str:
+    """The shortest digits that give the number back: plain from 10^-6 to below 10^21, else with an exponent."""
+    if not math.isfinite(value):
+        raise ValueError("a number is too large")
+    if value == int(value) and abs(value) < 1e21:
+        return str(int(value))
+    sign, digits, exponent = Decimal(repr(value)).normalize().as_tuple()
+    shown, point = "".join(map(str, digits)), len(digits) + exponent
+    if -6 < point <= 0:
+        text = "0." + "0" * -point + shown
+    elif 0 < point < len(shown):
+        text = f"{shown[:point]}.{shown[point:]}"
+    else:
+        text = f"{shown[0]}{'.' * (len(shown) > 1)}{shown[1:]}e{point - 1:+d}"
+    return "-" * sign + text
+
+
 def canonical(value: object) -> str:
-    """JSON without white space, keys sorted by UTF-16 units, whole floats below 10^21 written as integers."""
+    """JSON without white space, keys sorted by UTF-16 units, numbers with a point or exponent as ``_number`` writes them.
+
+    Integers keep all their digits.
+    """
     if isinstance(value, dict):
         keys = sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
         return "{" + ",".join(f"{canonical(k)}:{canonical(value[k])}" for k in keys) + "}"
     if isinstance(value, list):
         return "[" + ",".join(map(canonical, value)) + "]"
     if isinstance(value, float):
-        if not math.isfinite(value):
-            raise ValueError("a number is too large")
-        if value == int(value) and abs(value) < 1e21:
-            return str(int(value))
+        return _number(value)
     return json.dumps(value, ensure_ascii=False)
 
 
@@ -64,16 +82,36 @@ def _is(value: object, kind: str) -> bool:
     return isinstance(value, TYPES.get(kind, object))
 
 
-def violations(value: object, schema: dict, at: str = "$") -> list[str]:
+#: What the value of a keyword must be; one of another kind is an error of the schema and checks nothing.
+KEYWORDS = {
+    "type": lambda x: isinstance(x, str) or isinstance(x, list) and all(isinstance(k, str) for k in x),
+    "enum": lambda x: isinstance(x, list),
+    "required": lambda x: isinstance(x, list) and all(isinstance(k, str) for k in x),
+    "properties": lambda x: isinstance(x, dict),
+    "additionalProperties": lambda x: isinstance(x, (bool, dict)),
+    "items": lambda x: isinstance(x, (bool, dict)),
+    **{k: lambda x: _is(x, "number") for k in ("minimum", "maximum", "minLength", "maxLength", "minItems", "maxItems")},
+}
+
+
+def violations(value: object, schema: object, at: str = "$") -> list[str]:
     """What speaks against a value: its place and the keyword of the schema, in the order of the schema's rules.
 
     Known keywords: type, enum, const, minimum, maximum, minLength, maxLength, required, properties,
-    additionalProperties, items, minItems, maxItems. Others are ignored.
+    additionalProperties, items, minItems, maxItems. Others are ignored. The schema ``true`` allows every value and
+    ``false`` none; what is neither that nor an object, or a keyword of a wrong kind, is reported as ``bad schema``
+    or ``bad <keyword>`` and nothing is checked by it.
     """
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: false"]
+    if not isinstance(schema, dict):
+        return [f"{at}: bad schema"]
+    bad = [k for k, fits in KEYWORDS.items() if k in schema and not fits(schema[k])]
+    schema = {k: v for k, v in schema.items() if k not in bad}
+    found = [f"{at}: bad {k}" for k in bad]
     kinds = schema.get("type")
     if kinds is not None and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
-        return [f"{at}: type"]
-    found = []
+        return [*found, f"{at}: type"]
     if "enum" in schema and not any(canonical(value) == canonical(e) for e in schema["enum"]):
         found.append(f"{at}: enum")
     if "const" in schema and canonical(value) != canonical(schema["const"]):
@@ -91,36 +129,55 @@ def violations(value: object, schema: dict, at: str = "$") -> list[str]:
         if most in schema and size[1] > schema[most]:
             found.append(f"{at}: {most}")
     if isinstance(value, dict):
-        known = schema.get("properties", {})
+        known, others = schema.get("properties", {}), schema.get("additionalProperties", True)
         found += [f"{at}.{k}: required" for k in schema.get("required", []) if k not in value]
         for key in sorted(value):
             if key in known:
                 found += violations(value[key], known[key], f"{at}.{key}")
-            elif schema.get("additionalProperties") is False:
+            elif others is False:
                 found.append(f"{at}.{key}: additionalProperties")
-            elif isinstance(schema.get("additionalProperties"), dict):
-                found += violations(value[key], schema["additionalProperties"], f"{at}.{key}")
-    if isinstance(value, list) and isinstance(schema.get("items"), dict):
+            elif others is not True:
+                found += violations(value[key], others, f"{at}.{key}")
+    if isinstance(value, list) and "items" in schema:
         for k, item in enumerate(value):
             found += violations(item, schema["items"], f"{at}[{k}]")
     return found
 
 
+def _read(text: str) -> tuple[object, str | None]:
+    """A JSON value whose canonical form can be written, or what is wrong with it.
+
+    A half of a surrogate pair has no UTF-8, so a text that holds one is no JSON here.
+    """
+    try:
+        value = parse(text)
+        canonical(value).encode()
+    except (ValueError, RecursionError) as problem:
+        return None, f"not JSON ({type(problem).__name__})"
+    return value, None
+
+
 @lru_cache(maxsize=1000)
-def _schema(text: str) -> dict:
-    return parse(text)
+def _schema(text: str) -> tuple[object, str | None]:
+    return _read(text)
 
 
 def check(arguments: str | None, schema: str | None) -> tuple[object, list[str]]:
-    """The parsed arguments and what speaks against them; a call without arguments has an empty object."""
-    try:
-        value = parse(arguments) if arguments is not None else {}
-        canonical(value)
-    except (ValueError, RecursionError) as problem:
-        return None, [f"$: not JSON ({type(problem).__name__})"]
+    """The parsed arguments and what speaks against them; a call without arguments has an empty object.
+
+    Null arguments with one entry in the list were no JSON (the arguments ``null`` never have that entry). A schema
+    that is no JSON is reported as ``$: schema not JSON`` and checks nothing.
+    """
+    value, problem = _read(arguments) if arguments is not None else ({}, None)
+    if problem:
+        return None, [f"$: {problem}"]
     if schema is None:
         return value, ["$: unknown tool"]
-    return value, violations(value, _schema(schema))
+    rules, problem = _schema(schema)
+    try:
+        return value, [f"$: schema {problem}"] if problem else violations(value, rules)
+    except RecursionError:
+        return value, ["$: schema too deep"]
 
 
 def _chains(single: DataFrame, longest: int) -> DataFrame:
@@ -202,6 +259,8 @@ def link(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
     * The order within a conversation is (level, position); level is null for cycles, orphans and unidentified rows.
     * errors: what speaks against the arguments, and ``depends_on: unknown`` for identifiers of no call.
     * json: the call with its result, null if its arguments are not JSON. Empty tables give no rows.
+    * Arguments or schemas that are no JSON, hold half a surrogate pair, are nested too deeply or break the rules of
+      schemas give entries of ``errors``, as ``check`` and ``violations`` say; no row ends the job.
     """
     named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     body = F.struct("position", "name", "arguments", F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on"))
@@ -256,7 +315,12 @@ def link(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
                 whole = {"id": r["call_id"], "result": r["content"]}
                 if called:
                     whole |= {"name": r["name"], "arguments": value, "depends_on": r["depends_on"] or []}
-                texts.append(canonical(whole) if not called or value is not None else None)
+                try:
+                    text = None if any(e.startswith("$: not JSON") for e in found) else canonical(whole)
+                except RecursionError:
+                    text = None
+                    errors[-1].insert(0, "$: not JSON (RecursionError)")
+                texts.append(text)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in names), pa.array(errors, pa.list_(pa.string())), pa.array(texts, pa.string())],
                 [*names, "errors", "json"],

@@ -134,3 +134,43 @@ def test_keywords():
     assert chats.violations(bad, schema) == [
         "$.c: const", "$.f: type", "$.k: enum", "$.l: maxItems", "$.l[1]: type", "$.s: maxLength", "$.z: additionalProperties",
     ]
+
+
+@pytest.mark.parametrize(
+    "number, text",
+    [(1e-7, "1e-7"), (1e-5, "0.00001"), (1e-6, "0.000001"), (-1.5e-9, "-1.5e-9"), (-0.0, "0"), (1e20, "100000000000000000000"), (1e21, "1e+21"),
+     (1.25e30, "1.25e+30"), (123456.789, "123456.789"), (5e-324, "5e-324"), (2**70, "1180591620717411303424")],
+)
+def test_numbers(number, text):
+    assert chats.canonical(number) == text and json.loads(text) == number
+
+
+@pytest.mark.parametrize(
+    "schema, errors",
+    [("true", []), ("false", ["$: false"]), ("[1]", ["$: bad schema"]), ("3", ["$: bad schema"]), ("{", ["$: schema not JSON (JSONDecodeError)"]),
+     ('{"minimum": 1e999}', ["$: schema not JSON (ValueError)"]), ('"\\ud800"', ["$: schema not JSON (UnicodeEncodeError)"]),
+     ('{"required": "n", "type": 7}', ["$: bad type", "$: bad required"]), ('{"required": [["n"]]}', ["$: bad required"]),
+     ('{"properties": {"n": {"minimum": "2"}, "q": true}}', ["$.n: bad minimum"]), ('{"properties": {"n": false}}', ["$.n: false"]),
+     ('{"properties": [], "enum": {}}', ["$: bad enum", "$: bad properties"]), ('{"additionalProperties": {"type": "integer"}}', ["$.q: type"]),
+     ('{"properties": {"l": {"items": false}}, "additionalProperties": 1}', ["$: bad additionalProperties", "$.l[0]: false"])],
+)
+def test_schemas_of_any_kind(schema, errors):
+    value, found = chats.check('{"n": 1, "q": "x", "l": [0]}', schema)
+    assert value == {"n": 1, "q": "x", "l": [0]} and [e for e in found if e != "$.l: type"] == errors
+
+
+def test_bad_rows_do_not_end_the_job(spark):
+    deep = "[" * 100_000
+    arguments = ['{"q": "\\ud800"}', deep, "null", '{"q": 1e999}', '{"q": "\\ud83d\\ude00"}']
+    calls = [(1, str(i), i, "find", a, []) for i, a in enumerate(arguments)]
+    calls += [(2, "a", 0, "broken", "{}", []), (2, "b", 1, "deep", "{}", []), (2, "c", 2, "list", "{}", [])]
+    by, rows = linked(spark, calls, [], [*TOOLS, ("broken", "{"), ("deep", deep), ("list", "[]")])
+    assert [by["1", str(i)]["errors"] for i in range(5)] == [
+        ["$: not JSON (UnicodeEncodeError)"], ["$: not JSON (RecursionError)"], ["$: type"], ["$: not JSON (ValueError)"], []
+    ]
+    assert [by["1", str(i)]["json"] is None for i in range(5)] == [True, True, False, True, False]
+    assert json.loads(by["1", "2"]["json"])["arguments"] is None and "\U0001f600" in by["1", "4"]["json"]
+    assert [by["2", c]["errors"] for c in "abc"] == [
+        ["$: schema not JSON (JSONDecodeError)"], ["$: schema not JSON (RecursionError)"], ["$: bad schema"]
+    ]
+    assert all(by["2", c]["json"] for c in "abc") and len(rows) == 8
