@@ -300,27 +300,36 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return pairs.join(whole.select("i", "j", corr.alias("corr")), ["i", "j"], "left").select("var1", "var2", "corr")
 
 
+# A pair is centred anew on its shared rows where less than this share of the squares remains: digits have cancelled.
+_CANCELLED = 1e-3
+
+
 def _moments(x: np.ndarray) -> dict[str, np.ndarray]:
-    """Counts, means and co-moments of all column pairs, each over the rows that hold both."""
-    k = x.shape[1]
+    """Counts, means and co-moments of all column pairs, each over the rows that hold both.
+
+    All of them are products of the matrix of values, zero where one is missing, and the matrix that marks the known
+    ones, so gaps cost no loop over pairs. Only pairs whose shared rows lie close together, far from the
+    means of their columns, are centred on these rows one by one.
+    """
     known = ~np.isnan(x)
-    gaps = ~known.all(axis=0)
-    first = np.array([x[known[:, i], i][0] if known[:, i].any() else 0.0 for i in range(k)])
+    held, count = known.astype("float64"), known.sum(axis=0)
+    first = np.where(count > 0, x[known.argmax(axis=0), np.arange(x.shape[1])], 0.0)
     # Shifted by a value of its own, a constant column is exactly zero.
     shifted = np.where(known, x - first, 0.0)
-    n = known.T.astype("float64") @ known.astype("float64")
-    safe = np.maximum(n, 1)
-    mean = (shifted.T @ known.astype("float64")) / safe
-    centred = shifted - np.where(gaps, 0.0, mean.diagonal())
-    cxy, cxx = centred.T @ centred, np.zeros((k, k))
-    cxx[:] = (centred * centred).sum(axis=0)[:, None]
-    for i in range(k):
-        # Pairs with gaps are centred on the rows that they share.
-        for j in np.flatnonzero(gaps | gaps[i]):
-            both = known[:, i] & known[:, j]
-            a, b = shifted[both, i] - mean[i, j], shifted[both, j] - mean[j, i]
-            cxy[i, j], cxx[i, j] = a @ b, a @ a
-    return {"n": n, "mx": mean + first[:, None], "my": mean.T + first[None, :], "cxy": cxy, "cxx": cxx, "cyy": cxx.T.copy()}
+    centre = shifted.sum(axis=0) / np.maximum(count, 1)
+    centred = np.where(known, shifted - centre, 0.0)
+    n = held.T @ held
+    sums, squares = centred.T @ held, (centred * centred).T @ held
+    mean = sums / np.maximum(n, 1)
+    cxy, cxx = centred.T @ centred - mean * sums.T, squares - mean * sums
+    near = (n > 0) & (squares > 0) & (cxx < _CANCELLED * squares)
+    for i, j in zip(*np.nonzero(near | near.T)):
+        both = known[:, i] & known[:, j]
+        a, b = (v - v[0] for v in (centred[both, i], centred[both, j]))
+        a, b = a - a.mean(), b - b.mean()
+        cxy[i, j], cxx[i, j] = a @ b, a @ a
+    mean = mean + (first + centre)[:, None]
+    return {"n": n, "mx": mean, "my": mean.T, "cxy": cxy, "cxx": cxx, "cyy": cxx.T.copy()}
 
 
 def _merged(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
