@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed_values as fv
 from ..functions import scalars as S
@@ -28,9 +29,24 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mo
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def write_json(df: DataFrame, path: str, mode: str = "error") -> None:
-    """JSON lines: NaN is written as null, infinities as the texts "Infinity" and "-Infinity"."""
-    S.nan_to_null(df).write.mode(mode).option("ignoreNullFields", False).json(path)
+def write_json(df: DataFrame, path: str, mode: str = "error", nan: str = "null") -> None:
+    """JSON lines: infinities as the texts "Infinity" and "-Infinity", also inside arrays, maps and structs.
+
+    NaN is written as null, or as the text "NaN" with ``nan="text"``; only then :func:`read_json` gives it back.
+    Fields that are null are written, so every line has all fields.
+    """
+    if nan not in ("null", "text"):
+        raise ValueError(f"nan is 'null' or 'text', not {nan!r}")
+    rows = S.nan_to_null(df) if nan == "null" else df
+    rows.write.mode(mode).option("ignoreNullFields", False).json(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """What :func:`write_json` wrote, under the schema of the written table; the texts of numbers become numbers.
+
+    A line that is no JSON, or holds a value of another type, is an error.
+    """
+    return spark.read.schema(schema).option("mode", "FAILFAST").option("allowNonNumericNumbers", True).json(path)
 
 
 def confirmed_rows(vetted: DataFrame) -> DataFrame:
