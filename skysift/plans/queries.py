@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import catalog_queries, profile_queries, result_queries, target_queries
+from . import catalog_queries, profile_queries, result_queries, storage_queries, target_queries
 from .registered import REGISTERED, Query
 
 __all__ = ["queries", "oracle_sql", "flagship"]
 
 flagship = catalog_queries.vetted_orders
-_MODULES = (profile_queries, target_queries, result_queries, catalog_queries)
+_MODULES = (profile_queries, target_queries, result_queries, catalog_queries, storage_queries)
 
 
 def queries() -> dict[str, Query]:
