@@ -125,17 +125,84 @@ def test_class_scores(spark, folder):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_class_model_is_a_distribution_and_clustering_raises_likelihood(spark):
-    texts = ["a b c d . a c d b . x y z x y", "b a d c . z x y z", "a b . x z y . c d"] * 4
-    train = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    counts = classlm.word_counts(train)
-    model = classlm.fit(train, counts, table_words=6, clustered=4, classes=2)
-    assert np.allclose((10**model.transitions).sum(axis=1), 1)
-    assert model.likelihoods == sorted(model.likelihoods)
-    clustered = np.flatnonzero(model.classes < 2)
-    for c in range(2):
-        mine = clustered[model.classes[clustered] == c]
-        assert len(mine) == 0 or abs((10 ** model.emission[mine]).sum() - 1) < 1e-9
+def class_pairs(lines, of, size):
+    """How often which class follows which in some lines of words, ends included."""
+    pairs = np.zeros((size, size))
+    for line in lines:
+        kinds = [size - 1, *(of(w) for w in line), size - 1]
+        np.add.at(pairs, (kinds[:-1], kinds[1:]), 1)
+    return pairs
+
+
+def test_class_model_against_plain_counts(spark):
+    """Every score from the classes by hand, and every word in the class that gains most, from chunks of any size."""
+    draw = np.random.default_rng(8)
+    states = {"a": "bcd", "b": "xyz", "x": "aw", "w": "a"}
+    texts = []
+    for i in range(80):
+        state, line = "a", []
+        for _ in range(int(draw.integers(0, 25))):
+            state = str(draw.choice(list(states[state])))
+            state = state if state in states else str(draw.choice(list(states)))
+            line += [f"{state}{draw.integers(0, 12)}{draw.choice(['', '', '.'])}"] * int(draw.integers(1, 3))
+        texts.append(" ".join([*line, f"Single{i}"]))
+    rows = [*enumerate(texts), (None, None), (200, ""), (200, "")]
+    docs = brute.documents(spark, rows)
+    held = classlm.held_out()
+    made = classlm.keep(classlm.chunks(classlm.text_rows(docs).withColumn("held_out", held), 40), "chunks").df
+    assert made.count() > 12
+    classes, size = 3, 3 + 2 * classlm.ENDINGS + 1
+    model = classlm.fit(made, clustered=9, classes=classes)
+    assert model.likelihoods == sorted(model.likelihoods) and len(model.likelihoods) >= 3
+    known = {r["word"].encode(): (r["n"], r["class"]) for r in model.known.df.collect()}
+    lines = [(d, classlm.tokens(t)) for d, t in rows]
+    train = [w for d, w in lines if d is None or zlib.crc32(str(d).encode()) % 5 != 1]
+    counts = Counter(w for line in train for w in line)
+    assert {w: n for w, (n, _) in known.items()} == counts
+    assert all((c >= 0) == (counts[w] >= 2) for w, (_, c) in known.items())
+
+    def of(word):
+        return known[word][1] if known.get(word, (0, -1))[1] >= 0 else classes + classlm.ending_class(word)
+
+    # Words beyond the clustered ones, each alone against the classes of these.
+    cut = sorted(counts.values(), reverse=True)[9]
+    seeds = {w for w in counts if counts[w] > cut}
+    assert 0 < len(seeds) <= 9
+
+    def first(word):
+        return of(word) if word in seeds else classes + classlm.ending_class(word)
+
+    for word in sorted(w for w in counts if w not in seeds and counts[w] >= 2):
+        value = [classlm._likelihood(class_pairs(train, lambda w: c if w == word else first(w), size)) for c in range(classes)]  # noqa: B023
+        assert value[known[word][1]] > max(value) - 1e-6, word
+    pairs = class_pairs(train, of, size)
+    follows = (pairs.sum(axis=0) + 0.5) / (pairs.sum(axis=0) + 0.5).sum()
+    steps = (pairs + classlm.BACK_OFF * follows) / (pairs.sum(axis=1, keepdims=True) + classlm.BACK_OFF)
+    in_class = np.zeros(size)
+    kinds = np.zeros(size)
+    for w, n in counts.items():
+        in_class[of(w)] += n
+        kinds[of(w)] += 1
+    want = []
+    for d, words in lines:
+        total, before = 0.0, size - 1
+        for w in words:
+            total += math.log10(steps[before, of(w)])
+            learned = of(w) < classes
+            total += math.log10(counts[w] / in_class[of(w)] if learned else (counts[w] + 0.5) / (in_class[of(w)] + 0.5 * (kinds[of(w)] + 1)))
+            before = of(w)
+        want.append((d, len(words) + 1, sum(of(w) < classes for w in words), round(total + math.log10(steps[before, size - 1]), 6)))
+    got = classlm.score(docs, clustered=9, classes=classes).collect()
+    assert sorted(((r["doc_id"], r["n_tokens"], r["n_learned"], round(r["score"], 6)) for r in got), key=brute.key) == sorted(want, key=brute.key)
+
+
+def test_most_tokens_have_learned_classes(spark, folder):
+    got = classlm.score(spark.read.parquet(f"{folder}/documents.parquet")).where("not held_out").agg(F.sum("n_learned"), F.sum("n_tokens"), F.count("*")).first()
+    # The smallest table: more than a quarter of its words occur once.
+    assert got[0] / (got[1] - got[2]) > 0.7
+
+
+def test_without_training_documents(spark):
     for rows in ([], [(1, "held")]):
         empty = brute.documents(spark, rows)
         got = classlm.score(empty, F.lit(True)).collect()
