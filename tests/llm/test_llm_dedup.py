@@ -182,7 +182,7 @@ def test_registered_line_dedup_against_all_pairs(spark, folder):
 def test_columns_of_a_line_are_made_once(spark):
     """No column of a line is computed above the explode of its runs."""
     docs = spark.createDataFrame([(1, "a line")], "doc_id long, text string")
-    made = lines._with_runs(lines._lines(docs), key2=lines._second_key(), c=lines._letters(F.col("line"), F.col("n"), "et"))
+    made = lines._with_runs(lines._lines(docs), key2=lines._second_key(), c=lines._letters(F.col("line"), "et"))
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     top = plan.split("Generate")[0]
     assert "replace" not in top and "xxhash64" not in top
