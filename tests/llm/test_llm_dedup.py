@@ -179,6 +179,34 @@ def test_registered_line_dedup_against_all_pairs(spark, folder):
     assert sorted(map(tuple, got), key=brute.key) == sorted(want, key=brute.key)
 
 
+def test_intact_segments_bound_the_edits(spark):
+    draw = random.Random(5)
+    pairs = []
+    for _ in range(300):
+        a = "".join(draw.choice("abcdé ") for _ in range(draw.randint(0, 60)))
+        chars = list(a)
+        for _ in range(draw.randint(0, 8)):
+            i = draw.randint(0, len(chars))
+            chars[i : i + draw.randint(0, 1)] = draw.choice(["", "x", "é"])
+        pairs.append((a, "".join(chars), brute.edits(a, "".join(chars))))
+    pairs.append(("abcdefghijklmnopqrstuvwxy", "zzzzzzzzzzzzzzzzzzzzzzzzz", 25))
+    df = spark.createDataFrame(pairs, "a string, b string, k int")
+    passed = [r[0] for r in df.select(lines._intact(F.col("a"), F.col("b"), F.col("k"))).collect()]
+    assert all(passed)
+    assert not df.select(lines._intact(F.col("a"), F.col("b"), F.lit(2))).collect()[-1][0]
+
+
+def test_frequent_texts_are_taken_once_or_more_with_equal_results(spark, monkeypatch):
+    """However few texts may be sent to every task, the same lines go."""
+    words = "the long and winding line of twenty or more words that many documents share with one another today".split()
+    rows = [(i, " ".join(words[: 12 + i % 5]) + ("" if i % 3 else " tail")) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(brute.lines(rows, 2, 10, grows=True), key=brute.key)
+    for bound in (400_000, 3):
+        monkeypatch.setattr(lines, "BROADCAST_LINES", bound)
+        assert kept_lines(docs, grows=True) == want
+
+
 def test_columns_of_a_line_are_made_once(spark):
     """No column of a line is computed above the explode of its runs."""
     docs = spark.createDataFrame([(1, "a line")], "doc_id long, text string")
