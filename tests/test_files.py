@@ -4,6 +4,7 @@ import json
 import os
 import struct
 
+import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -103,6 +104,27 @@ def test_headers(spark, curve_folder):
     assert found[0, "OBJECT"] == ("it's a star", "its name") and found[1, "NAXIS2"] == ("2", "")
 
 
+class Caught:
+    """Stands for a table of files: keeps the function that its batches would be given to."""
+
+    def __init__(self, spark):
+        self.sparkSession = spark
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_headers_of_many_files_come_together(spark):
+    scan = fits.read_headers(Caught(spark))
+    content = curve_file([(1.0, 0.5, 0)])
+    given = [pa.RecordBatch.from_arrays([pa.array([name(k)]), pa.array([content])], ["filename", "content"]) for k in range(2000)]
+    sizes = [b.num_rows for b in scan(iter(given))]
+    assert sizes[:-1] == [20_000] * (len(sizes) - 1) and sum(sizes) == 2000 * 18 and list(scan(iter([]))) == []
+
+
 def test_incremental_ingest(spark, curve_folder, tmp_path):
     out, marks = str(tmp_path / "out"), str(tmp_path / "marks")
 
