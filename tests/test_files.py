@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from skysift.operators import lightcurves, registry, relational, results, targets
 from skysift.plans import jobs
 from skysift.sources import catalog, downloads, fits, sinks
+from skysift.session import BATCH_KEY
 from skysift.sources import registry as registries
 from skysift.streaming import ingest
 
@@ -104,6 +105,20 @@ def test_headers(spark, curve_folder):
     assert found[0, "OBJECT"] == ("it's a star", "its name") and found[1, "NAXIS2"] == ("2", "")
 
 
+def test_curve_files_come_in_batches_of_bounded_bytes(spark):
+    for read in (lambda files: fits.read_light_curves(files, CURVE), fits.light_curve_status, lambda files: fits.decode_files(files, CURVE)):
+        spark.conf.unset(BATCH_KEY)
+        files = spark.range(0, 40, 1, 1).select(
+            F.concat(F.lit("tess2021-s0038-"), F.lpad(F.col("id").cast("string"), 16, "0"), F.lit("-0209-s_lc.fits")).alias("filename"),
+            F.repeat(F.lit("x"), 2**20).cast("binary").alias("content"),
+        )
+        read(files).count()
+        sizes = files.select("content").mapInArrow(
+            lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long"
+        )
+        assert sizes.agg(F.max("n")).first()[0] <= 6 * 2**20
+
+
 class Caught:
     """Stands for a table of files: keeps the function that its batches would be given to."""
 
