@@ -103,7 +103,8 @@ def linked(fps: DataFrame, max_bits: int = 4) -> DataFrame:
         & (F.bit_count(shared) >= matches)
         & (shared.bitwiseAND(upto) == here)
     )
-    return one.join(two, meet).select(F.col("one.fp").alias("a"), F.col("two.fp").alias("b"))
+    # The size of the postings is guessed from the table that they come from, so they must not be sent to every task.
+    return one.join(two.hint("merge"), meet).select(F.col("one.fp").alias("a"), F.col("two.fp").alias("b"))
 
 
 def grouped(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:

@@ -262,6 +262,13 @@ def test_links_against_all_pairs(spark, bits):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_postings_are_not_sent_to_every_task(spark):
+    """A small table of fingerprints has 70 times as many postings, which no estimate of its size tells."""
+    classes = keep(spark.range(20_000).select(F.xxhash64("id").alias("fp")), "classes").df
+    plan = simhash.linked(classes, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_a_chain_a_star_and_nothing(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3)]
     got = {r[0]: r[1] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
