@@ -13,6 +13,7 @@ of a few numbers a file. A task that runs again leaves files that no manifest na
 from __future__ import annotations
 
 import json
+import re
 import struct
 import unicodedata
 import uuid
@@ -325,6 +326,32 @@ def read_vocabulary(spark: SparkSession, path: str) -> str:
     return bytes(spark.read.format("binaryFile").load(local).select("content").first()[0]).decode()
 
 
+@lru_cache(maxsize=1)
+def _settled_ranges() -> dict[str, str]:
+    """The letters and the numbers among composed and lowered ``SETTLED`` characters, as ranges for a set of ``re``."""
+    settled = [c for c in map(chr, range(0x10000)) if SETTLED.fullmatch(c)]
+    some = sorted({c for s in settled for c in unicodedata.normalize("NFC", s).lower()})
+    ranges = {}
+    for kind in (r"\p{L}", r"\p{N}"):
+        runs: list[list[int]] = []
+        for at in (ord(c) for c in some if regex.fullmatch(kind, c)):
+            if runs and at == runs[-1][1] + 1:
+                runs[-1][1] = at
+            else:
+                runs.append([at, at])
+        ranges[kind] = "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs)
+    return ranges
+
+
+def _finder(pattern: str) -> Callable[[str], list[str]]:
+    """All matches of a pattern in composed and lowered ``SETTLED`` texts, by ``re``, which takes half the time, if it can say it."""
+    plain = pattern
+    for kind, ranges in _settled_ranges().items():
+        plain = plain.replace(kind, ranges)
+    in_sets = r"\p" not in regex.sub(r"\[[^\]]*\]", "", pattern)
+    return (re.compile(plain) if in_sets and r"\p" not in plain else regex.compile(pattern)).findall
+
+
 def _splitter(content: str) -> Callable[[str], list[str]] | None:
     """The pattern by which a tokenizer parts words after composing and lowering them; None if it has other steps."""
     form = json.loads(content)
@@ -336,7 +363,7 @@ def _splitter(content: str) -> Callable[[str], list[str]] | None:
     words, level = split
     if (words["behavior"], words["invert"], level["add_prefix_space"], level["use_regex"]) != ("Removed", True, False, False):
         return None
-    return regex.compile(words["pattern"]["Regex"]).findall
+    return _finder(words["pattern"]["Regex"])
 
 
 class Words:

@@ -2,12 +2,15 @@
 
 import json
 import random
+import re
+import unicodedata
 import zlib
 
 import brute
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from pyarrow import fs
 from pyspark.sql import functions as F
 from skysift.llm import idfiles, queries
@@ -71,6 +74,22 @@ def test_words_encode_as_whole_texts(spark, content, monkeypatch):
     assert idfiles._splitter(content) and idfiles._splitter(content.replace('"Lowercase"', '"NFD"')) is None
 
 
+def test_settled_texts_are_split_by_re_as_by_regex(content):
+    pattern = json.loads(content)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+    found = idfiles._splitter(content)
+    assert isinstance(found.__self__, re.Pattern)
+    settled = [c for c in map(chr, range(0x10000)) if idfiles.SETTLED.fullmatch(c)]
+    draw = random.Random(3)
+    texts = ["".join(settled), " ".join(settled), "a\u0130b it's I'LL 1\u00b2\u00bd", ""]
+    texts += ["".join(draw.choice(settled if k % 2 else settled[:200]) for _ in range(50)) for k in range(2000)]
+    for text in texts:
+        text = unicodedata.normalize("NFC", text).lower()
+        assert found(text) == regex.findall(pattern, text)
+    # Classes outside a set, or others, are left to regex.
+    for other in (r"\p{L}+|.", r"[\p{Lu}]+|."):
+        assert not isinstance(idfiles._finder(other).__self__, re.Pattern)
+
+
 def test_settled_characters_by_both_ways(content):
     """Every settled character alone, behind a letter and before a sign; pairs of ASCII signs; case by case."""
     words, signs = idfiles.Words(content), [chr(c) for c in range(0x21, 0x7F)]
