@@ -2,13 +2,14 @@
 
 import hashlib
 import random
+import time
 
 import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from skysift.llm import lines, queries, simhash, substrings
-from skysift.llm.common import keep
+from skysift.llm.common import CLEANUP_KEY, keep
 from skysift.llm.components import components
 
 
@@ -196,6 +197,20 @@ def test_intact_segments_bound_the_edits(spark):
     assert not df.select(lines._intact(F.col("a"), F.col("b"), F.lit(2))).collect()[-1][0]
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    """The files of an exchange go once the table behind it is written; the session's setting stays as it was."""
+    cleaner = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {name for name in cleaner.getAllFiles().mkString("\n").split("\n") if "shuffle_" in name}
+    before, setting = shuffled(), spark.conf.get(CLEANUP_KEY)
+    kept = keep(spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    for _ in range(100):
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before and spark.conf.get(CLEANUP_KEY) == setting
+    assert kept.df.count() == 7
+
+
 def test_frequent_texts_are_taken_once_or_more_with_equal_results(spark, monkeypatch):
     """However few texts may be sent to every task, the same lines go."""
     words = "the long and winding line of twenty or more words that many documents share with one another today".split()
