@@ -45,7 +45,7 @@ FOOTER = struct.Struct("<QQQQBQ8s")
 #: Words, and parts of words, held in a Python worker's memory; no bounds on input.
 REMEMBERED, PARTS = 50_000, 200_000
 #: Texts of spaces, letters and signs that are the same in every version of Unicode of the last decades: Latin, Cyrillic, Kana, Han.
-SETTLED = regex.compile("[\\t-\\r -~\u00a1-\u024f\u0400-\u0482\u048a-\u04ff\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5]*")
+SETTLED = re.compile("[\\t-\\r -~\u00a1-\u024f\u0400-\u0482\u048a-\u04ff\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5]*")
 
 
 class EliasFano:
@@ -366,6 +366,16 @@ def _splitter(content: str) -> Callable[[str], list[str]] | None:
     return _finder(words["pattern"]["Regex"])
 
 
+#: The characters by which the byte level of a tokenizer stands for bytes: themselves if visible, others from 256 on.
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_LEVEL = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
+
+
+def _byte_level(part: str) -> str:
+    """A part of a word as its UTF-8 bytes, a character each, in the tokenizer's alphabet."""
+    return part.encode().decode("latin-1").translate(_LEVEL)
+
+
 class Words:
     """Encodes words by a tokenizer of the library and remembers them, as 32-bit numbers.
 
@@ -376,13 +386,13 @@ class Words:
 
     def __init__(self, content: str):
         self.tokenizer, self.split = Tokenizer.from_str(content), _splitter(content)
+        # Taken once: each look at the attribute makes a new object.
+        self.tokenize = self.tokenizer.model.tokenize
         self.parts: Recent[str, bytes] = Recent(self._part, PARTS)
         self.known: Recent[bytes, bytes] = Recent(self._word, REMEMBERED)
 
     def _part(self, part: str) -> bytes:
-        tokenize = self.tokenizer.model.tokenize
-        bytewise = [part] if part.isascii() else [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(part)]
-        ids = [t.id for p in bytewise for t in tokenize(p)]
+        ids = [t.id for t in self.tokenize(part if part.isascii() else _byte_level(part))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: bytes) -> bytes:
@@ -390,7 +400,7 @@ class Words:
         if self.split and SETTLED.fullmatch(text):
             return self._settled(text)
         normal = self.tokenizer.normalizer.normalize_str(text)
-        ids = [t.id for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal) for t in self.tokenizer.model.tokenize(p)]
+        ids = [t.id for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal) for t in self.tokenize(p)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _settled(self, text: str) -> bytes:

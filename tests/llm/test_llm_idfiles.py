@@ -25,6 +25,16 @@ def content():
         return file.read()
 
 
+def test_parts_go_to_the_model_as_bytes(content):
+    """Every byte of UTF-8 stands for the character that the library gives it."""
+    words, library = idfiles.Words(content), Tokenizer.from_str(content)
+    some = [chr(c) for c in [*range(0xA1, 0x250), *range(0x400, 0x482), *range(0x3041, 0x3094), *range(0x4E00, 0x9FA5, 97)]]
+    for part in ["größe", "дом", "日本語", "«»", *some]:
+        level = library.pre_tokenizer.pre_tokenize_str(part)
+        assert [idfiles._byte_level(part)] == [p for p, _ in level]
+        assert words._part(part) == np.array([t.id for p, _ in level for t in library.model.tokenize(p)], "<u4").tobytes()
+
+
 def plain(rows, end=2):
     """(doc_id, ids) of (doc_id, text) by whole texts."""
     tokenizer = Tokenizer.from_file(PATH)
