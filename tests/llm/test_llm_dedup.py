@@ -222,6 +222,34 @@ def test_frequent_texts_are_taken_once_or_more_with_equal_results(spark, monkeyp
         assert kept_lines(docs, grows=True) == want
 
 
+def test_pairs_in_slices_lose_no_link(spark, monkeypatch):
+    """However few pairs carry their segments at once, the same lines go, and every pair is in one slice."""
+    draw = random.Random(17)
+    line = lambda: " ".join("".join(draw.choice("aeinrst") for _ in range(draw.randint(3, 7))) for _ in range(14))
+    common = "shared by all of them"
+    rows = [(i, f"{common} {line()}") for i in range(24)]
+    rows += [(100 + i, t.replace(t.split()[9], "changed").replace(t.split()[12], "again")) for i, t in rows[:12]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want, slices, compared = sorted(brute.lines(rows, 2, 10, grows=True), key=brute.key), [], []
+    write = lines.keep
+
+    def watched(df, label):
+        kept = write(df, label)
+        if label == "line-pairs-held":
+            slices[-1] += 1
+            compared[-1] += kept.df.count()
+        return kept
+
+    monkeypatch.setattr(lines, "keep", watched)
+    for at_once, a_text in ((1_000_000, 8), (1, 1)):
+        monkeypatch.setattr(lines, "PAIRS_AT_ONCE", at_once)
+        monkeypatch.setattr(lines, "PAIRS_A_TEXT", a_text)
+        slices.append(0)
+        compared.append(0)
+        assert kept_lines(docs, grows=True) == want
+    assert slices[0] == 2 < slices[1] and compared[0] == compared[1] > 0
+
+
 def test_columns_of_a_line_are_made_once(spark):
     """No column of a line is computed above the explode of its runs."""
     docs = spark.createDataFrame([(1, "a line")], "doc_id long, text string")
