@@ -10,6 +10,7 @@ from collections import Counter
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -134,6 +135,19 @@ def class_pairs(lines, of, size):
     return pairs
 
 
+def test_words_and_endings_of_many_texts_at_once():
+    """The words and classes by ending of whole columns are those of one text and one word at a time."""
+    draw = random.Random(3)
+    texts = ["", " ", "a", " a\x1cb \t\x0b\x0c\r\nC", "Été ÀB!?", "xxxxx).", "|||", "\x1d \x85 \xa0z y"]
+    texts += ["".join(draw.choice("abAB.,!| \n\t\x0b\x1féß日") for _ in range(draw.randint(0, 40))) for _ in range(500)]
+    for column in (pa.array(texts), pa.array(texts)[7:]):
+        words, ends = classlm.split_words(column)
+        got = [words[ends[i] : ends[i + 1]].to_pylist() for i in range(len(column))]
+        assert got == [[w.decode() for w in classlm.tokens(t)] for t in column.to_pylist()]
+        assert classlm.ending_classes(words).tolist() == [classlm.ending_class(w.encode()) for w in words.to_pylist()]
+    assert len(classlm.ending_classes(pa.array([], pa.string()))) == 0
+
+
 def test_class_model_against_plain_counts(spark):
     """Every score from the classes by hand, and every word in the class that gains most, from chunks of any size."""
     draw = np.random.default_rng(8)
