@@ -182,33 +182,35 @@ def groups(rows: DataFrame, window: int = WINDOW) -> DataFrame:
                 [*signed, pa.array(batch.column(0).to_numpy()[owner]), pa.array(packed)], ["name", "around", "id", "packed"]
             )
 
-    return in_batches(rows, run, "name long, around long, id long, packed long")
+    return in_batches(rows, run, "name long not null, around long not null, id long not null, packed long not null")
 
 
 def marks(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(id, tie, start, n, settled): groups of windows that are repeated, or (not settled) are to be compared one by one."""
-    found = groups(rows, window)
-    settled = F.col("name").between(0, int(SETTLED) - 1)
-    repeated = found.where(~settled).groupBy(F.col("name").alias("name_")).agg(F.count("*").alias("times")).where("times > 1")
-    hits = found.join(repeated.select("name_"), F.col("name") == F.col("name_"), "left").where(F.col("name_").isNotNull() | settled)
-    start = F.shiftrightunsigned("packed", TIE_BITS + COUNT_BITS)
-    hits = hits.select("name", "around", "id", "packed", order_key(_doc_id(), start).alias("place"))
-    hits = keep(hits, "window-groups").df
-    named = hits.where(~settled)
-    firsts = named.groupBy("name", "around").agg(F.min("place").alias("first"))
-    firsts = keep(firsts, "window-contexts").df
-    mixed = firsts.groupBy(F.col("name").alias("mixed_name")).agg(F.count("*").alias("contexts")).where("contexts > 1")
-    by_name = firsts.join(mixed.select("mixed_name"), F.col("name") == F.col("mixed_name"), "left")
-    known = by_name.select(
-        F.col("name").alias("n_"), F.col("around").alias("a_"), "first", F.col("mixed_name").isNotNull().alias("mixed")
+    """(id, tie, start, n, settled): groups of windows that are repeated, or (not settled) are to be compared one by one.
+
+    The groups are made and dealt by name once: the same exchange gives what is known of a name, from all its
+    columns, and the rows that this meets. No filter may stand before it on one side alone, so no column is nullable.
+    """
+    found = groups(rows, window).repartition(F.col("name"))
+    settled, start = F.col("name").between(0, int(SETTLED) - 1), F.shiftrightunsigned("packed", TIE_BITS + COUNT_BITS)
+    place = order_key(_doc_id(), start)
+    names = found.groupBy(F.col("name").alias("name_")).agg(
+        F.count("*").alias("times"), F.min(place).alias("first"), (F.min("around") < F.max("around")).alias("mixed")
     )
-    judged = named.join(known, (F.col("name") == F.col("n_")) & (F.col("around") == F.col("a_")))
-    judged = judged.where("place > first or mixed").select("id", "packed", (F.col("place") > F.col("first")).alias("settled"))
-    every = judged.union(hits.where(settled).select("id", "packed", F.lit(True)))
+    names = names.where((F.col("times") > 1) | F.col("name_").between(0, int(SETTLED) - 1)).drop("times")
+    hits = found.join(names.hint("shuffle_hash"), F.col("name") == F.col("name_"))
+    hits = hits.select("name", "around", "id", "packed", settled.alias("settled"), "mixed", (place > F.col("first")).alias("later"))
+    # The first of windows that have the same words around them stays; of settled ones all go.
+    hits = keep(hits.where("settled or mixed or later"), "window-groups").df
+    mixed = hits.where("mixed and not settled").withColumn("place", place)
+    firsts = mixed.groupBy(F.col("name").alias("n_"), F.col("around").alias("a_")).agg(F.min("place").alias("first"))
+    judged = mixed.join(firsts, (F.col("name") == F.col("n_")) & (F.col("around") == F.col("a_")))
+    judged = judged.select("id", "packed", (F.col("place") > F.col("first")).alias("settled"))
+    every = judged.union(hits.where("settled or not mixed").select("id", "packed", F.lit(True)))
     return every.select(
         "id",
         F.col("packed").bitwiseAND((1 << TIE_BITS) - 1).alias("tie"),
-        F.shiftrightunsigned("packed", TIE_BITS + COUNT_BITS).alias("start"),
+        start.alias("start"),
         F.shiftrightunsigned("packed", TIE_BITS).bitwiseAND((1 << COUNT_BITS) - 1).alias("n"),
         "settled",
     )
@@ -219,7 +221,7 @@ def _doc_id() -> F.Column:
 
 
 def _windows(marked: DataFrame, window: int) -> DataFrame:
-    """(w1, w2, id, tie, start) for each window to compare: 128 bits of its words."""
+    """(w1, w2, id, packed) for each window to compare: 128 bits of its words; ``packed`` holds the start and the tie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,10 +232,28 @@ def _windows(marked: DataFrame, window: int) -> DataFrame:
                 ends = at + window
                 one, two = Prefixes(hashes, BASES[0]), Prefixes(_mix(hashes ^ ODD), BASES[1])
                 values = [x.of(at, ends).view(np.int64) for x in (one, two)]
-                repeated = [pa.array(np.full(len(at), x.as_py()), pa.int64()) for x in (id_, tie)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, values), *repeated, pa.array(at)], ["w1", "w2", "id", "tie", "start"])
+                owner = pa.array(np.full(len(at), id_.as_py()), pa.int64())
+                packed = pa.array((at << TIE_BITS) | tie.as_py())
+                yield pa.RecordBatch.from_arrays([*map(pa.array, values), owner, packed], ["w1", "w2", "id", "packed"])
+
+    return in_batches(marked.select("id", "tie", "text", "starts", "sizes"), run, "w1 long not null, w2 long not null, id long not null, packed long not null")
 
-    return in_batches(marked.select("id", "tie", "text", "starts", "sizes"), run, "w1 long, w2 long, id long, tie long, start long")
+
+def _again(windows: DataFrame) -> DataFrame:
+    """(id2, tie2, again): the starts of the windows whose words also start earlier, as a list per document.
+
+    As in :func:`marks`, one exchange gives the first window of some words and the windows that meet it.
+    """
+    dealt = windows.repartition("w1", "w2")
+    start = F.shiftrightunsigned("packed", TIE_BITS)
+    place = order_key(_doc_id(), start)
+    firsts = dealt.groupBy(F.col("w1").alias("w1_"), F.col("w2").alias("w2_"))
+    firsts = firsts.agg(F.min(place).alias("first"), F.max(place).alias("last")).where("last > first")
+    met = dealt.join(firsts.hint("shuffle_hash"), (F.col("w1") == F.col("w1_")) & (F.col("w2") == F.col("w2_")))
+    # The optimiser would check a bare comparison for nulls, on this side and before the exchange.
+    met = met.where(F.coalesce(place > F.col("first"), F.lit(False)))
+    tie = F.col("packed").bitwiseAND((1 << TIE_BITS) - 1)
+    return met.groupBy(F.col("id").alias("id2"), tie.alias("tie2")).agg(F.collect_set(start).alias("again"))
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, text: str = "kept_text") -> DataFrame:
@@ -255,13 +275,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, text: str = "kept_te
         compare["start"].alias("starts"), compare["n"].alias("sizes"),
     )
     mine = (F.col("id") == F.col("id_")) & (F.col("tie") == F.col("tie_"))
-    compared = _windows(rows.join(lists.where(F.size("starts") > 0), mine), window)
-    place = order_key(_doc_id(), F.col("start"))
-    compared = compared.withColumn("place", place)
-    firsts = compared.groupBy(F.col("w1").alias("w1_"), F.col("w2").alias("w2_"))
-    firsts = firsts.agg(F.min("place").alias("first"), F.max("place").alias("last")).where("last > first")
-    again = compared.join(firsts, (F.col("w1") == F.col("w1_")) & (F.col("w2") == F.col("w2_"))).where("place > first")
-    again = again.groupBy(F.col("id").alias("id2"), F.col("tie").alias("tie2")).agg(F.collect_set("start").alias("again"))
+    again = _again(_windows(rows.join(lists.where(F.size("starts") > 0), mine), window))
     joined = rows.join(lists.select("id_", "tie_", "done", "done_n"), mine, "left")
     joined = joined.join(again, (F.col("id") == F.col("id2")) & (F.col("tie") == F.col("tie2")), "left")
 

@@ -52,6 +52,19 @@ def test_substrings_of_odd_rows_and_of_none(spark):
     assert substrings.dedup_substrings(brute.documents(spark, [])).collect() == []
 
 
+def test_windows_are_made_and_dealt_once(spark, monkeypatch):
+    """What is known of a name or of some words, and the rows that meet it, come from one exchange."""
+    planned = []
+    monkeypatch.setattr(substrings, "keep", lambda df, label: planned.append(df) or keep(df, label))
+    text = " ".join(f"w{i % 50}" for i in range(300))
+    docs = spark.createDataFrame([(i, text + f" {i}") for i in range(6)], "doc_id long, text string")
+    planned.append(substrings.dedup_substrings(docs, 20))
+    for df in (planned[0], planned[-1]):
+        dealt = df._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1:]
+        # Nothing tells the two sides apart before the exchange, so Spark plans it once.
+        assert [part.split("\n")[1].strip(" :+-").split()[0] for part in dealt] == ["MapInArrow"] * 2
+
+
 def test_substrings_of_the_given_documents(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     assert removed(docs, 20) == sorted(brute.substrings(brute.table_rows(docs), 20))
