@@ -263,6 +263,39 @@ def test_pairs_in_slices_lose_no_link(spark, monkeypatch):
     assert slices[0] == 2 < slices[1] and compared[0] == compared[1] > 0
 
 
+def test_runs_of_the_same_texts_bring_them_together_once(spark, monkeypatch):
+    """A passage of many runs gives one row a text, and what was compared with a first line is not compared with it again."""
+    draw = random.Random(23)
+    word = lambda: "".join(draw.choice("aeinrst") for _ in range(draw.randint(3, 7)))
+    passage = " ".join(word() for _ in range(20))
+    rows = [(i, f"{' '.join(word() for _ in range(12))} {passage} {' '.join(word() for _ in range(12))}") for i in range(30)]
+    rows += [(100 + i, t.replace(t.split()[3], "changed")) for i, t in rows[:5]]
+    # A pair that shares several runs and is not near.
+    rows += [(200 + i, " ".join(["some words that only these two hold", *(word() for _ in range(9))])) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    write, kept = lines.keep, {}
+
+    def watched(df, label):
+        written = write(df, label)
+        if label in ("line-heads", "line-pairs-heads", "line-pairs-runs"):
+            kept[label] = [tuple(r) for r in written.df.select(*written.df.columns[:2]).collect()]
+        return written
+
+    monkeypatch.setattr(lines, "keep", watched)
+    assert kept_lines(docs, grows=True) == sorted(brute.lines(rows, 2, 10, grows=True), key=brute.key)
+    # One row for the passage, one more for the runs beyond it that a text shares with its copy or the pair with each other.
+    assert len(kept["line-heads"]) <= 35 + 2 * 5 + 2 + 4 < 17 * 35
+    assert len(set(kept["line-pairs-heads"])) > 0 and not set(kept["line-pairs-heads"]) & set(kept["line-pairs-runs"])
+
+
+def test_runs_row_by_row(spark):
+    """Every run of four words, or of twelve characters where there are few spaces, but not one that repeats the last."""
+    texts = ["a b\tc  d e", "x x x x x x x", "a b a b a b a b", "only three words", "日本語文字列検索東京都大阪府県" * 2, "q" * 30, ""]
+    held = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, line string").withColumn("n", F.char_length("line"))
+    got = lines._with_runs(held, id=F.col("id")).groupBy("id").agg(F.count("*"), F.count_distinct("run")).collect()
+    assert sorted(map(tuple, got)) == [(0, 2, 2), (1, 1, 1), (2, 5, 2), (4, 19, 15), (5, 1, 1)]
+
+
 def test_columns_of_a_line_are_made_once(spark):
     """No column of a line is computed above the explode of its runs."""
     docs = spark.createDataFrame([(1, "a line")], "doc_id long, text string")
