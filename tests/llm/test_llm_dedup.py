@@ -1,6 +1,7 @@
 """Substring dedup, line dedup and SimHash near-dedup against plain versions."""
 
 import hashlib
+import os
 import random
 import time
 
@@ -263,6 +264,92 @@ def test_pairs_in_slices_lose_no_link(spark, monkeypatch):
     assert slices[0] == 2 < slices[1] and compared[0] == compared[1] > 0
 
 
+def test_runs_in_slices_lose_no_line(spark, monkeypatch):
+    """However few runs are dealt at once, the same lines go, and the rows of one slice go before the next is made."""
+    draw = random.Random(29)
+    line = lambda: " ".join("".join(draw.choice("aeinrst") for _ in range(draw.randint(3, 7))) for _ in range(14))
+    rows = [(i, f"{line()} shared by all of them {line()}") for i in range(20)]
+    rows += [(100 + i, t.replace(t.split()[5], "changed").replace(t.split()[20], "again")) for i, t in rows[:10]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want, write, written, open_ = sorted(brute.lines(rows, 2, 10, grows=True), key=brute.key), lines.keep, [], []
+
+    def watched(df, label):
+        kept = write(df, label)
+        written.append(label)
+        if label == "line-heads":
+            open_.append(kept)
+            folders = [os.path.exists(k.path.removeprefix("file:")) for k in open_]
+            assert folders == [False] * (len(open_) - 1) + [True]
+        return kept
+
+    monkeypatch.setattr(lines, "keep", watched)
+    assert kept_lines(docs, grows=True) == want
+    assert written.count("line-shared") == written.count("line-heads") == 1
+    for name, most in (("RUNS_AT_ONCE", 1), ("RUNS_A_TEXT", 14), ("SHARED_AT_ONCE", 1), ("SHARED_A_TEXT", 8)):
+        monkeypatch.setattr(lines, name, most)
+    written.clear(), open_.clear()
+    assert kept_lines(docs, grows=True) == want
+    assert written.count("line-shared") >= 2 and written.count("line-heads") >= 4
+
+
+def test_lengths_and_letters_bound_the_edits(spark, monkeypatch):
+    """Lines that share a run, but whose letters and lengths differ by more than the edits can, are no pair."""
+    # 62 and 66 characters: 6 edits may change 12 letters, but 8 if 4 of them are put in.
+    texts = ["shared by all of them " + "w" * 40, "shared by all of them " + "w" * 37 + "e" * 7]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    write, pairs = lines.keep, []
+
+    def watched(df, label):
+        kept = write(df, label)
+        if label in ("line-pairs-heads", "line-pairs-runs"):
+            pairs.extend(tuple(r) for r in kept.df.collect())
+        return kept
+
+    monkeypatch.setattr(lines, "keep", watched)
+    assert kept_lines(docs, grows=True) == sorted(brute.lines(list(enumerate(texts)), 2, 10, grows=True), key=brute.key)
+    assert pairs == []
+    draw = random.Random(31)
+    rows = []
+    for _ in range(300):
+        a = "".join(draw.choice("etain ,.bq") for _ in range(draw.randint(0, 60)))
+        chars = list(a)
+        for _ in range(draw.randint(0, 8)):
+            i = draw.randint(0, len(chars))
+            chars[i : i + draw.randint(0, 1)] = draw.choice(["", "e", "é", " "])
+        rows.append((a, "".join(chars), brute.edits(a, "".join(chars))))
+    df = spark.createDataFrame(rows, "a string, b string, k int")
+    counts = lambda c: F.struct(*[lines._letters(F.col(c), lines.RUN_LETTERS[8 * i : 8 * i + 8]).alias(n) for i, n in enumerate(lines.LETTER_COUNTS)])
+    df = df.select("a", "b", "k", counts("a").alias("e"), counts("b").alias("l"))
+    bound = 2 * F.col("k") - F.abs(F.char_length("a") - F.char_length("b"))
+    assert df.where(lines._letters_differ("e", "l") > bound).count() == 0
+
+
+def test_long_lines_by_pieces(spark):
+    """Pieces of a line make up the line; their edits are as many as the distance or more, and the answer is that of the distance."""
+    draw = random.Random(37)
+    word = lambda: "".join(draw.choice("aeinrst日é") for _ in range(draw.randint(0, 9)))
+    rows = []
+    for k in range(24):
+        words = [word() for _ in range(520)]
+        other = list(words)
+        for _ in range(draw.randint(0, 150)):
+            other[draw.randrange(len(other))] = word()
+        if k % 3 == 0:
+            other.insert(draw.randrange(40), word())
+        rows.append((" ".join(words), " ".join(other)))
+    rows += [("", " "), ("a\r b \u0085 ", "a\r b"), ("x" * 2500, "x" * 2400 + "y" * 90), ("  ", "")]
+    df = spark.createDataFrame(rows, "a string, b string").withColumn("k", F.levenshtein("a", "b"))
+    got = df.select(
+        "a", F.array_join(lines._pieces(F.col("a")), "").alias("whole"), "k", F.size(lines._pieces(F.col("a"))).alias("pieces"),
+        lines._edits_by_pieces(F.col("a"), F.col("b"), F.lit(10_000)).alias("more"),
+        *[lines.near_lines(F.col("a"), F.col("b"), F.col("k") + d).alias(f"d{d}") for d in (-1, 0, 30)],
+    ).collect()
+    for r in got:
+        assert r["a"] == r["whole"] and r["more"] >= r["k"] and (r["d-1"], r["d0"], r["d30"]) == (False, True, True)
+    assert all(r["pieces"] >= 10 for r in got[:24])
+    assert sum(r["more"] <= r["k"] + 30 for r in got[:24]) > 12
+
+
 def test_runs_of_the_same_texts_bring_them_together_once(spark, monkeypatch):
     """A passage of many runs gives one row a text, and what was compared with a first line is not compared with it again."""
     draw = random.Random(23)
