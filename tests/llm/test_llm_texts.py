@@ -223,6 +223,28 @@ def test_without_training_documents(spark):
         assert len(got) == len(rows) and all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in got)
 
 
+def test_facts_of_chunks_are_packed_without_lists_of_rows(spark):
+    """Facts of a chunk's words come back in one row of bytes, across batches, and no task gathers them as objects."""
+    draw = random.Random(41)
+    rows = [(chunk << 32, at, draw.randrange(2**40)) for chunk in range(5) for at in range(1, 40 * chunk + 2)]
+    draw.shuffle(rows)
+    found = spark.createDataFrame(rows, "chunk long, at int, both long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        facts = classlm._facts(found)
+        got = facts.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "Aggregate" not in facts._jdf.queryExecution().executedPlan().toString()
+    assert len(got) == 5
+    unpacked = [(r["chunk"], *x) for r in got for x in zip(np.frombuffer(r["at"], "<u4").tolist(), np.frombuffer(r["both"], "<i8").tolist(), strict=True)]
+    assert sorted(unpacked) == sorted(rows)
+    assert classlm._facts(found.limit(0)).collect() == []
+    parts = list(classlm._handed(pa.RecordBatch.from_arrays([pa.array(range(classlm.ROWS * 2 + 1))], ["x"])))
+    assert [p.num_rows for p in parts] == [classlm.ROWS, classlm.ROWS, 1]
+
+
 def test_fingerprints_follow_paragraphs(spark):
     rows = [(1, "first line\nsecond one\nthird"), (2, "third\nfirst line\nsecond one"), (3, "first line\nthird"), (4, "second one")]
     lanes = {r[0]: (r[1], r[2]) for r in multiset.fingerprints(brute.documents(spark, rows)).collect()}
